@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .decontaminate import benchmark_hits, contaminated, words_hit
 from .exact_dedup import exact_dedup
+from .language import identify_languages, learn_languages
+from .line_dedup import dedup_lines
+from .quality import fit_quality, score_quality
 from .secret_scan import BASE_RULES, secret_scan
+from .shared import crc_text
 from .url_filter import filter_urls
 
 #: Fixed value: hosts with a label that starts so are the block list of op3.
@@ -33,6 +37,14 @@ def sha256(col) -> F.Column:
     return F.sha2(col, 256)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda c: F.coalesce(crc_text(F.col(c)) % 3 == 1, F.lit(False))
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), learn=~held_out("__id"))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = filter_urls(table(spark, sf_dir, "pages"), F.col("host").rlike(LISTED_HOST))
     return found.select("page_id", "host", "path", "rule", "verdict")
@@ -97,15 +109,45 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", sha256("text").alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.doc_id, i, line, f.key IS NOT NULL AND k.doc_id <> keeper AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda c: F.coalesce(crc_text(F.col(c)) % 4 == 2, F.lit(False))
+    contents = learn_languages(docs, ~held_out("__id"))
+    found = identify_languages(docs, contents)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": op2_quality,
         "op3_url_filter": op3_url_filter,
         "op4_bpe": op4_bpe,
         "op5_secrets": op5_secrets,
         "op6_decontaminate": op6_decontaminate,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_language": op9_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op3_url_filter": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
