@@ -82,17 +82,18 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, *keep, *STATISTICS) for every row of docs. ``keep`` names other columns to pass through."""
     names = [id_col, *keep]
+    text_at = f"k{names.index(text_col)}" if text_col in names else text_col
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text_col):
-                found = statistics(*buffer_of(batch.column(text_col)))
+            for batch in slices(whole, text_at):
+                found = statistics(*buffer_of(batch.column(text_at)))
                 columns = [batch.column(i) for i in range(len(names))] + [pa.array(x) for x in found.T]
                 yield pa.RecordBatch.from_arrays(columns, names=[*(f"k{i}" for i in range(len(names))), *STATISTICS])
 
     kinds = [docs.schema[c].dataType.simpleString() for c in names]
     schema = ", ".join([*(f"k{i} {k}" for i, k in enumerate(kinds)), *(f"{s} double" for s in STATISTICS)])
-    chosen = [*(F.col(c).alias(f"k{i}") for i, c in enumerate(names)), F.col(text_col)]
+    chosen = [*(F.col(c).alias(f"k{i}") for i, c in enumerate(names)), *([F.col(text_col)] if text_at == text_col else [])]
     out = docs.select(*chosen).mapInArrow(stats, schema)
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), *STATISTICS)
 

@@ -14,9 +14,11 @@ from .decontaminate import benchmark_hits, contaminated, words_hit
 from .exact_dedup import exact_dedup
 from .language import identify_languages, learn_languages
 from .line_dedup import dedup_lines
+from .near_dedup import near_dedup
 from .quality import fit_quality, score_quality
 from .secret_scan import BASE_RULES, secret_scan
 from .shared import crc_text
+from .substring_dedup import dedup_substrings
 from .url_filter import filter_urls
 
 #: Fixed value: hosts with a label that starts so are the block list of op3.
@@ -37,6 +39,11 @@ def sha256(col) -> F.Column:
     return F.sha2(col, 256)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", sha256("kept").alias("kept_sha256"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = lambda c: F.coalesce(crc_text(F.col(c)) % 3 == 1, F.lit(False))
@@ -136,8 +143,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), least=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_quality": op2_quality,
         "op3_url_filter": op3_url_filter,
         "op4_bpe": op4_bpe,
@@ -146,6 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_exact_dedup": op7_exact_dedup,
         "op8_line_dedup": op8_line_dedup,
         "op9_language": op9_language,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 

@@ -84,7 +84,7 @@ def strings(values: list[str]) -> pa.Array:
     return pa.array(values, pa.string())
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
     """Parts of a batch with about ``most`` bytes of text each (one longer text stands alone), so that the arrays
     made per byte stay bounded whatever the batch size of the session is."""
     col = batch.column(text)
