@@ -46,11 +46,15 @@ def ordinal_targets(sims: DataFrame, stats: DataFrame) -> DataFrame:
     return spread.withColumn("y", (F.col("rank") > F.col("threshold")).cast("int")).drop("labels", "rank")
 
 
-def _fit(key: tuple, rows: pd.DataFrame, penalty: float = 0.1, steps: int = 25) -> pd.DataFrame:
+#: C = 10 as a ridge penalty on the slope; steps of Newton's method at most.
+PENALTY, STEPS = 0.1, 25
+
+
+def _fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Logistic regression on one feature by Newton's method, with a small penalty on the slope."""
     x, y = np.column_stack([np.ones(len(rows)), rows["x"]]), rows["y"].to_numpy(float)
-    b, ridge = np.zeros(2), np.diag([1e-6, penalty])
-    for _ in range(steps):
+    b, ridge = np.zeros(2), np.diag([1e-6, PENALTY])
+    for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         move = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ b)
         b = b + move

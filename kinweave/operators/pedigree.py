@@ -69,7 +69,8 @@ def draw_founders(replicates: DataFrame, members: DataFrame, tree: Tree, seed: i
     draw = u01(seed, "founder", *(F.col(k) for k in KEYS), F.col("sample"))
     drawn = replicates.select(*KEYS).join(F.broadcast(members), F.lit(True)).select(*KEYS, F.struct(draw.alias("u"), "idx", "sex").alias("m"))
     lists = drawn.groupBy(*KEYS).agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    pools = {s: F.transform(F.filter("ms", lambda m, s=s: m["sex"] == s), lambda m: m["idx"]) for s in ("male", "female")}
+    of_sex = lambda s: F.transform(F.filter("ms", lambda m: m["sex"] == s), lambda m: m["idx"])
+    pools = {s: of_sex(s) for s in ("male", "female")}
     want = {s: sexes.count(s) for s in pools}
     used = F.concat(*(F.slice(pools[s], 1, n) for s, n in want.items())) if any(want.values()) else F.array().cast("array<int>")
     rest = F.array_except(F.transform("ms", lambda m: m["idx"]), used)

@@ -189,11 +189,11 @@ def assign_vcf_index(panel: DataFrame, header: DataFrame) -> DataFrame:
 def read_pedigree(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(iid, fid, mid, sex), (ord, label, i0, i1). Takes the standard form (3, 4 or 6 columns or a header, COMPARE
     lines) and the sectioned one (INDIVIDUALS, RELATIONSHIPS, COMPARISONS). A definition is one small file."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
     lines = raw.select("at", F.trim(F.regexp_replace("line", "#.*$", "")).alias("line")).filter("line <> ''")
     heads = F.when(F.col("line").isin("INDIVIDUALS", "RELATIONSHIPS", "COMPARISONS"), F.col("line"))
     section = F.last(heads, ignorenulls=True).over(W.orderBy("at"))
-    lines = lines.withColumn("section", section).filter(heads.isNull()).cache()
+    lines = lines.withColumn("section", section).filter(heads.isNull())
     if lines.filter("section IS NOT NULL").limit(1).count():
         return _sections(lines)
     compare = lines.filter(F.upper("line").startswith("COMPARE"))
