@@ -174,7 +174,7 @@ def fit_quality(
     stats = text_statistics(texts, "__id", "__text", ("__label",))
     # At most 20,000 rows of numbers; the same ones in the same order whatever the layout of the tables.
     rows = stats.orderBy("__id", *STATISTICS).toArrow()
-    small = spark.createDataFrame(rows.to_pandas()).coalesce(2).cache()
+    small = spark.createDataFrame(rows, stats.schema).coalesce(2).cache()
     try:
         return fit_rules(small.withColumnRenamed("__label", "label"))
     finally:
