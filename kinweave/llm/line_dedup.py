@@ -83,7 +83,8 @@ def _pairs(hashes: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(hashes.cast(pa.binary(16)).buffers()[1], np.uint64)[2 * hashes.offset :][: 2 * len(hashes)].reshape(-1, 2)
 
 
-SHARD = "shard int, replica int, words binary, sizes binary, prints binary, counts binary, keepers binary"
+ARRAYS = ("words", "sizes", "prints", "counts", "keepers")
+SHARD = "shard int, replica int, " + ", ".join(f"{a} binary" for a in ARRAYS)
 
 
 def _build_shard(key: tuple, table: pa.Table) -> pa.Table:
@@ -139,15 +140,15 @@ def dedup_lines(
     shards = max(1, math.ceil(keys / SHARD_KEYS), math.ceil((seen.get["probes"] or 0) / SHARD_PROBES))
     shard_of = F.pmod(F.xxhash64("hash"), F.lit(shards)).cast("int")
     dealt = frequent.withColumn("shard", shard_of)
-    # One number for each shard that needs more than one replica: a small map, as long as the list of hot shards.
-    loads = dealt.groupBy("shard").agg(F.sum("n").alias("load")).filter(F.col("load") > SHARD_PROBES).collect()
-    replicas = F.lit(1)
-    if loads:
-        many = F.create_map(*(F.lit(x) for r in loads for x in (r["shard"], math.ceil(r["load"] / SHARD_PROBES))))
-        replicas = F.coalesce(F.try_element_at(many, F.col("shard")), F.lit(1))
-    arrays = dealt.groupBy("shard").applyInArrow(_build_shard, SHARD)
-    arrays = arrays.withColumn("replica", F.explode(F.sequence(F.lit(0), replicas - 1)))
-    probes = lines.withColumn("shard", shard_of).withColumn("replica", F.pmod(F.xxhash64("id"), replicas).cast("int"))
+    # A row for each shard that needs more than one replica. No hint: Spark broadcasts it where its size allows that.
+    loads = dealt.groupBy("shard").agg(F.ceil(F.sum("n") / SHARD_PROBES).cast("int").alias("replicas")).filter("replicas > 1")
+    loads = materialise(loads, "loads")
+    hot = loads.limit(1).count() > 0
+    replicated = lambda df: df.join(loads, "shard", "left").fillna(1, "replicas") if hot else df.withColumn("replicas", F.lit(1))
+    arrays = replicated(dealt.groupBy("shard").applyInArrow(_build_shard, SHARD).drop("replica"))
+    arrays = arrays.select("shard", F.explode(F.sequence(F.lit(0), F.col("replicas") - 1)).alias("replica"), *ARRAYS)
+    probes = replicated(lines.withColumn("shard", shard_of)).withColumn("replica", F.pmod(F.xxhash64("id"), F.col("replicas")).cast("int"))
+    probes = probes.select("id", "hash", "shard", "replica")
     found = probes.groupBy("shard", "replica").cogroup(arrays.groupBy("shard", "replica")).applyInArrow(_probe, "id long, hash binary")
     drops = found.groupBy("id").agg(F.collect_set("hash").alias("drops"))
     joined = rows.join(drops.withColumnRenamed("id", "drop_id"), rows["id"].eqNullSafe(F.col("drop_id")), "left").select("id", "text", "drops")
