@@ -183,27 +183,35 @@ def gene_drop(rows: DataFrame, tree: Tree, x_mode: bool = False, sexes: dict[str
     return rows
 
 
+def draw_base(a0: Column, a1: Column, contam: Column, af: Column, seed: int, *keys: Column) -> Column:
+    """An allele of a genotype, or of a contaminant with the alternate's local frequency ``af``."""
+    u = lambda stream: u01(seed, stream, *keys)
+    return F.when(u("cpick") < contam, F.when(u("caf") < af, 1).otherwise(0)).otherwise(F.when(u("allele") < 0.5, a0).otherwise(a1))
+
+
+def with_error(base: Column, err: Column, seed: int, *keys: Column) -> Column:
+    """The base as it is read: with probability ``err`` one of the three others."""
+    wrong = F.floor(u01(seed, "errbase", *keys) * 3).cast("int")
+    return F.when(u01(seed, "err", *keys) < err, wrong + (wrong >= base).cast("int")).otherwise(base)
+
+
 def draw_read(a0: Column, a1: Column, contam: Column, af: Column, err: Column, seed: int, *keys: Column) -> Column:
     """The base seen in one read of a genotype: 0 or 1, or 2 or 3 after an error."""
-    u = lambda stream: u01(seed, stream, *keys)
-    local = F.when(u("allele") < 0.5, a0).otherwise(a1)
-    base = F.when(u("cpick") < contam, F.when(u("caf") < af, 1).otherwise(0)).otherwise(local)
-    wrong = F.floor(u("errbase") * 3).cast("int")
-    return F.when(u("err") < err, wrong + (wrong >= base).cast("int")).otherwise(base)
+    return with_error(draw_base(a0, a1, contam, af, seed, *keys), err, seed, *keys)
 
 
 def compare_relationships(rows: DataFrame, tree: Tree, seed: int) -> DataFrame:
     """(pair, rep, ord, label, i0, i1, pwd, overlap): mismatches of one read a side over all sites, for each comparison of
     the tree. rows: alleles with contam0, contam1, caf0, caf1 and err0, err1 (or q0, q1, from which errors follow). The
     comparisons are columns until the sums are made, so rows aren't multiplied by them."""
-    seen = []
-    for order, _, *ids in tree.comparisons:
-        reads = []
-        for k, iid in enumerate(ids):
-            err = F.coalesce(F.col(f"err{k}"), phred_prob(F.col(f"q{k}")))
-            keys = (*(F.col(c) for c in (*KEYS, *SITE)), F.lit(order), F.lit(k))
-            reads.append(draw_read(F.col(tree.name(iid, 0)), F.col(tree.name(iid, 1)), F.col(f"contam{k}"), F.col(f"caf{k}"), err, seed, *keys))
-        seen.append((reads[0] != reads[1]).cast("long").alias(f"d{order}"))
+    sides = [(o, k, iid) for o, _, *ids in tree.comparisons for k, iid in enumerate(ids)]
+    keys = lambda o, k: (*(F.col(c) for c in (*KEYS, *SITE)), F.lit(o), F.lit(k))
+    # Bases first and errors in a projection of their own, so that no draw is worked out twice.
+    drawn = {f"b{o}_{k}": draw_base(F.col(tree.name(i, 0)), F.col(tree.name(i, 1)), F.col(f"contam{k}"), F.col(f"caf{k}"), seed, *keys(o, k)) for o, k, i in sides}
+    err = [F.coalesce(F.col(f"err{k}"), phred_prob(F.col(f"q{k}"))).alias(f"e{k}") for k in (0, 1)]
+    rows = rows.select(*KEYS, *SITE, *err, *(c.alias(n) for n, c in drawn.items()))
+    rows = rows.select(*KEYS, *(with_error(F.col(f"b{o}_{k}"), F.col(f"e{k}"), seed, *keys(o, k)).alias(f"b{o}_{k}") for o, k, _ in sides))
+    seen = [(F.col(f"b{c[0]}_0") != F.col(f"b{c[0]}_1")).cast("long").alias(f"d{c[0]}") for c in tree.comparisons]
     wide = rows.select(*KEYS, *seen).groupBy(*KEYS).agg(F.count("*").alias("overlap"), *(F.sum(f"d{c[0]}").alias(f"d{c[0]}") for c in tree.comparisons))
     cells = F.array(*(F.struct(F.lit(o).alias("ord"), F.lit(label).alias("label"), F.lit(a).alias("i0"), F.lit(b).alias("i1"), F.col(f"d{o}").alias("pwd")) for o, label, a, b in tree.comparisons))
     return wide.select(*KEYS, "overlap", F.inline(cells)).select(*KEYS, "ord", "label", "i0", "i1", "pwd", "overlap")

@@ -521,7 +521,7 @@ def plan(spark: SparkSession, sf: str, pairs: DataFrame) -> DataFrame:
 def sims(spark: SparkSession, sf: str) -> DataFrame:
     found = stored(sites(spark, sf), "pair-sites")
     pairs = found.select("pair").distinct()
-    panel, index, genetic_map = haps(spark, sf), ad.adapter(spark, sf, "INDEX"), ad.adapter(spark, sf, "MAP")
+    panel, index, genetic_map = stored(haps(spark, sf), "haps"), ad.adapter(spark, sf, "INDEX"), ad.adapter(spark, sf, "MAP")
     contaminants = pg.draw_contaminants(pairs, index, 2, ad.SEED)
     kept = pn.correct_pair_sites(rc.recombination(found.select("pair", "chrom", "pos", "q0", "q1"), genetic_map), pn.failed_maf(freqs(spark, sf), GROUP, MAF))
     kept = kept.join(pg.contaminant_af(found, panel, contaminants, index), ["pair", "chrom", "pos"]).drop("prev")
