@@ -5,8 +5,9 @@
    so only fragments of the same anchor can share a string, and every string lies in exactly one fragment.
 2. Fragments are known by hashes. An anchor that occurs once can't repeat a string and is dropped. A fragment that
    occurs twice is covered as a whole and goes on as one copy; an anchor with a single distinct fragment is settled.
-3. The remaining distinct fragments are cut out of their documents and dealt by anchor to shards of bounded size. A
-   shard sorts the suffixes of its fragments, takes the Burrows-Wheeler transform, and expands intervals breadth first:
+3. A shared string holds one of a few windows at fixed offsets from the anchor, three quarters of its length; distinct
+   fragments that share no window hash with another one of their anchor are dropped. The remaining ones are cut out of
+   their documents and dealt by anchor to shards of bounded size. A shard sorts the suffixes of its fragments, takes the Burrows-Wheeler transform, and expands intervals breadth first:
    from all intervals of strings of length l, backward extension by each preceding byte gives those of length l + 1, and
    a boundary reached for the first time has a common prefix of l. Prefixes thus come by increasing value, and at
    ``length`` the expansion stops: boundaries not reached yet join suffixes that share a whole string.
@@ -32,6 +33,8 @@ from .shared import materialise, shuffle_partitions
 from .textbytes import RangeHash, buffer_of, slices
 
 LENGTH, ANCHOR = 400, 32
+#: Windows of a fragment: any string of ``length`` bytes around an anchor covers one of them.
+WINDOWS = 4
 SHARD_BYTES = 1 << 20
 #: An anchor with more bytes of distinct fragments is settled by string hashes.
 ANCHOR_BYTES = 4 << 20
@@ -52,7 +55,8 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def fragments(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(text, first start within the text, number of starts, anchor hash, fragment hash) of all fragments."""
+    """(text, first start within the text, number of starts, anchor hash, fragment hash, window hashes...) of all
+    fragments. A window hash has 32 bits; 0 where the window would leave the text. Chance agreements cost time only."""
     n = len(data)
     ranges = RangeHash(data)
     grams = ranges.rolling(k, 1)
@@ -71,27 +75,46 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tup
     text = np.searchsorted(offsets, first, "right") - 1
     real = first + length <= offsets[text + 1]
     first, end, text = first[real], end[real], text[real]
-    anchor = grams[(least[first] & low).astype(np.int64)]
-    return text, first - offsets[text], end - first, anchor, ranges(first, end - 1 + length, 2)
+    place = (least[first] & low).astype(np.int64)
+    step = -(-length // WINDOWS)
+    windows = []
+    for j in range(WINDOWS):
+        a = place - j * step
+        b = a + length - step
+        inside = (a >= offsets[text]) & (b <= offsets[text + 1])
+        hashed = ranges(np.where(inside, a, 0), np.where(inside, b, 0), 4 + j)
+        windows.append(np.where(inside, (hashed >> np.uint64(32)) | np.uint64(1), np.uint64(0)).astype(np.uint32).view(np.int32))
+    return text, first - offsets[text], end - first, grams[place], ranges(first, end - 1 + length, 2), *windows
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` codes at least, by doubling."""
+    """Suffixes sorted by their first ``depth`` codes at least, by doubling; after the first round only suffixes that
+    still share a rank are sorted on. Equal ones may stand in any order."""
     n = len(codes)
     base = int(codes.max()) + 2
     step = max(1, min(4, int(62 // math.log2(base))))
     key = np.zeros(n, np.int64)
     for j in range(step):
         key = key * base + np.concatenate([codes[j:] + 1, np.zeros(min(j, n), np.int64)])
+    order = np.argsort(key)
+    rank = np.empty(n + 1, np.int64)  # the first row of those with an equal prefix, plus one; past the end 0
+    rank[n] = 0
+    row = np.arange(n)  # of the suffixes that aren't told apart yet
+    suffix, sorted_key = order, key[order]
     while True:
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, np.int64)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if step >= depth or rank[order[-1]] == n:
+        new = np.ones(len(suffix), bool)
+        new[1:] = sorted_key[1:] != sorted_key[:-1]
+        group = np.cumsum(new) - 1
+        first = row[new]
+        rank[suffix] = first[group] + 1
+        shared = np.bincount(group, minlength=len(first))[group] > 1 if len(group) else new
+        suffix, row = suffix[shared], row[shared]
+        if step >= depth or not len(suffix):
             return order
-        key = rank * (n + 1) + np.concatenate([rank[step:], np.zeros(min(step, n), np.int64)])
+        key = rank[suffix] * (n + 1) + rank[np.minimum(suffix + step, n)]
+        by = np.argsort(key)
+        suffix, sorted_key = suffix[by], key[by]
+        order[row] = suffix
         step *= 2
 
 
@@ -110,7 +133,8 @@ def repeated_starts(parts: list[np.ndarray], length: int) -> tuple[np.ndarray, n
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = suffix_order(codes, length + 1)
     bwt = codes[order - 1]
-    by_code = np.argsort(bwt, kind="stable")
+    narrow = bwt.astype(np.uint16) if count + 256 < 1 << 16 else bwt
+    by_code = np.argsort(narrow, kind="stable")
     back = np.empty(n, np.int64)  # row of the suffix that is one byte longer
     back[by_code] = np.arange(n)
     following = np.full(n, n, np.int64)  # next row with the same preceding byte
@@ -150,7 +174,10 @@ def joined(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[cut], end[np.append(cut[1:], len(first)) - 1] if len(first) else end
 
 
-FRAGMENT = "id long, t long, at long, n long, anchor long, frag long"
+WINDOW_NAMES = [f"w{j}" for j in range(WINDOWS)]
+FRAGMENT = "id long, t long, at int, n int, anchor long, frag long, " + ", ".join(f"{w} int" for w in WINDOW_NAMES)
+CUT = "anchor long, frag long, part binary, a long, string long"
+CUT_ARROW = pa.schema([("anchor", pa.int64()), ("frag", pa.int64()), ("part", pa.binary()), ("a", pa.int64()), ("string", pa.int64())])
 COVERED = "anchor long, frag long, a long, b long"
 
 
@@ -173,50 +200,58 @@ def dedup_substrings(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                text, at, n, own, frag = fragments(*buffer_of(batch.column("text")), length, anchor)
+                text, at, n, own, frag, *windows = fragments(*buffer_of(batch.column("text")), length, anchor)
                 which = pa.array(text)
-                columns = [batch.column("id").take(which), batch.column("t").take(which), *(pa.array(x) for x in (at, n, own.view(np.int64), frag.view(np.int64)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "t", "at", "n", "anchor", "frag"])
+                numbers = (at.astype(np.int32), n.astype(np.int32), own.view(np.int64), frag.view(np.int64), *windows)
+                columns = [batch.column("id").take(which), batch.column("t").take(which), *(pa.array(x) for x in numbers)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "t", "at", "n", "anchor", "frag", *WINDOW_NAMES])
 
     every = materialise(rows.mapInArrow(cut, FRAGMENT), "fragments")
-    busy = every.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    # Small tables are written before they are joined, so that Spark sees plain sides and can split a hot key.
+    busy = materialise(every.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "repeated")
     found = materialise(every.join(busy, "anchor"), "busy")
-    distinct = found.groupBy("anchor", "frag").agg(F.count("*").alias("copies"), F.min(F.struct("id", "t", "at", "n")).alias("one"))
-    distinct = materialise(distinct.select("anchor", "frag", "copies", "one.*"), "distinct")
-    per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + (length - 1)).alias("bytes")).filter("kinds > 1")
-    per_anchor = materialise(per_anchor, "anchors")
-    small, n_large = per_anchor.filter(F.col("bytes") <= anchor_bytes), per_anchor.filter(F.col("bytes") > anchor_bytes).count()
-    total = small.agg(F.sum("bytes")).first()[0] or 0
+    one = F.min(F.struct("id", "t", "at", "n", *WINDOW_NAMES)).alias("one")
+    distinct = materialise(found.groupBy("anchor", "frag").agg(F.count("*").alias("copies"), one).select("anchor", "frag", "copies", "one.*"), "distinct")
+    several = materialise(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor"), "several")
+    windows = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col(w).alias("w")) for j, w in enumerate(WINDOW_NAMES))))
+    spread = distinct.join(several, "anchor").select("anchor", "frag", windows.alias("x")).select("anchor", "frag", "x.j", "x.w").filter("w <> 0")
+    alike = materialise(spread.groupBy("anchor", "j", "w").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "alike")
+    kept = spread.join(alike, ["anchor", "j", "w"]).select("anchor", "frag").distinct()
+    parts = materialise(distinct.join(kept, ["anchor", "frag"]).select("anchor", "frag", "id", "t", "at", "n"), "parts")
+    per_anchor = materialise(parts.groupBy("anchor").agg(F.sum(F.col("n") + F.lit(length - 1)).alias("bytes")), "anchors")
+    large = per_anchor.filter(F.col("bytes") > anchor_bytes).select("anchor", F.lit(True).alias("large"))
+    n_large = large.count()
+    total = per_anchor.filter(F.col("bytes") <= anchor_bytes).agg(F.sum("bytes")).first()[0] or 0
     shards = max(shuffle_partitions(spark), math.ceil(total / shard_bytes))
+    marked = parts.join(large, "anchor", "left") if n_large else parts.withColumn("large", F.lit(False))
+    cell = F.struct("anchor", "frag", "at", "n", F.coalesce("large", F.lit(False)).alias("large"))
+    wanted = marked.groupBy("id", "t").agg(F.collect_list(cell).alias("parts"))
 
-    def cut_out(chosen: DataFrame, emit, schema: str) -> DataFrame:
-        """emit(anchor, frag, bytes) as rows, for the chosen fragments, each text read once."""
-        wanted = distinct.join(chosen.select("anchor"), "anchor").groupBy("id", "t").agg(F.collect_list(F.struct("anchor", "frag", "at", "n")).alias("parts"))
-
-        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in slices(whole, "text", 1 << 20):
-                    data, offsets = buffer_of(batch.column("text"))
-                    lists = batch.column("parts")
-                    flat = lists.flatten()
-                    own = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-                    anchors, frags, at, n = (flat.field(i).to_numpy() for i in range(4))
-                    start = offsets[own] + at
-                    yield from emit(anchors, frags, data, start, start + n - 1 + length)
-
-        # A row given twice is cut out twice; its fragments have two copies and are covered as a whole anyway.
-        return wanted.join(rows, ["id", "t"]).select("text", "parts").mapInArrow(read, schema)
-
-    def as_bytes(anchors, frags, data, start, end):
-        parts = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(frags), pa.array(parts, pa.binary())], names=["anchor", "frag", "part"])
-
-    def as_strings(anchors, frags, data, start, end):
-        ranges = RangeHash(data)
-        for a, f, s, e in zip(anchors.tolist(), frags.tolist(), start.tolist(), end.tolist(), strict=True):
-            at = np.arange(s, e - length + 1)
-            hashed = ranges(at, at + length, 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), a)), pa.array(np.full(len(at), f)), pa.array(at - s), pa.array(hashed)], names=["anchor", "frag", "a", "string"])
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of a fragment, or one row with a hash for each of its strings where its anchor is large."""
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                data, offsets = buffer_of(batch.column("text"))
+                lists = batch.column("parts")
+                anchors, frags, at, n, big = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                start = offsets[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())] + at
+                end = start + n - 1 + length
+                some = np.flatnonzero(~big)
+                cut = [data[a:b].tobytes() for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]
+                none = pa.nulls(len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(anchors[some]), pa.array(frags[some]), pa.array(cut, pa.binary()), none, none], schema=CUT_ARROW)
+                if big.any():
+                    ranges = RangeHash(data)
+                    for i in np.flatnonzero(big).tolist():
+                        own = np.arange(start[i], end[i] - length + 1)
+                        hashed = ranges(own, own + length, 3).view(np.int64)
+                        m = len(own)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, anchors[i])), pa.array(np.full(m, frags[i])), pa.nulls(m, pa.binary()), pa.array(own - start[i]), pa.array(hashed)], schema=CUT_ARROW)
+
+    # A row given twice is cut out twice; its fragments have two copies and are covered as a whole anyway.
+    pieces = wanted.join(rows, ["id", "t"]).select("text", "parts").mapInArrow(cut_out, CUT)
+    if n_large:
+        pieces = materialise(pieces, "pieces")
 
     def expand(key: tuple, table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint8) for x in table.column("part").to_pylist()]
@@ -229,14 +264,13 @@ def dedup_substrings(
         return pa.table({"anchor": table.column("anchor").take(which), "frag": table.column("frag").take(which), "a": at[first], "b": at[last] + 1})
 
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
-    cover = cut_out(small, as_bytes, "anchor long, frag long, part binary").groupBy(shard.alias("shard")).applyInArrow(expand, COVERED)
+    cover = pieces.filter("part IS NOT NULL").select("anchor", "frag", "part").groupBy(shard.alias("shard")).applyInArrow(expand, COVERED)
     if n_large:
-        strings = cut_out(per_anchor.filter(F.col("bytes") > anchor_bytes), as_strings, "anchor long, frag long, a long, string long")
-        strings = materialise(strings, "strings")
-        twice = strings.groupBy("anchor", "string").agg(F.count("*").alias("c")).filter("c > 1").select("anchor", "string")
+        strings = pieces.filter("part IS NULL").select("anchor", "frag", "a", "string")
+        twice = materialise(strings.groupBy("anchor", "string").agg(F.count("*").alias("c")).filter("c > 1").select("anchor", "string"), "strings")
         cover = cover.unionAll(strings.join(twice, ["anchor", "string"]).select("anchor", "frag", "a", (F.col("a") + 1).alias("b")))
-    whole = distinct.filter("copies > 1").select("anchor", "frag", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
-    cover = cover.unionAll(whole).groupBy("anchor", "frag").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    whole = distinct.filter("copies > 1").select("anchor", "frag", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
+    cover = materialise(cover.unionAll(whole).groupBy("anchor", "frag").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "cover")
     spans = found.join(cover, ["anchor", "frag"]).select("id", "t", "at", F.explode("runs").alias("run"))
     spans = spans.select("id", "t", (F.col("at") + F.col("run.a")).alias("a"), (F.col("at") + F.col("run.b") + (length - 1)).alias("b"))
     spans = spans.groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
