@@ -36,6 +36,8 @@ LENGTH, ANCHOR = 400, 32
 #: Windows of a fragment: any string of ``length`` bytes around an anchor covers one of them.
 WINDOWS = 4
 SHARD_BYTES = 1 << 20
+#: A longer text is read in parts.
+PART_BYTES = 4 << 20
 #: An anchor with more bytes of distinct fragments is settled by string hashes.
 ANCHOR_BYTES = 4 << 20
 NO_ID = -(2**63)
@@ -87,6 +89,18 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tup
     return text, first - offsets[text], end - first, grams[place], ranges(first, end - 1 + length, 2), *windows
 
 
+def fragments_in_parts(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``fragments``, of a single long text a part at a time, so that memory stays bounded. Parts overlap by one string
+    less a byte: each string lies in one part, with its anchor and the window it covers."""
+    if len(offsets) != 2 or len(data) <= PART_BYTES:
+        yield fragments(data, offsets, length, k)
+        return
+    for s in range(0, len(data), PART_BYTES):
+        part = data[s : s + PART_BYTES + length - 1]
+        text, at, *rest = fragments(part, np.array([0, len(part)]), length, k)
+        yield text, at + s, *rest
+
+
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by their first ``depth`` codes at least, by doubling; after the first round only suffixes that
     still share a rank are sorted on. Equal ones may stand in any order."""
@@ -200,11 +214,11 @@ def dedup_substrings(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                text, at, n, own, frag, *windows = fragments(*buffer_of(batch.column("text")), length, anchor)
-                which = pa.array(text)
-                numbers = (at.astype(np.int32), n.astype(np.int32), own.view(np.int64), frag.view(np.int64), *windows)
-                columns = [batch.column("id").take(which), batch.column("t").take(which), *(pa.array(x) for x in numbers)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "t", "at", "n", "anchor", "frag", *WINDOW_NAMES])
+                for text, at, n, own, frag, *windows in fragments_in_parts(*buffer_of(batch.column("text")), length, anchor):
+                    which = pa.array(text)
+                    numbers = (at.astype(np.int32), n.astype(np.int32), own.view(np.int64), frag.view(np.int64), *windows)
+                    columns = [batch.column("id").take(which), batch.column("t").take(which), *(pa.array(x) for x in numbers)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "t", "at", "n", "anchor", "frag", *WINDOW_NAMES])
 
     every = materialise(rows.mapInArrow(cut, FRAGMENT), "fragments")
     # Small tables are written before they are joined, so that Spark sees plain sides and can split a hot key.

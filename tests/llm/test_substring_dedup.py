@@ -49,6 +49,26 @@ def test_against_plain(spark, bounds):
     assert got == want
 
 
+def test_long_text_in_parts(monkeypatch):
+    r = random.Random(7)
+    passage = "".join(r.choice("abc") for _ in range(120))
+    long_text = "".join(r.choice("abc") for _ in range(900)) + passage + "".join(r.choice("abc") for _ in range(500)) + passage + "xyz"
+    data, length = np.frombuffer(long_text.encode(), np.uint8), 12
+    monkeypatch.setattr(sd, "PART_BYTES", 100)
+    seen = Counter(long_text[i : i + length] for i in range(len(long_text) - length + 1))
+    starts, groups = [], {}
+    for _, at, n, anchor, _, *windows in sd.fragments_in_parts(data, np.array([0, len(data)]), length, 4):
+        for a, m, h, *w in zip(at.tolist(), n.tolist(), anchor.tolist(), *(x.tolist() for x in windows), strict=True):
+            starts += range(a, a + m)
+            for i in range(a, a + m):
+                groups.setdefault(long_text[i : i + length], []).append((h, {(j, x) for j, x in enumerate(w) if x}))
+    assert sorted(starts) == list(range(len(long_text) - length + 1))
+    for text, own in groups.items():
+        assert len(own) == seen[text] and len({h for h, _ in own}) == 1
+        if len(own) > 1:
+            assert own[0][1] & own[1][1]
+
+
 def test_on_tables(spark, sf):
     own = queries.table(spark, sf, "documents").collect()
     want = {x["doc_id"]: (*p[:3], hashlib.sha256(p[3]).hexdigest()) for x, p in zip(own, plain([x["text"] for x in own], 400), strict=True)}
