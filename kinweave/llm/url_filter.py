@@ -37,15 +37,21 @@ RULES = (
 )
 
 
+def _after_scheme(url: F.Column) -> F.Column:
+    """What follows the first ``://``; null without one. A pattern could backtrack to a later one (as in ``?u=http://``)."""
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url)))
+
+
 def host_of(url: F.Column) -> F.Column:
     """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without one."""
-    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    host = F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0)
     return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
 def path_of(url: F.Column) -> F.Column:
     """From the host up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(_after_scheme(url), r"^[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def rule_of(host: F.Column, path: F.Column, rules: Sequence[tuple[str, str, str]]) -> tuple[F.Column, F.Column]:
