@@ -16,6 +16,9 @@ from kinweave.llm.quality import fit_quality, score_quality
 from kinweave.llm.queries import table, vocabulary_path
 from kinweave.llm.shared import materialise
 
+#: Fixed value: similarity in hundredths at which the near-dedup stage links two documents.
+NEAR = 80
+
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     own = ids.select(F.col("doc_id").alias("__id"))
@@ -35,8 +38,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return _only(docs, near_dedup(docs).filter("kept"), "left_semi")
+    """Of each group of near copies (a Jaccard similarity of 0.8 or more on five-word shingles) the document with the
+    smallest id stays."""
+    return _only(docs, near_dedup(docs, least=NEAR).filter("kept"), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

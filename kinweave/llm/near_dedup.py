@@ -5,9 +5,10 @@
    of its own; a register keeps the least value, truncated to a power of b. Elements stop once their next value is above
    all registers, so long texts cost few draws per shingle.
 2. Equal sets form a class, named by its smallest id; from here on a class counts once, however many copies it has.
-3. Registers are cut into 40 bands of 8. Classes that share a band are linked to the smallest one of that bucket, and
-   the connected components of these links are families: no two classes of different families share a band. Two sets of
-   Jaccard similarity 0.85 share none of 40 bands with probability 3 in a million, above that less.
+3. Registers are cut into bands, more and shorter ones for a lower threshold (``bands_for``): 40 of 8 from 0.85 on, where
+   two sets at the threshold share no band with probability 3 in a million, 64 of 5 for 0.80 (9e-12); above it less.
+   Classes that share a band are linked to the smallest one of that bucket, and the connected components of these links
+   are families: no two classes of different families share a band.
 4. Families are dealt to bounded bins. In a bin, pairs that share a band are estimated: maximum likelihood of the
    Jaccard similarity given which register of each is larger and both set sizes. Those within reach of the threshold
    are verified on the full sets, best first, and only while they lie in different components; a bin returns a
@@ -34,8 +35,9 @@ from .shared import materialise, shuffle_partitions
 from .textbytes import LOWER, RangeHash, buffer_of, mix, slices, word_bounds
 
 SHINGLE = 5
-BANDS, ROWS = 40, 8
-REGISTERS = BANDS * ROWS
+REGISTERS, LEAST_BANDS = 320, 40
+#: Share of pairs at the threshold that may be without a common band.
+MOST_MISSED = 1e-5
 #: Base, rate and largest value of the registers (16 bits each).
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
 STEPS = np.array([t for t in range(1, REGISTERS) if math.gcd(t, REGISTERS) == 1], np.int64)
@@ -104,13 +106,21 @@ def sketches(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.clip(k, 0, Q + 1).astype(np.uint16)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+def bands_for(least: int) -> int:
+    """The fewest bands of equal length, from LEAST_BANDS on, that miss at most MOST_MISSED of the pairs of similarity
+    ``least`` hundredths."""
+    counts = [b for b in range(LEAST_BANDS, REGISTERS + 1) if REGISTERS % b == 0]
+    return next((b for b in counts if (1 - (least / 100) ** (REGISTERS // b)) ** b <= MOST_MISSED), REGISTERS)
+
+
+def band_keys(registers: np.ndarray, bands: int) -> np.ndarray:
     """A 64-bit key of each band, different from band to band."""
-    out = np.empty((len(registers), BANDS), np.uint64)
+    out = np.empty((len(registers), bands), np.uint64)
+    rows = REGISTERS // bands
     with np.errstate(over="ignore"):
-        for b in range(BANDS):
+        for b in range(bands):
             key = np.full(len(registers), b + 1, np.uint64)
-            for r in range(b * ROWS, (b + 1) * ROWS):
+            for r in range(b * rows, (b + 1) * rows):
                 key = mix(key ^ registers[:, r].astype(np.uint64), 31)
             out[:, b] = key
     return out
@@ -168,7 +178,7 @@ def link_sets(hashes: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
     n = len(starts) - 1
     sizes = np.diff(starts)
     registers = sketches(hashes, starts)
-    keys = band_keys(registers)
+    keys = band_keys(registers, bands_for(least))
     parent = np.arange(n)
     # Reach of the estimate: five standard deviations below the threshold.
     reach = least / 100 - 5 * math.sqrt(least / 100 * (1 - least / 100) / REGISTERS)
@@ -203,7 +213,7 @@ def link_sets(hashes: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
                     parent[max(ra, rb)] = min(ra, rb)
 
     buckets = []
-    for b in range(BANDS):
+    for b in range(keys.shape[1]):
         order = np.argsort(keys[:, b], kind="stable")
         new = np.flatnonzero(np.concatenate([[True], keys[order[1:], b] != keys[order[:-1], b]])) if n else np.zeros(0, np.int64)
         size = np.diff(np.append(new, n))
@@ -238,7 +248,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
             hashes, starts = shingle_sets(*buffer_of(batch.column("text")))
@@ -247,8 +257,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 with np.errstate(over="ignore"):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes, seed))])
                     sums.append((total[starts[1:]] - total[starts[:-1]]).view(np.int64))
-            keys = band_keys(sketches(hashes, starts)).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
+            keys = band_keys(sketches(hashes, starts), bands).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(starts)), pa.array(sums[0]), pa.array(sums[1]), lists], names=["id", "n", "d1", "d2", "bands"])
 
 
@@ -261,10 +271,11 @@ def near_dedup(
     family_shingles: int = FAMILY_SHINGLES,
 ) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs. ``least`` is the similarity in hundredths at
-    which two documents are linked; below 80 more bands would be needed."""
+    which two documents are linked; the lower, the more bands are shuffled."""
     spark = docs.sparkSession
+    bands = bands_for(least)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = materialise(rows.mapInArrow(_sketched, "id long, n long, d1 long, d2 long, bands array<long>"), "sets")
+    base = materialise(rows.mapInArrow(lambda batches: _sketched(batches, bands), "id long, n long, d1 long, d2 long, bands array<long>"), "sets")
     real = base.filter("n > 0 AND id IS NOT NULL")
     classes = materialise(real.groupBy("d1", "d2", "n").agg(F.min("id").alias("cls"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("cls", F.explode("bands").alias("key"))

@@ -108,3 +108,35 @@ def test_components(spark):
     got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: v for k, v in comp.items() if k != v}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def graded_texts(seed=6):
+    """Pairs of similarity just above and below 0.80, and at it: k of n shingles in common."""
+    r = random.Random(seed)
+    out = []
+    for n, cut in ((100, 8), (100, 11), (100, 13), (86, 9), (200, 18), (90, 10)):
+        for _ in range(12):
+            base = [f"w{r.randrange(10**6)}" for _ in range(n + 4)]
+            out += [" ".join(base), " ".join(base[:-cut] + [f"e{r.randrange(10**9)}" for _ in range(cut)])]
+    return out
+
+
+def test_least_80(spark):
+    docs = spark.createDataFrame(list(enumerate(graded_texts())), "doc_id long, text string")
+    own = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = plain(own, 80)
+    assert want != plain(own)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nd.near_dedup(docs, least=80).collect()}
+    assert got == want
+    for least in (80, 85, 90):
+        bands = nd.bands_for(least)
+        assert nd.REGISTERS % bands == 0 and (1 - (least / 100) ** (nd.REGISTERS // bands)) ** bands <= 1e-5
+    assert (nd.bands_for(85), nd.bands_for(80)) == (40, 64)
+
+
+def test_pipeline_stage_links_from_80(spark, sf):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame(list(enumerate(graded_texts())), "doc_id long, text string")
+    want = plain([(r["doc_id"], r["text"]) for r in docs.collect()], 80)
+    assert {r["doc_id"] for r in cp.near(spark, docs, sf).collect()} == {i for i, (_, c) in want.items() if i == c}
