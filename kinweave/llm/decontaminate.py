@@ -107,15 +107,15 @@ def benchmark_hits(
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """(id_col, n_words, spans, items) for every row of docs: the word ranges under a benchmark window (end exclusive)
-    and the items, sorted as strings, whose windows occur. Rows that repeat an id are searched each on its own while
-    one block holds the benchmark; beyond that, rows are told apart by id and text digest."""
+    and the items, sorted as strings, whose windows occur. With several blocks the hits of rows of equal id and text are
+    joined once, and come back as many times as there are such rows."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL")
     size = F.greatest(F.lit(1), F.octet_length("text") / 2)  # no item has more windows than half its bytes, or one
     total = items.agg(F.sum(size)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_windows))
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, digest binary, n_words long, spans array<struct<start: bigint, end: bigint>>, items array<string>"
+    schema = f"id {kind}, digest binary, own int, n_words long, spans array<struct<start: bigint, end: bigint>>, items array<string>"
     digest = F.lit(b"") if blocks == 1 else F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest.alias("digest"))
 
@@ -135,8 +135,8 @@ def benchmark_hits(
                         spans.append([{"start": a, "end": b} for a, b in found])
                         named.append(sorted(of))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("id"), batch.column("digest"), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(named, pa.list_(pa.string()))],
-                        names=["id", "digest", "n_words", "spans", "items"],
+                        [batch.column("id"), batch.column("digest"), pa.array([int(block == 0)] * len(n), pa.int32()), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(named, pa.list_(pa.string()))],
+                        names=["id", "digest", "own", "n_words", "spans", "items"],
                     )
 
         return rows.mapInArrow(scan, schema)
@@ -147,10 +147,12 @@ def benchmark_hits(
     if blocks > 1:
         gathered = out.groupBy("id", "digest").agg(
             F.max("n_words").alias("n_words"),
-            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+            F.sum("own").cast("int").alias("rows"),
         )
-        out = gathered.withColumn("spans", _joined_spans(F.col("spans")))
+        joined = gathered.withColumn("spans", _joined_spans(F.col("spans")))
+        out = joined.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
