@@ -13,11 +13,14 @@
    Jaccard similarity given which register of each is larger and both set sizes. Those within reach of the threshold
    are verified on the full sets, best first, and only while they lie in different components; a bin returns a
    spanning forest of its verified links, not pairs.
-5. A family too large for a bin is dealt by its buckets instead, and a bucket too large by pairs of blocks, so that
-   every pair that shares a band still meets in some bounded task; the links are joined by connected components.
+5. A family too large for one task is first held against its pivots: every class meets the smallest class that it
+   shares a band with, in blocks of bounded size. What is linked then is one component. Only buckets that still hold
+   several components are dealt again: members of the bucket's main component go to one block each, the others to every
+   block (or, where the others alone are too many, all by pairs of blocks), so that every pair that shares a band and is
+   still apart meets in some bounded task. The links are joined by connected components.
 
 Null ids link with nothing. Texts without words have an empty set and link with nothing. Rows that repeat an id are
-taken as linked. Ids are integers.
+taken as linked. Ids are integers. Texts above 4 MB are cut into shingles part by part; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import materialise, shuffle_partitions
-from .textbytes import LOWER, RangeHash, buffer_of, mix, slices, word_bounds
+from .textbytes import LOWER, PART_BYTES, RangeHash, buffer_of, mix, slices, word_bounds, word_count, word_parts
 
 SHINGLE = 5
 REGISTERS, LEAST_BANDS = 320, 40
@@ -41,12 +44,37 @@ MOST_MISSED = 1e-5
 #: Base, rate and largest value of the registers (16 bits each).
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
 STEPS = np.array([t for t in range(1, REGISTERS) if math.gcd(t, REGISTERS) == 1], np.int64)
-#: A family up to this size goes to one task as a whole; bins take about BIN_SHINGLES.
-FAMILY_DOCS, FAMILY_SHINGLES, BIN_SHINGLES = 20_000, 4_000_000, 1_000_000
+#: A family up to this size goes to one task as a whole, as does a block of a larger one; bins take about BIN_SHINGLES.
+FAMILY_DOCS, FAMILY_SHINGLES, BIN_SHINGLES = 200, 1_000_000, 1_000_000
+#: Hashes that are sketched at a time.
+SKETCHED = 1 << 20
+
+
+def _distinct(owner: np.ndarray, hashed: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts): each owner's distinct hashes, one owner after the other."""
+    packed = (owner.astype(np.uint64) << np.uint64(44)) | (hashed >> np.uint64(20))
+    order = np.argsort(packed)
+    tied = packed[order][1:] == packed[order][:-1]
+    if (hashed[order][1:][tied] != hashed[order][:-1][tied]).any():  # hashes that agree in their high bits only
+        order = np.lexsort((hashed, owner))
+    owner, hashed = owner[order], hashed[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])
+    owner, hashed = owner[new], hashed[new]
+    return hashed, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, starts): the distinct shingle hashes of each text, one text after the other."""
+    """(hashes, starts): the distinct shingle hashes of each text, one text after the other. A single long text is read
+    in parts that overlap by a shingle less a word."""
+    if len(offsets) == 2 and len(data) > PART_BYTES and word_count(data) >= SHINGLE:
+        parts = [_sets(data[a:b], np.array([0, b - a]))[0] for a, b in word_parts(data, SHINGLE - 1) if word_count(data[a:b]) >= SHINGLE]
+        hashed = np.unique(np.concatenate(parts))
+        return hashed, np.array([0, len(hashed)])
+    return _sets(data, offsets)
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(offsets) - 1
     start, end, doc = word_bounds(data, offsets)
     words = RangeHash(LOWER[data])(start, end)
@@ -67,23 +95,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             at = np.where(has, first[short] + k, 0)
             shorts = np.where(has, shorts * factor + words[at], shorts) if len(words) else shorts
         shorts = mix(shorts + counts[short].astype(np.uint64), 12)
-    owner = np.concatenate([doc[:whole][inside], short])
-    hashed = np.concatenate([hashed[inside], shorts])
-    order = np.argsort((owner.astype(np.uint64) << np.uint64(44)) | (hashed >> np.uint64(20)))
-    owner, hashed = owner[order], hashed[order]
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])
-    owner, hashed = owner[new], hashed[new]
-    return hashed, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+    return _distinct(np.concatenate([doc[:whole][inside], short]), np.concatenate([hashed[inside], shorts]), n)
 
 
-def sketches(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Registers (texts x REGISTERS, uint16) of consecutive sets."""
-    n = len(starts) - 1
-    least = np.full((n, REGISTERS), np.inf)
+def _minima(h: np.ndarray, doc: np.ndarray, least: np.ndarray) -> None:
+    """Lowers the registers ``least`` (texts x REGISTERS) by the values of the elements h of the texts doc."""
     flat = least.reshape(-1)
-    doc = np.repeat(np.arange(n), np.diff(starts))
-    h = hashes
     place = (mix(h, 21) % np.uint64(REGISTERS)).astype(np.int64)
     step = STEPS[(mix(h, 22) % np.uint64(len(STEPS))).astype(np.int64)]
     x = np.zeros(len(h))
@@ -94,13 +111,22 @@ def sketches(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         place = (place + step) % REGISTERS
         if j < 16 or j % 4 == 0:
             live = np.unique(doc)
-            most = np.empty(n)
+            most = np.empty(len(least))
             most[live] = least[live].max(axis=1)
             on = x < most[doc]
             if not on.all():
                 h, doc, place, step, x = h[on], doc[on], place[on], step[on], x[on]
         if not len(h):
             break
+
+
+def sketches(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Registers (texts x REGISTERS, uint16) of consecutive sets."""
+    n = len(starts) - 1
+    least = np.full((n, REGISTERS), np.inf)
+    for a in range(0, len(hashes), SKETCHED):
+        h = hashes[a : a + SKETCHED]
+        _minima(h, np.searchsorted(starts, np.arange(a, a + len(h)), "right") - 1, least)
     with np.errstate(divide="ignore"):
         k = np.floor(1 - np.log(least) / math.log(B))
     return np.clip(k, 0, Q + 1).astype(np.uint16)
@@ -108,9 +134,12 @@ def sketches(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def bands_for(least: int) -> int:
     """The fewest bands of equal length, from LEAST_BANDS on, that miss at most MOST_MISSED of the pairs of similarity
-    ``least`` hundredths."""
+    ``least`` hundredths. Thresholds that no number of bands can serve so are refused."""
     counts = [b for b in range(LEAST_BANDS, REGISTERS + 1) if REGISTERS % b == 0]
-    return next((b for b in counts if (1 - (least / 100) ** (REGISTERS // b)) ** b <= MOST_MISSED), REGISTERS)
+    found = next((b for b in counts if (1 - (least / 100) ** (REGISTERS // b)) ** b <= MOST_MISSED), None)
+    if found is None:
+        raise ValueError(f"a similarity of {least} hundredths is too low for {REGISTERS} registers")
+    return found
 
 
 def band_keys(registers: np.ndarray, bands: int) -> np.ndarray:
@@ -173,16 +202,19 @@ def _bucket_pairs(order: np.ndarray, size: np.ndarray, first: np.ndarray, group:
             yield own[i[up] + r], own[j[up]]
 
 
-def link_sets(hashes: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
-    """Component (the index of a member) of each set, where sets with 100 * intersection >= least * union are linked."""
+def link_sets(hashes: np.ndarray, starts: np.ndarray, least: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Component (the index of a member) of each set, where sets with 100 * intersection >= least * union are linked.
+    Sets with the same number in ``known`` are taken as linked already."""
     n = len(starts) - 1
     sizes = np.diff(starts)
     registers = sketches(hashes, starts)
     keys = band_keys(registers, bands_for(least))
     parent = np.arange(n)
+    if known is not None and n:
+        _, first, which = np.unique(known, return_index=True, return_inverse=True)
+        parent = first[which]
     # Reach of the estimate: five standard deviations below the threshold.
     reach = least / 100 - 5 * math.sqrt(least / 100 * (1 - least / 100) / REGISTERS)
-    tried = np.zeros(0, np.int64)
 
     def root(a: int) -> int:
         while parent[a] != a:
@@ -190,15 +222,13 @@ def link_sets(hashes: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
             a = int(parent[a])
         return a
 
+    def groups() -> np.ndarray:
+        out = parent.copy()
+        while (out != parent[out]).any():
+            out = parent[out]
+        return out
+
     def verify(i: np.ndarray, j: np.ndarray) -> None:
-        nonlocal tried
-        i, j = np.minimum(i, j), np.maximum(i, j)
-        code = np.unique(i.astype(np.int64) * n + j)
-        code = code[~np.isin(code, tried, assume_unique=True)]
-        if not len(code):
-            return
-        tried = np.concatenate([tried, code])
-        i, j = code // n, code % n
         near = (100 * np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j])) & (sizes[i] > 0)
         i, j = i[near], j[near]
         likely = estimate(registers, sizes, i, j)
@@ -218,27 +248,30 @@ def link_sets(hashes: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
         new = np.flatnonzero(np.concatenate([[True], keys[order[1:], b] != keys[order[:-1], b]])) if n else np.zeros(0, np.int64)
         size = np.diff(np.append(new, n))
         buckets.append((order, size[size > 1], new[size > 1]))
-    # Each bucket's first member with all others: joins most of a group that is alike.
+    # Each bucket's first member with all others that are apart from it: joins most of a group that is alike.
     for order, size, first in buckets:
         if len(size):
+            group = groups()
             own = np.repeat(order[first], size - 1)
             rest = np.concatenate([order[a + 1 : a + s] for s, a in zip(size.tolist(), first.tolist(), strict=True)])
-            verify(own, rest)
-    # Then every pair that shares a band and is still apart.
-    for order, size, first in buckets:
+            apart = group[own] != group[rest]
+            verify(own[apart], rest[apart])
+    # Then every pair that shares a band and is still apart, in the first band that it shares.
+    for b, (order, size, first) in enumerate(buckets):
         if len(size):
-            group = np.array([root(a) for a in range(n)])
+            group = groups()
             held: list[tuple[np.ndarray, np.ndarray]] = []
             waiting = 0
-            for pair in _bucket_pairs(order, size, first, group):
-                held.append(pair)
-                waiting += len(pair[0])
+            for i, j in _bucket_pairs(order, size, first, group):
+                fresh = np.concatenate([~(keys[i[s : s + (1 << 15)], :b] == keys[j[s : s + (1 << 15)], :b]).any(axis=1) for s in range(0, len(i), 1 << 15)]) if b and len(i) else np.ones(len(i), bool)
+                held.append((i[fresh], j[fresh]))
+                waiting += len(held[-1][0])
                 if waiting >= 1 << 19:
                     verify(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held, waiting = [], 0
             if held:
                 verify(*(np.concatenate(x) for x in zip(*held, strict=True)))
-    return np.array([root(a) for a in range(n)], np.int64)
+    return groups()
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -281,34 +314,32 @@ def near_dedup(
     banded = classes.select("cls", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).filter("pivot < other")
     edges = banded.join(shared.select("key", "pivot"), "key").filter("cls <> pivot").select(F.col("cls").alias("u"), F.col("pivot").alias("v")).distinct()
+    edges = materialise(edges, "band-links")
     roots = connected_components(edges)
     tops = roots.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
     members = materialise(roots.unionAll(tops).join(classes.select(F.col("cls").alias("node"), "n"), "node").select(F.col("node").alias("cls"), F.col("component").alias("family"), "n"), "families")
     sized = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     large = sized.filter((F.col("docs") > family_docs) | (F.col("shingles") > family_shingles)).select("family")
-    total, n_large = members.agg(F.sum("n")).first()[0] or 0, large.count()
-    groups = members.select("cls", F.xxhash64("family").alias("group"))
-    if n_large:
-        groups = members.join(large, "family", "left_anti").select("cls", F.xxhash64("family").alias("group"))
-        split = _split_buckets(members.join(large, "family", "left_semi"), banded, family_docs, family_shingles)
-        split = materialise(split, "buckets")
-        total += split.agg(F.sum("n")).first()[0] or 0
-        groups = groups.unionAll(split.select("cls", "group"))
-    bins = max(shuffle_partitions(spark), math.ceil(total / BIN_SHINGLES))
-    dealt = groups.withColumn("bin", F.pmod(F.col("group"), F.lit(bins)).cast("int")).select("cls", "bin").distinct()
-    texts = rows.join(dealt, rows["id"] == dealt["cls"]).select("bin", "cls", "text")
-
-    def linked(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("cls").to_numpy()
-        found = link_sets(*shingle_sets(*buffer_of(table.column("text"))), least)
-        best = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(best, found, ids)
-        apart = best[found] != ids
-        return pa.table({"u": pa.array(ids[apart], pa.int64()), "v": pa.array(best[found][apart], pa.int64())})
-
-    links = texts.groupBy("bin").applyInArrow(linked, "u long, v long")
+    n_large = large.count()
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        """Links (u, v) of the classes dealt together; dealt: (cls, n, group, known), where ``known`` numbers what is linked already."""
+        total = dealt.agg(F.sum("n")).first()[0] or 0
+        bins = max(shuffle_partitions(spark), math.ceil(total / BIN_SHINGLES))
+        placed = dealt.withColumn("bin", F.pmod(F.col("group"), F.lit(bins)).cast("int")).select("cls", "known", "bin").distinct()
+        texts = rows.join(placed, rows["id"] == placed["cls"]).select("bin", "cls", "known", "text")
+        return texts.groupBy("bin").applyInArrow(lambda key, table: _links(table, least), "u long, v long")
+
+    whole = members.join(large, "family", "left_anti") if n_large else members
+    links = linked(whole.select("cls", "n", F.xxhash64("family").alias("group"), F.col("cls").alias("known")))
     if n_large:
-        found = connected_components(links)
+        own = materialise(members.join(large, "family", "left_semi"), "large-families")
+        pivots = edges.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("pivot")).join(own, "cls")
+        first = materialise(linked(_pivot_blocks(pivots, own, family_docs, family_shingles)), "pivot-links")
+        joined = connected_components(first)
+        known = own.join(joined, own["cls"] == joined["node"], "left").select("cls", "n", F.coalesce("component", "cls").alias("known"))
+        split = materialise(_open_buckets(classes.select("cls", "bands").join(known, "cls"), family_docs, family_shingles), "buckets")
+        found = connected_components(links.unionAll(first).unionAll(linked(split)))
     else:  # each family was whole in one bin: its links already lead to the smallest member
         found = materialise(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "links")
     named = classes.join(found, classes["cls"] == found["node"], "left").select("d1", "d2", "n", F.coalesce("component", "cls").alias("component_id"))
@@ -318,13 +349,53 @@ def near_dedup(
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def _split_buckets(members: DataFrame, banded: DataFrame, most_docs: int, most_shingles: int) -> DataFrame:
-    """(cls, n, group): the members of large families, once for each band they share; large buckets by block pairs."""
-    own = banded.join(members.select("cls", "n"), "cls")
-    sized = own.groupBy("key").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).filter("docs > 1")
-    blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("docs") / most_docs), F.ceil(2 * F.col("shingles") / most_shingles)).cast("int")
-    blocks = F.when((F.col("docs") <= most_docs) & (F.col("shingles") <= most_shingles), F.lit(1)).otherwise(blocks)
-    placed = own.join(sized.select("key", blocks.alias("blocks")), "key")
+def _links(table: pa.Table, least: int) -> pa.Table:
+    """(u, v): the members of a task's table that are linked, each with the smallest of its component."""
+    ids = table.column("cls").to_numpy()
+    sets = [shingle_sets(*buffer_of(b.column("text"))) for whole in table.combine_chunks().to_batches() for b in slices(whole, "text")]
+    hashes = np.concatenate([h for h, _ in sets]) if sets else np.zeros(0, np.uint64)
+    sizes = np.concatenate([np.diff(s) for _, s in sets]) if sets else np.zeros(0, np.int64)
+    found = link_sets(hashes, np.concatenate([[0], np.cumsum(sizes)]), least, table.column("known").to_numpy())
+    best = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(best, found, ids)
+    apart = best[found] != ids
+    return pa.table({"u": pa.array(ids[apart], pa.int64()), "v": pa.array(best[found][apart], pa.int64())})
+
+
+def _blocks(docs: F.Column, shingles: F.Column, most_docs: int, most_shingles: int) -> F.Column:
+    return F.greatest(F.lit(1), F.ceil(docs / most_docs), F.ceil(shingles / most_shingles)).cast("int")
+
+
+def _pivot_blocks(pivots: DataFrame, members: DataFrame, most_docs: int, most_shingles: int) -> DataFrame:
+    """(cls, n, group, known): the classes (cls, pivot, n) in bounded blocks, each with its pivot."""
+    sized = pivots.groupBy("pivot").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    sized = sized.select("pivot", _blocks(F.col("docs"), F.col("shingles"), most_docs, most_shingles).alias("blocks"))
+    group = F.xxhash64("pivot", "block").alias("group")
+    own = pivots.join(sized, "pivot").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    every = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tops = every.join(members.select(F.col("cls").alias("pivot"), "n"), "pivot").select(F.col("pivot").alias("cls"), "n", group)
+    return own.select("cls", "n", group).unionAll(tops).withColumn("known", F.col("cls"))
+
+
+def _open_buckets(members: DataFrame, most_docs: int, most_shingles: int) -> DataFrame:
+    """(cls, n, group, known): the buckets of large families (cls, bands, n, known) that still hold several components."""
+    own = members.select("cls", "n", "known", F.explode("bands").alias("key"))
+    parts = own.groupBy("key", "known").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    sized = parts.groupBy("key").agg(
+        F.count("*").alias("parts"), F.max_by("known", F.struct("docs", "known")).alias("main"),
+        F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"), F.max(F.struct("docs", "known", "shingles")).alias("most"),
+    ).filter("parts > 1")
+    rest_docs, rest_shingles = F.col("docs") - F.col("most.docs"), F.col("shingles") - F.col("most.shingles")
+    few = (2 * rest_docs <= most_docs) & (2 * rest_shingles <= most_shingles)
+    one = (F.col("docs") <= most_docs) & (F.col("shingles") <= most_shingles)
+    blocks = F.when(one, F.lit(1)).otherwise(_blocks(2 * F.col("docs"), 2 * F.col("shingles"), most_docs, most_shingles))
+    placed = own.join(sized.select("key", "main", few.alias("few"), blocks.alias("blocks")), "key")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return placed.select("cls", "n", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"))
+    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own_block = F.array("block")
+    # Few others: they go to every block, the main component's members to their own. Else every pair of blocks.
+    to = F.when(F.col("few") & (F.col("known") == F.col("main")), own_block).otherwise(all_blocks)
+    placed = placed.withColumn("other", F.explode(to))
+    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    group = F.when(F.col("few"), F.xxhash64("key", "other")).otherwise(pair)
+    return placed.select("cls", "n", group.alias("group"), "known")

@@ -61,7 +61,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tup
     fragments. A window hash has 32 bits; 0 where the window would leave the text. Chance agreements cost time only."""
     n = len(data)
     ranges = RangeHash(data)
-    grams = ranges.rolling(k, 1)
+    grams = ranges.rolling(k)
     low = np.uint64((1 << max(1, n.bit_length())) - 1)
     packed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     least = window_minima(packed, length - k + 1)  # for each start of a string

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: ASCII white space as the word rules take it: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,36 +36,72 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
+def joined_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring ranges as those of the whole. Not linear: no sums or powers that texts could cancel."""
     with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out, out=out)
+        x = a * np.uint64(0x9E3779B97F4A7C15)
+        x += b
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+    return x
 
 
 class RangeHash:
-    """Polynomial hashes (modulo 2**64, each byte first scattered by a table) of any byte ranges of one buffer."""
+    """64-bit hashes of any byte ranges of one buffer.
+
+    Ranges below 128 bytes are covered by two blocks of 2**k bytes, whose hashes are made for all places at once by
+    doubling; longer ones are hashed one by one."""
 
     TABLE = mix(np.arange(1, 257, dtype=np.uint64), 77)
+    LONG = 128
+    #: Places and ranges that are worked on at a time, so that arrays stay in a core's cache.
+    PLACES, RANGES = 1 << 15, 1 << 12
 
     def __init__(self, data: np.ndarray):
-        with np.errstate(over="ignore"):
-            self.sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(self.TABLE[data] * powers(BASE, len(data)), out=self.sums[1:])
-            self.back = powers(INVERSE, len(data) + 1)
+        self.data = data
+
+    def _short(self, start: np.ndarray, end: np.ndarray, out: np.ndarray) -> None:
+        low = int(start.min())
+        start, end = start - low, end - low
+        block = self.TABLE[self.data[low : low + int(end.max())]]
+        power = np.frexp(end - start)[1] - 1
+        for k in range(int(power.max()) + 1):
+            if k:
+                half = 1 << k - 1
+                block = joined_hash(block[:-half], block[half:])
+            own = np.flatnonzero(power == k)
+            if len(own):
+                out[own] = joined_hash(out[own], joined_hash(block[start[own]], block[end[own] - (1 << k)]))
 
     def __call__(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64), seed)
-
-    def rolling(self, k: int, seed: int = 0) -> np.ndarray:
+        length = (end - start).astype(np.int64)
+        out = mix(length.astype(np.uint64), 5 + seed)  # of empty ranges
+        short = np.flatnonzero((length > 0) & (length < self.LONG))
+        for i in range(0, len(short), self.RANGES):
+            own = short[i : i + self.RANGES]
+            got = out[own]
+            self._short(start[own], end[own], got)
+            out[own] = got
+        long = np.flatnonzero(length >= self.LONG)
+        if len(long):
+            view = memoryview(np.ascontiguousarray(self.data))
+            out[long] = [xxhash.xxh3_64_intdigest(view[a:b], seed) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+        return out
+
+    def rolling(self, k: int) -> np.ndarray:
         """Hashes of all ranges of k bytes."""
-        n = len(self.sums) - k
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        with np.errstate(over="ignore"):
-            return mix((self.sums[k:] - self.sums[:n]) * self.back[:n], seed)
+        n = max(0, len(self.data) - k + 1)
+        out = np.empty(n, np.uint64)
+        power = k.bit_length() - 1
+        for at in range(0, n, self.PLACES):
+            block = self.TABLE[self.data[at : at + self.PLACES + k - 1]]
+            for i in range(power):
+                block = joined_hash(block[: -(1 << i)], block[1 << i :])
+            if k != 1 << power:
+                block = joined_hash(block[: -(k - (1 << power))], block[k - (1 << power) :])
+            out[at : at + self.PLACES] = block
+        return out
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,10 +117,6 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def strings(values: list[str]) -> pa.Array:
-    return pa.array(values, pa.string())
-
-
 def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
     """Parts of a batch with about ``most`` bytes of text each (one longer text stands alone), so that the arrays
     made per byte stay bounded whatever the batch size of the session is."""
@@ -93,3 +126,43 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
     cuts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
     for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
         yield batch.slice(a, b - a)
+
+
+def word_count(data: np.ndarray, most: int = 1 << 20) -> int:
+    """Words of one text, counted block by block."""
+    total, before = 0, True
+    for a in range(0, len(data), most):
+        space = SPACE[data[a : a + most]]
+        total += int((~space & np.concatenate([[before], space[:-1]])).sum())
+        before = bool(space[-1])
+    return total
+
+
+#: A longer text is worked on in parts where that bounds what is held per byte.
+PART_BYTES = 4 << 20
+
+
+def word_parts(data: np.ndarray, overlap: int = 0, most: int = PART_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, end) of parts of one text with about ``most`` bytes, cut at white space. Each part but the first begins
+    with the last ``overlap`` words of the one before; a word longer than ``most`` stays whole."""
+    space = SPACE[data]
+    start = 0
+    while True:
+        end = min(len(data), start + most)
+        while end < len(data):  # on to the next white space
+            found = np.flatnonzero(space[end : end + most])
+            end = end + int(found[0]) if len(found) else min(len(data), end + most)
+            if len(found):
+                break
+        yield start, end
+        if end >= len(data):
+            return
+        start, seen = end, 0
+        while seen < overlap and start > 0:  # back over the words before the cut
+            back = max(0, start - most)
+            edge = np.flatnonzero(~space[back:start] & np.concatenate([[back == 0], space[back : start - 1]]))
+            if not len(edge):
+                start = back
+                continue
+            take = min(overlap - seen, len(edge))
+            start, seen = back + int(edge[-take]), seen + take

@@ -6,6 +6,7 @@ import pytest
 
 from kinweave.llm import near_dedup as nd
 from kinweave.llm import queries
+from kinweave.llm import textbytes as tb
 from kinweave.llm.components import connected_components
 
 from .common import DOCS, edge_docs
@@ -57,7 +58,7 @@ def near_texts(seed=2):
     return out
 
 
-@pytest.mark.parametrize("bounds", [{}, {"family_docs": 12, "family_shingles": 4000}])
+@pytest.mark.parametrize("bounds", [{}, {"family_docs": 12, "family_shingles": 4000}, {"family_docs": 3, "family_shingles": 300}])
 def test_against_plain(spark, bounds):
     docs = edge_docs(spark, near_texts())
     got = nd.near_dedup(docs, **bounds).collect()
@@ -140,3 +141,39 @@ def test_pipeline_stage_links_from_80(spark, sf):
     docs = spark.createDataFrame(list(enumerate(graded_texts())), "doc_id long, text string")
     want = plain([(r["doc_id"], r["text"]) for r in docs.collect()], 80)
     assert {r["doc_id"] for r in cp.near(spark, docs, sf).collect()} == {i for i, (_, c) in want.items() if i == c}
+
+
+def test_no_link_by_colliding_words(spark):
+    """Thue-Morse words cancel in polynomial hashes modulo a power of two."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in nd.near_dedup(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_high_bits_that_agree():
+    owner = np.zeros(6, np.int64)
+    hashed = np.array([5, 1, 5, 1, 5, 1 << 40], np.uint64)
+    found, starts = nd._distinct(owner, hashed, 1)
+    assert sorted(found.tolist()) == [1, 5, 1 << 40] and starts.tolist() == [0, 3]
+
+
+def test_low_thresholds():
+    assert nd.bands_for(85) == 40 and nd.bands_for(80) == 64
+    with pytest.raises(ValueError):
+        nd.bands_for(2)
+
+
+def test_parts_of_a_long_text(monkeypatch):
+    r = random.Random(3)
+    text = " ".join(f"w{r.randrange(300)}" for _ in range(5000)).encode()
+    data = np.frombuffer(text, np.uint8)
+    whole, _ = nd.shingle_sets(data, np.array([0, len(data)]))
+    monkeypatch.setattr(nd, "PART_BYTES", 1000)
+    monkeypatch.setattr(nd, "word_parts", lambda d, overlap: tb.word_parts(d, overlap, 1000))
+    monkeypatch.setattr(nd, "SKETCHED", 700)
+    parts, starts = nd.shingle_sets(data, np.array([0, len(data)]))
+    assert np.unique(whole).tolist() == parts.tolist() and starts[-1] == len(whole)
+    few = nd.sketches(parts, starts)
+    monkeypatch.setattr(nd, "SKETCHED", 1 << 20)
+    assert (few == nd.sketches(whole, np.array([0, len(whole)]))).all()
