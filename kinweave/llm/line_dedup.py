@@ -1,15 +1,16 @@
-"""Line dedup: a sharded minimal perfect hash over the hashes of frequent lines, probed by the documents.
+"""Line dedup: a sharded minimal perfect hash over all distinct line hashes, probed by the documents.
 
-Lines are known by the 128-bit MD5 of their key. One aggregation counts the documents of each line hash and finds the
-document that keeps the line; lines in too few documents leave there. The rest is dealt to shards by hash. Each shard
-builds a minimal perfect hash (levels of bit arrays: a key that is alone at its position of a level gets the rank of
-that bit) that indexes three compact arrays: fingerprint, count, keeping document. Documents send only (id, line hash)
-to the shard of each hash and probe the arrays there; lines and texts are not joined with lines. A shard with hot lines
-is replicated in proportion to the number of its probes, known from the counts, so that a line that a third of all
-documents hold is probed in many tasks.
+Lines are known by the 128-bit MD5 of their key. One aggregation counts the documents of each distinct line hash and
+finds the document that would keep the line. All of them are dealt to shards by hash. Each shard builds a minimal
+perfect hash (levels of bit arrays: a key that is alone at its position of a level gets the rank of that bit) that
+indexes three compact arrays: fingerprint, count, keeping document. Documents send only (id, text hash, line hash) to
+the shard of each hash and probe the arrays there: the fingerprint tells whether the line is known, the count whether it
+is frequent. Lines and texts are not joined with lines. A shard with hot lines is replicated in proportion to the number
+of its probes, known from the counts, so that a line that a third of all documents hold is probed in many tasks.
 
 A null or empty text is one empty line. Rows count as documents: rows that repeat an id count each, and the line stays
-in every row with the largest id. Null ids count as documents but never keep a line that another one holds.
+in every row with the largest id. Null ids count as documents but never keep a line that another one holds; what is
+found for a row goes back to it by id and text hash, so that rows without an id share nothing.
 """
 
 from __future__ import annotations
@@ -92,24 +93,26 @@ def _build_shard(key: tuple, table: pa.Table) -> pa.Table:
     pairs = _pairs(table.column("hash"))
     words, sizes = PerfectHash.build(pairs)
     at = PerfectHash(words, sizes).index(pairs)
-    arrays = [np.empty(len(at), t) for t in (np.uint64, np.int64, np.int64)]
-    for array, values in zip(arrays, (pairs[:, 1], table.column("n").to_numpy(), table.column("keeper").to_numpy()), strict=True):
+    arrays = [np.empty(len(at), t) for t in (np.uint64, np.uint32, np.int64)]
+    counts = np.minimum(table.column("n").to_numpy(), np.iinfo(np.uint32).max)
+    for array, values in zip(arrays, (pairs[:, 1], counts, table.column("keeper").to_numpy()), strict=True):
         array[at] = values
     row = [[key[0].as_py()], [0], *([x.tobytes()] for x in (words, sizes, *arrays))]
     return pa.table([pa.array(row[0], pa.int32()), pa.array(row[1], pa.int32()), *(pa.array(x, pa.binary()) for x in row[2:])], names=[f.split()[0] for f in SHARD.split(", ")])
 
 
-def _probe(probes: pa.Table, shard: pa.Table) -> pa.Table:
-    """The (id, hash) whose line is frequent and kept by another document."""
+def _probe(probes: pa.Table, shard: pa.Table, least_docs: int) -> pa.Table:
+    """The (id, t, hash) whose line is in ``least_docs`` documents and kept by another one."""
+    names = ["id", "t", "hash"]
     if not probes.num_rows or not shard.num_rows:
-        return probes.select(["id", "hash"]).slice(0, 0)
-    words, sizes, prints, _, keepers = (np.frombuffer(shard.column(c)[0].as_py(), t) for c, t in (("words", np.uint64), ("sizes", np.int64), ("prints", np.uint64), ("counts", np.int64), ("keepers", np.int64)))
+        return probes.select(names).slice(0, 0)
+    kinds = (("words", np.uint64), ("sizes", np.int64), ("prints", np.uint64), ("counts", np.uint32), ("keepers", np.int64))
+    words, sizes, prints, counts, keepers = (np.frombuffer(shard.column(c)[0].as_py(), t) for c, t in kinds)
     pairs = _pairs(probes.column("hash"))
     at = PerfectHash(words, sizes).index(pairs)
-    ids = probes.column("id").combine_chunks()
-    own = ids.fill_null(NO_ID).to_numpy()
-    drop = (at >= 0) & (prints[at] == pairs[:, 1]) & (keepers[at] != own)
-    return probes.select(["id", "hash"]).filter(pa.array(drop))
+    own = probes.column("id").combine_chunks().fill_null(NO_ID).to_numpy()
+    drop = (at >= 0) & (prints[at] == pairs[:, 1]) & (counts[at] >= least_docs) & (keepers[at] != own)
+    return probes.select(names).filter(pa.array(drop))
 
 
 NO_ID = -(2**63)
@@ -120,26 +123,26 @@ def dedup_lines(
 ) -> DataFrame:
     """(id_col, n_lines, n_dropped, text) for every row of docs: lines before dropping, lines dropped, what stays.
     Ids are integers."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                ids, found = [], []
-                for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                at, found = [], []
+                for i, t in enumerate(batch.column("text").to_pylist()):
                     own = {h for line in (t or "").split("\n") if (h := line_hash(line, least_chars))}
-                    ids += [i] * len(own)
+                    at += [i] * len(own)
                     found += own
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["id", "hash"])
+                which = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(which), batch.column("t").take(which), pa.array(found, pa.binary())], names=["id", "t", "hash"])
 
-    lines = rows.mapInArrow(hashed, "id long, hash binary")
+    lines = rows.mapInArrow(hashed, "id long, t long, hash binary")
     seen = Observation()
     counted = lines.groupBy("hash").agg(F.count("*").alias("n"), F.coalesce(F.max("id"), F.lit(NO_ID)).alias("keeper"))
-    frequent = materialise(counted.observe(seen, F.sum("n").alias("probes")).filter(F.col("n") >= least_docs), "lines")
-    keys = frequent.count()
-    shards = max(1, math.ceil(keys / SHARD_KEYS), math.ceil((seen.get["probes"] or 0) / SHARD_PROBES))
+    distinct = materialise(counted.observe(seen, F.sum("n").alias("probes"), F.count("*").alias("keys")), "lines")
+    shards = max(1, math.ceil(seen.get["keys"] / SHARD_KEYS), math.ceil((seen.get["probes"] or 0) / SHARD_PROBES))
     shard_of = F.pmod(F.xxhash64("hash"), F.lit(shards)).cast("int")
-    dealt = frequent.withColumn("shard", shard_of)
+    dealt = distinct.withColumn("shard", shard_of)
     # A row for each shard that needs more than one replica. No hint: Spark broadcasts it where its size allows that.
     loads = dealt.groupBy("shard").agg(F.ceil(F.sum("n") / SHARD_PROBES).cast("int").alias("replicas")).filter("replicas > 1")
     loads = materialise(loads, "loads")
@@ -147,11 +150,13 @@ def dedup_lines(
     replicated = lambda df: df.join(loads, "shard", "left").fillna(1, "replicas") if hot else df.withColumn("replicas", F.lit(1))
     arrays = replicated(dealt.groupBy("shard").applyInArrow(_build_shard, SHARD).drop("replica"))
     arrays = arrays.select("shard", F.explode(F.sequence(F.lit(0), F.col("replicas") - 1)).alias("replica"), *ARRAYS)
-    probes = replicated(lines.withColumn("shard", shard_of)).withColumn("replica", F.pmod(F.xxhash64("id"), F.col("replicas")).cast("int"))
-    probes = probes.select("id", "hash", "shard", "replica")
-    found = probes.groupBy("shard", "replica").cogroup(arrays.groupBy("shard", "replica")).applyInArrow(_probe, "id long, hash binary")
-    drops = found.groupBy("id").agg(F.collect_set("hash").alias("drops"))
-    joined = rows.join(drops.withColumnRenamed("id", "drop_id"), rows["id"].eqNullSafe(F.col("drop_id")), "left").select("id", "text", "drops")
+    probes = replicated(lines.withColumn("shard", shard_of)).withColumn("replica", F.pmod(F.xxhash64("id", "t"), F.col("replicas")).cast("int"))
+    probes = probes.select("id", "t", "hash", "shard", "replica")
+    together = probes.groupBy("shard", "replica").cogroup(arrays.groupBy("shard", "replica"))
+    found = together.applyInArrow(lambda mine, shard: _probe(mine, shard, least_docs), "id long, t long, hash binary")
+    drops = found.groupBy("id", "t").agg(F.collect_set("hash").alias("drops")).select(F.col("id").alias("drop_id"), F.col("t").alias("drop_t"), "drops")
+    own = rows["id"].eqNullSafe(F.col("drop_id")) & (rows["t"] == F.col("drop_t"))
+    joined = rows.join(drops, own, "left").select("id", "text", "drops")
 
     def dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
