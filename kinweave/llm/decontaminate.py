@@ -5,30 +5,37 @@ A shift table tells, for the two words that end the current alignment, how far t
 pattern; where it says zero, a bucket of the patterns ending in those two words is compared directly. Patterns shorter
 than the window length get a search of their own, since the shortest pattern bounds every jump.
 
-The benchmark is a query set: its windows go to the tasks in blocks of at most ``block_windows`` windows, so what is
-broadcast is bounded; with more windows the documents are scanned once per block and the hits joined by id.
-Documents are scanned where they lie: no shuffle of texts.
+The benchmark is a query set: its windows (not its items) are dealt to blocks of about ``block_windows`` by hash, so
+what is broadcast is bounded whatever the size of an item. With several blocks the documents are scanned once per block,
+one block after the other: a block's tables are made, used, and freed before the next one's. The hits of a pass are
+written and in the end joined to every row by id and text digest. Documents are scanned where they lie: no shuffle of
+texts. A text above 4 MB is cut into words piece by piece.
 
 A word is a run of ASCII digits and letters (A-Z lower-cased) and of all code points from U+0080 on. Null texts have no
-words. An item without words matches nothing. Items that repeat a window are all reported.
+words. An item without words matches nothing. Items that repeat a window are all reported. Rows that repeat an id, or
+have none, are each returned with the hits of their own text.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import materialise
 from .textbytes import slices
 
 WINDOW = 13
-#: Windows in one broadcast block at most: about 13 x 8 bytes of references and 200 bytes of text and tables each.
-BLOCK_WINDOWS = 200_000
+#: Windows in one broadcast block on average: 13 references of 8 bytes and about 200 bytes of tables each, and their words once.
+BLOCK_WINDOWS = 100_000
+#: Words that are held at a time of a text above LONG_BYTES.
+HELD_WORDS, LONG_BYTES = 1 << 17, 4 << 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -69,15 +76,21 @@ class Search:
             end += 1
 
 
-def _block_searches(items: list[tuple[object, str]], window: int) -> list[Search]:
+def windows_of(text: str | None, window: int) -> list[bytes]:
+    """The distinct windows of an item, their words joined by spaces; all words where they are fewer."""
+    words = words_of(text)
+    return sorted({b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1) if words else 0)})
+
+
+def searches_of(windows: Iterable[tuple[str, bytes]]) -> list[Search]:
+    """A search for each length among windows (item, joined words)."""
     by_length: dict[int, dict[tuple[bytes, ...], list]] = defaultdict(lambda: defaultdict(list))
-    for item, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            p = tuple(words[i : i + window])
-            if item not in (found := by_length[len(p)][p]):
-                found.append(item)
-    return [Search(p) for _, p in sorted(by_length.items())]
+    names: dict[str, str] = {}
+    known: dict[bytes, bytes] = {}
+    for item, joined in windows:
+        p = tuple(known.setdefault(w, w) for w in joined.split(b" "))
+        by_length[len(p)][p].append(names.setdefault(item, item))
+    return [Search({p: sorted({*of}) for p, of in found.items()}) for _, found in sorted(by_length.items())]
 
 
 def scan_words(searches: list[Search], words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
@@ -87,13 +100,35 @@ def scan_words(searches: list[Search], words: list[bytes]) -> tuple[list[tuple[i
         for at, of in s.hits(words):
             found.append((at, at + s.length))
             items.update(of)
+    return _joined(found), items
+
+
+def _joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if spans and a <= spans[-1][1]:
             spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
         else:
             spans.append((a, b))
-    return spans, items
+    return spans
+
+
+def scan_text(searches: list[Search], text: str | None, window: int) -> tuple[int, list[tuple[int, int]], set]:
+    """(words, spans, items) of one text. A long one is scanned by pieces that overlap by a window less a word."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    if len(raw) <= LONG_BYTES:
+        words = WORD.findall(raw)
+        return len(words), *(scan_words(searches, words) if words else ([], set()))
+    found, items, words, base = [], set(), [], 0
+    stream = (m[0] for m in WORD.finditer(raw))
+    while more := list(islice(stream, HELD_WORDS)):
+        overlap = min(window - 1, len(words))
+        base += len(words) - overlap
+        words = words[len(words) - overlap :] + more
+        spans, of = scan_words(searches, words)
+        found += [(base + a, base + b) for a, b in spans]
+        items |= of
+    return base + len(words), _joined(found), items
 
 
 def benchmark_hits(
@@ -107,53 +142,60 @@ def benchmark_hits(
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """(id_col, n_words, spans, items) for every row of docs: the word ranges under a benchmark window (end exclusive)
-    and the items, sorted as strings, whose windows occur. With several blocks the hits of rows of equal id and text are
-    joined once, and come back as many times as there are such rows."""
+    and the items, sorted as strings, whose windows occur."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL")
-    size = F.greatest(F.lit(1), F.octet_length("text") / 2)  # no item has more windows than half its bytes, or one
-    total = items.agg(F.sum(size)).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_windows))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = windows_of(text, window)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(own), pa.string()), pa.array(own, pa.binary())], names=["item", "words"])
+
+    windows = materialise(items.mapInArrow(cut, "item string, words binary").distinct(), "windows")
+    blocks = max(1, -(-windows.count() // block_windows))
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, digest binary, own int, n_words long, spans array<struct<start: bigint, end: bigint>>, items array<string>"
-    digest = F.lit(b"") if blocks == 1 else F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)) if blocks > 1 else F.lit(b"")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest.alias("digest"))
+    schema = f"id {kind}, digest binary, n_words long, spans array<struct<start: bigint, end: bigint>>, items array<string>"
 
-    def passed(block: int) -> DataFrame:
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        tables = spark.sparkContext.broadcast(_block_searches([(r["item"], r["text"]) for r in own.toLocalIterator()], window))
-
+    def scanned(tables) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            searches = tables.value
+            searches = tables.value if tables else []
             for whole in batches:
                 for batch in slices(whole, "text"):
                     n, spans, named = [], [], []
                     for t in batch.column("text").to_pylist():
-                        words = words_of(t)
-                        found, of = scan_words(searches, words) if words else ([], ())
-                        n.append(len(words))
+                        words, found, of = scan_text(searches, t, window)
+                        n.append(words)
                         spans.append([{"start": a, "end": b} for a, b in found])
                         named.append(sorted(of))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("id"), batch.column("digest"), pa.array([int(block == 0)] * len(n), pa.int32()), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(named, pa.list_(pa.string()))],
-                        names=["id", "digest", "own", "n_words", "spans", "items"],
-                    )
+                    columns = [batch.column("id"), batch.column("digest"), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(named, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n_words", "spans", "items"])
 
         return rows.mapInArrow(scan, schema)
 
-    out = passed(0)
-    for block in range(1, blocks):
-        out = out.unionAll(passed(block))
-    if blocks > 1:
-        gathered = out.groupBy("id", "digest").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-            F.sum("own").cast("int").alias("rows"),
-        )
-        joined = gathered.withColumn("spans", _joined_spans(F.col("spans")))
-        out = joined.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
+    def sent(block: int):
+        own = windows if blocks == 1 else windows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
+        return spark.sparkContext.broadcast(searches_of((r["item"], bytes(r["words"])) for r in own.toLocalIterator()))
+
+    if blocks == 1:
+        return scanned(sent(0)).select(F.col("id").alias(id_col), "n_words", "spans", "items")
+    hits = None
+    for block in range(blocks):
+        tables = sent(block)
+        own = materialise(scanned(tables).filter(F.size("items") > 0).select("id", "digest", "spans", "items"), "hits")
+        tables.unpersist()
+        hits = own if hits is None else hits.unionAll(own)
+    gathered = hits.groupBy("id", "digest").agg(
+        _joined_spans(F.array_sort(F.flatten(F.collect_set("spans")))).alias("found"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("of"),
+    )
+    gathered = gathered.select(F.col("id").alias("hit_id"), F.col("digest").alias("hit_digest"), "found", "of")
+    every = scanned(None).select("id", "digest", "n_words")
+    out = every.join(gathered, every["id"].eqNullSafe(gathered["hit_id"]) & (every["digest"] == gathered["hit_digest"]), "left")
+    nothing = lambda name: F.array().cast(gathered.schema[name].dataType)
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("found", nothing("found")).alias("spans"), F.coalesce("of", nothing("of")).alias("items"))
 
 
 def _joined_spans(spans: F.Column) -> F.Column:
