@@ -7,7 +7,7 @@ of them and weights them, and the result is compiled into one Spark column expre
 The fit reads labelled rows only, at most ``most_labelled`` of them, taken in the order of a hash of the id, so that
 the sample doesn't depend on the layout of the tables. The statistics of the sample are fitted by Spark's own learners.
 Everything else covers all rows and whole texts, without a shuffle. A null or empty text has statistics of zero and is
-scored like any other.
+scored like any other. Texts above 4 MB are read in parts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import RangeHash, buffer_of, slices, word_bounds
+from .textbytes import PART_BYTES, RangeHash, buffer_of, slices, word_bounds, word_parts
 
 MOST_LABELLED = 20_000
 STATISTICS = (
@@ -45,57 +45,87 @@ FIRST = np.ones(256, bool)
 FIRST[0x80:0xC0] = False  # bytes that go on a code point
 
 
-def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of STATISTICS for each text of the buffer."""
+COUNTS = (
+    "chars", "words", "word_chars", "capitals", "digits", "stops", "marks", "symbols", "bars", "breaks",
+    "first_caps", "all_caps", "doubled", "distinct", "long_words", "symbol_words", "mark_words",
+)
+
+
+def _counts(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(COUNTS by name for each text of the buffer, hashes of the words in their order)"""
     n = len(offsets) - 1
-    total = lambda flag: np.diff(np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])[offsets])
+    sums = lambda flag: np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])
+    total = lambda flag: np.diff(sums(flag)[offsets])
     capital = CAPITAL[data]
     # Capitals of the Latin-1 letters: 0xC3 0x80 to 0x9E.
     capital[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
-    chars, caps = total(FIRST[data]), total(capital)
-    lines = total(data == 0x0A) + 1
     start, end, doc = word_bounds(data, offsets)
-    words = np.bincount(doc, minlength=n)
-    sums = lambda flag: np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])
-    per = lambda flag: np.bincount(doc, weights=flag, minlength=n)
-    length, cap_sum = sums(FIRST[data]), sums(capital)
-    word_len = length[end] - length[start]
-    word_caps = cap_sum[end] - cap_sum[start]
-    symbol, mark = SYMBOL[data], MARK[data]
-    symbol_sum, mark_sum = sums(symbol), sums(mark)
+    per = lambda flag: np.bincount(doc, weights=flag, minlength=n).astype(np.int64)
+    within = lambda flag: (s := sums(flag))[end] - s[start]
+    word_len, word_caps = within(FIRST[data]), within(capital)
     hashed = RangeHash(data)(start, end)
     same = np.zeros(len(start), bool)
     same[1:] = (hashed[1:] == hashed[:-1]) & (doc[1:] == doc[:-1])
     order = np.lexsort((hashed, doc))
     new = np.ones(len(start), bool)
     new[1:] = (hashed[order][1:] != hashed[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-    distinct = np.bincount(doc[order][new], minlength=n)
-    c, w = np.maximum(chars, 1), np.maximum(words, 1)
+    columns = (
+        total(FIRST[data]), np.bincount(doc, minlength=n), per(word_len), total(capital), total(DIGIT[data]), total(STOP[data]), total(MARK[data]),
+        total(SYMBOL[data]), total(BAR[data]), total(data == 0x0A), per(word_caps > 0), per((word_caps >= 2) & (2 * word_caps >= word_len)),
+        per(same), np.bincount(doc[order][new], minlength=n), per(word_len > 14), per(within(SYMBOL[data]) > 0), per(within(MARK[data]) > 0),
+    )
+    return dict(zip(COUNTS, columns, strict=True)), hashed
+
+
+def _counts_in_parts(data: np.ndarray) -> dict[str, np.ndarray]:
+    """``_counts`` of one long text, read in parts that are cut at white space."""
+    total, seen, last = dict.fromkeys(COUNTS, 0), np.zeros(0, np.uint64), None
+    for a, b in word_parts(data):
+        own, hashed = _counts(data[a:b], np.array([0, b - a]))
+        for k in COUNTS:
+            total[k] = total[k] + own[k]
+        if len(hashed):
+            total["doubled"] = total["doubled"] + int(hashed[0] == last)
+            last, seen = hashed[-1], np.unique(np.concatenate([seen, hashed]))
+    return total | {"distinct": np.array([len(seen)])}
+
+
+def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row of STATISTICS for each text of the buffer."""
+    x = _counts_in_parts(data) if len(offsets) == 2 and len(data) > PART_BYTES else _counts(data, offsets)[0]
+    c, w, lines = np.maximum(x["chars"], 1), np.maximum(x["words"], 1), x["breaks"] + 1
     columns = [
-        chars, words, per(word_len) / w, caps / c, total(DIGIT[data]) / c, total(STOP[data]) / w, total(mark) / w, total(symbol) / w,
-        total(BAR[data]) / w, lines, chars / lines, per(word_caps > 0) / w, per((word_caps >= 2) & (2 * word_caps >= word_len)) / w,
-        per(same) / w, distinct / w, per(word_len > 14) / w, per(symbol_sum[end] > symbol_sum[start]) / w, per(mark_sum[end] > mark_sum[start]) / w,
+        x["chars"], x["words"], x["word_chars"] / w, x["capitals"] / c, x["digits"] / c, x["stops"] / w, x["marks"] / w, x["symbols"] / w,
+        x["bars"] / w, lines, x["chars"] / lines, x["first_caps"] / w, x["all_caps"] / w, x["doubled"] / w, x["distinct"] / w,
+        x["long_words"] / w, x["symbol_words"] / w, x["mark_words"] / w,
     ]
-    return np.column_stack([np.asarray(x, np.float64) for x in columns])
+    return np.column_stack([np.asarray(v, np.float64) for v in columns])
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, *keep, *STATISTICS) for every row of docs. ``keep`` names other columns to pass through."""
-    names = [id_col, *keep]
-    text_at = f"k{names.index(text_col)}" if text_col in names else text_col
+def _statistics(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` as k0, k1 and so on, whatever their names, and STATISTICS."""
+    text_at = f"k{keep.index(text_col)}" if text_col in keep else "text"
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_at):
                 found = statistics(*buffer_of(batch.column(text_at)))
-                columns = [batch.column(i) for i in range(len(names))] + [pa.array(x) for x in found.T]
-                yield pa.RecordBatch.from_arrays(columns, names=[*(f"k{i}" for i in range(len(names))), *STATISTICS])
+                columns = [batch.column(i) for i in range(len(keep))] + [pa.array(x) for x in found.T]
+                yield pa.RecordBatch.from_arrays(columns, names=[*(f"k{i}" for i in range(len(keep))), *STATISTICS])
 
-    kinds = [docs.schema[c].dataType.simpleString() for c in names]
+    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     schema = ", ".join([*(f"k{i} {k}" for i, k in enumerate(kinds)), *(f"{s} double" for s in STATISTICS)])
-    chosen = [*(F.col(c).alias(f"k{i}") for i, c in enumerate(names)), *([F.col(text_col)] if text_at == text_col else [])]
-    out = docs.select(*chosen).mapInArrow(stats, schema)
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), *STATISTICS)
+    chosen = [*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), *([F.col(f"`{text_col}`").alias("text")] if text_at == "text" else [])]
+    return docs.select(*chosen).mapInArrow(stats, schema)
+
+
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, *keep, *STATISTICS) for every row of docs. ``keep`` names other columns to pass through; one with the name
+    of a statistic is refused here (``score_quality`` takes it)."""
+    names = (id_col, *keep)
+    if clash := {*names} & {*STATISTICS}:
+        raise ValueError(f"columns named like statistics: {sorted(clash)}")
+    return _statistics(docs, text_col, names).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), *STATISTICS)
 
 
 @dataclass(frozen=True)
@@ -182,7 +212,8 @@ def fit_quality(
 
 
 def score_quality(docs: DataFrame, ensemble: Ensemble, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, *keep, score, predicted) for every row of docs."""
-    stats = text_statistics(docs, id_col, text_col, keep)
-    scored = stats.select(id_col, *keep, ensemble.score().alias("score"))
+    """(id_col, *keep, score, predicted) for every row of docs; kept columns may have the names of statistics."""
+    names = (id_col, *keep)
+    stats = _statistics(docs, text_col, names)
+    scored = stats.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), ensemble.score().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
