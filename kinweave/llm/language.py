@@ -1,8 +1,9 @@
 """Language ID by compression: a text's language is the one whose dictionary compresses it best.
 
-Per language a raw-content zstandard dictionary is made of excerpts from labelled documents: about ``SAMPLE_DOCS``
-documents a language, chosen by a hash of the id, each with an equal share of ``DICTIONARY_BYTES``: half of it from the
-text's start, half from a later place, so what is broadcast is bounded by the number of languages. Every whole text is then cut into blocks (so that the dictionary, not the text's own
+Per language a raw-content zstandard dictionary is made of excerpts from labelled documents: about ``sample_docs``
+documents a language, chosen by a hash of id and text, each with an equal share of ``dictionary_bytes``: half of it from
+the text's start, half from a later place, in excerpts of at most ``excerpt_chars``. These three bounds of the labelled
+sample, and of what is broadcast for each language, are arguments of ``learn_languages``. Every whole text is then cut into blocks (so that the dictionary, not the text's own
 past, does the work), each block is encoded with every dictionary, and the sizes are summed. The smallest sum wins;
 where the runner-up is less than ``margin`` larger, the prediction is marked as rejected. One pass, no shuffle.
 
@@ -38,9 +39,12 @@ def letters_of(text: str) -> bytes:
 
 
 def learn_languages(
-    docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
-) -> dict[str, bytes]:
-    """Dictionary contents by language, the most frequent first, from rows where ``learn`` (over ``__id``) holds and the language isn't null."""
+    docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    sample_docs: int = SAMPLE_DOCS, excerpt_chars: int = EXCERPT_CHARS, dictionary_bytes: int = DICTIONARY_BYTES,
+) -> dict[str, bytes]:
+    """Dictionary contents by language, the most frequent first, from rows where ``learn`` (over ``__id``) holds and the
+    language isn't null. ``sample_docs`` labelled documents of a language are read on average (all, where it has fewer),
+    of each ``excerpt_chars`` at its start and as many further on; a dictionary has at most ``dictionary_bytes``."""
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
     rows = rows.filter(learn & F.col("__lang").isNotNull() & F.col("__text").rlike(r"\p{L}"))
     counts = {r["__lang"]: r["count"] for r in rows.groupBy("__lang").count().collect()}
@@ -48,23 +52,23 @@ def learn_languages(
         return {}
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
-        share = F.when(F.col("__lang") == lang, F.lit(min(1.0, SAMPLE_DOCS / n))).otherwise(share)
+        share = F.when(F.col("__lang") == lang, F.lit(min(1.0, sample_docs / n))).otherwise(share)
     place = F.xxhash64("__id", "__text")
     picked = rows.filter(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30))
     # A later part of the text as well as its start, so that boilerplate at the top doesn't fill the dictionary: from the
     # middle of a short text, from a place chosen by hash beyond the first excerpt of a long one.
     length = F.length("__text")
-    free = F.greatest(F.lit(1), length - 2 * EXCERPT_CHARS + 1)
-    begin = F.least(F.lit(EXCERPT_CHARS), F.floor(length / 2)) + F.pmod(F.xxhash64("__text", "__id"), free) + 1
-    start, later = F.substring("__text", 1, EXCERPT_CHARS), F.substring(F.col("__text"), begin.cast("int"), F.lit(EXCERPT_CHARS))
+    free = F.greatest(F.lit(1), length - 2 * excerpt_chars + 1)
+    begin = F.least(F.lit(excerpt_chars), F.floor(length / 2)) + F.pmod(F.xxhash64("__text", "__id"), free) + 1
+    start, later = F.substring("__text", 1, excerpt_chars), F.substring(F.col("__text"), begin.cast("int"), F.lit(excerpt_chars))
     by_lang: dict[str, list[tuple[bytes, bytes]]] = defaultdict(list)
     for r in picked.select("__lang", place.alias("place"), start.alias("start"), later.alias("later")).orderBy("__lang", "place").toLocalIterator():
         by_lang[r["__lang"]].append((letters_of(r["start"]), letters_of(r["later"])))
     out = {}
     for lang, parts in sorted(by_lang.items(), key=lambda x: (-counts[x[0]], x[0])):
-        size = max(200, DICTIONARY_BYTES // len(parts))
+        size = max(200, dictionary_bytes // len(parts))
         half = size // 2
-        out[lang] = b" ".join(p for pair in parts for p in (pair[0][:half], pair[1][: size - half - 1]))[:DICTIONARY_BYTES]
+        out[lang] = b" ".join(p for pair in parts for p in (pair[0][:half], pair[1][: size - half - 1]))[:dictionary_bytes]
     return out
 
 
