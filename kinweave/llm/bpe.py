@@ -16,6 +16,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -32,9 +33,12 @@ from .textbytes import slices
 
 #: Fixed value: the pattern that the vocabulary's own file names for cutting words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+BREAK = re.compile(r"[ \n]")
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
-#: Words that a task's cache holds at most; a full cache starts anew.
-CACHE_WORDS = 300_000
+#: Words that a task's cache holds at most, and characters of each: together about 100 MB. A full cache starts anew.
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: A longer text is encoded in parts, cut before white space, which no word holds; ids are decoded as many at a time.
+PART_CHARS = 1 << 20
 BATCH_BYTES = 1 << 20
 
 
@@ -67,6 +71,7 @@ class Vocabulary:
         self.last = [self.ids.get(s + self.ending) for s in symbols]
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.words, self.ascii_words = regex.compile(WORDS), re.compile(ASCII_WORDS)
+        self.parted = not any(BREAK.search(t) for t in self.special)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -99,12 +104,26 @@ class Vocabulary:
         return tuple(s for s in symbols if s >= 0)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
-        self.known[word] = out = self.word(word)
+        out = self.word(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+            self.known[word] = out
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> array:
+        """Ids as unsigned 32-bit integers."""
+        out, at = array("I"), 0
+        while len(text) - at > PART_CHARS and self.parted:
+            cut = BREAK.search(text, at + PART_CHARS)
+            if not cut:
+                break
+            out.extend(self._encode(text[at : cut.start()]))
+            at = cut.start()
+        out.extend(self._encode(text[at:] if at else text))
+        return out
+
+    def _encode(self, text: str) -> list[int]:
         out: list[int] = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
@@ -125,8 +144,8 @@ class Vocabulary:
         return out
 
     def decode(self, ids) -> str:
-        strings = self.strings
-        return " ".join([strings[i] for i in ids])
+        strings, ids = self.strings, np.asarray(ids, np.int64)
+        return " ".join(" ".join([strings[i] for i in ids[a : a + PART_CHARS].tolist()]) for a in range(0, len(ids), PART_CHARS))
 
 
 @cache
@@ -145,10 +164,10 @@ def bpe_encode(
         v = vocabulary(vocabulary_path)
         for whole in batches:
             for batch in slices(whole, text_col, BATCH_BYTES):
-                ids = [np.array(v.encode(t or ""), "<u4") for t in batch.column(text_col).to_pylist()]
+                ids = [np.frombuffer(v.encode(t or ""), np.uint32).astype("<u4") for t in batch.column(text_col).to_pylist()]
                 columns = [batch.column(id_col), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
                 if decoded:
-                    columns.append(pa.array([v.decode(x.tolist()) for x in ids], pa.string()))
+                    columns.append(pa.array([v.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids", "decoded"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -162,7 +181,7 @@ def bpe_decode(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocabulary_path)
         for batch in batches:
-            texts = [v.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(ids_col).to_pylist()]
+            texts = [v.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(texts, pa.string())], names=["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
