@@ -115,7 +115,9 @@ def trigrams(query: Query) -> set[str]:
 
 
 class BatchIndex:
-    """Postings of the wanted trigrams over the texts of one batch."""
+    """Postings of the wanted trigrams over the texts of one batch, built piece by piece."""
+
+    PIECE = 1 << 20
 
     def __init__(self, wanted: list[str]):
         self.wanted = wanted
@@ -125,14 +127,21 @@ class BatchIndex:
             self.number[a << 16 | b << 8 | d] = i + 1
 
     def build(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-        low = LOWER[data].astype(np.int32)
-        code = self.number[(low[:-2] << 16) | (low[1:-1] << 8) | low[2:]] if len(low) > 2 else np.zeros(0, np.uint8)
-        at = np.flatnonzero(code)
-        doc = np.searchsorted(offsets, at, "right") - 1
-        inside = at + 3 <= offsets[doc + 1]
-        at, doc = at[inside], doc[inside]
-        which = code[at]
-        return {t: np.unique(doc[which == i + 1]) for i, t in enumerate(self.wanted)}
+        found: list[list[np.ndarray]] = [[] for _ in self.wanted]
+        for a in range(0, len(data), self.PIECE):
+            low = LOWER[data[a : a + self.PIECE + 2]].astype(np.int32)
+            if len(low) < 3:
+                break
+            code = self.number[(low[:-2] << 16) | (low[1:-1] << 8) | low[2:]]
+            at = np.flatnonzero(code)
+            which, at = code[at], at + a
+            doc = np.searchsorted(offsets, at, "right") - 1
+            inside = at + 3 <= offsets[doc + 1]
+            which, doc = which[inside], doc[inside]
+            for i in np.unique(which).tolist():
+                found[i - 1].append(np.unique(doc[which == i]))
+        none = np.zeros(0, np.int64)
+        return {t: np.unique(np.concatenate([none, *own])) for t, own in zip(self.wanted, found, strict=True)}
 
     def ask(self, query: Query, postings: dict[str, np.ndarray], n: int) -> np.ndarray:
         if query is True:
