@@ -1,7 +1,10 @@
 """The corpus pipeline: quality, exact dedup, near-dedup, decontamination, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but the last return
-the columns of documents. Rows with an empty or null text are judged like any others. A null id stays with its row."""
+the columns of documents. Rows with an empty or null text are judged like any others. Every row is judged on its own,
+also where ids repeat or are null: such rows work under a stand-in number, beyond all ids, for as long as a stage lasts.
+Of equal texts, or of a group of near copies, a row whose id is its own thus stays before one whose id repeats. Extra
+columns pass through, whatever their names (but for ``__row``, a stage's own)."""
 
 from __future__ import annotations
 
@@ -20,33 +23,57 @@ from kinweave.llm.shared import materialise
 NEAR = 80
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    own = ids.select(F.col("doc_id").alias("__id"))
-    return docs.join(own, docs["doc_id"].eqNullSafe(own["__id"]), how)
+#: Names of the working columns; those of documents may not be so called.
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for every row: the id where no other row has it, else one beyond all ids."""
+    ids = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = materialise(ids.filter("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")), "repeated-ids")
+    nulls, several = docs.filter("doc_id IS NULL"), repeated.limit(1).count() > 0
+    if not several and not nulls.limit(1).count():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    own = docs.filter("doc_id IS NOT NULL")
+    again = own.join(repeated, own["doc_id"] == repeated["__id"], "left_semi").unionAll(nulls)
+    after = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    # Written once, so that a row keeps its number.
+    again = materialise(again.withColumn(ROW, F.monotonically_increasing_id() + F.lit(after).cast("long")), "stand-ins")
+    return own.join(repeated, own["doc_id"] == repeated["__id"], "left_anti").withColumn(ROW, F.col("doc_id").cast("long")).unionAll(again)
+
+
+def _only(numbered: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """The rows of documents whose number is among those of ``found`` (left_semi), or isn't (left_anti)."""
+    return numbered.join(found.select(ROW), ROW, how).drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, fitted to labels.quality, rejects go."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return score_quality(docs, model, keep=rest).filter("predicted = 1").select(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever names other columns have, none clashes
+    own = dict(zip(docs.columns, names, strict=True))
+    scored = score_quality(docs.toDF(*names), model, own["doc_id"], own["text"], tuple(n for n in names if n != own["doc_id"]))
+    return scored.filter("predicted = 1").select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest id stays."""
-    return _only(docs, exact_dedup(docs, keep="smallest").filter("kept"), "left_semi")
+    """Of equal texts the one with the smallest id stays; of fully equal rows one."""
+    rows = _numbered(docs)
+    return _only(rows, exact_dedup(rows, id_col=ROW, keep="smallest").filter("kept"), "left_semi").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (a Jaccard similarity of 0.8 or more on five-word shingles) the document with the
     smallest id stays."""
-    return _only(docs, near_dedup(docs, least=NEAR).filter("kept"), "left_semi")
+    rows = _numbered(docs)
+    return _only(rows, near_dedup(rows, id_col=ROW, least=NEAR).filter("kept"), "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words under benchmark windows go."""
-    hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, hits.filter(contaminated(words_hit(F.col("spans")), F.col("n_words"))), "left_anti")
+    rows = _numbered(docs)
+    hits = benchmark_hits(rows, table(spark, sf_dir, "benchmark"), id_col=ROW)
+    return _only(rows, hits.filter(contaminated(words_hit(F.col("spans")), F.col("n_words"))), "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
