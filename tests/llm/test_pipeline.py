@@ -19,7 +19,7 @@ def test_stages(spark, sf):
         out = stage(spark, docs, sf)
         if name == "bpe":
             got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in out.collect()}
-            assert got == {i: v.encode(t or "") for i, t in before.items()}
+            assert got == {i: list(v.encode(t or "")) for i, t in before.items()}
             break
         assert out.columns == docs.columns
         stay = {r["doc_id"] for r in out.collect()}
@@ -33,7 +33,7 @@ def test_stages(spark, sf):
                 first.setdefault(before[i], i)
             assert stay == {*first.values()}
         elif name == "near_dedup":
-            assert stay == {i for i, (_, c) in plain(before.items()).items() if i == c}
+            assert stay == {i for i, (_, c) in plain(before.items(), least=cp.NEAR).items() if i == c}
         else:
             hits = {i: plain_hits(t, items) for i, t in before.items()}
             assert stay == {i for i, (n, hit, _) in hits.items() if not (hit and 20 * hit >= n)}
@@ -80,3 +80,35 @@ def test_language(spark):
         assert 0 <= got[i]["score"] <= 1
     assert learn_languages(docs.limit(0), F.lit(True)) == {}
     assert {r["lang_pred"] for r in identify_languages(docs, {}).collect()} == {"und"}
+
+
+def run_stage(spark, sf, name, rows, more=""):
+    docs = spark.createDataFrame(rows, "doc_id long, text string" + more)
+    out = dict(cp.STAGES)[name](spark, docs, sf)
+    assert out.columns == docs.columns
+    return sorted((tuple(r) for r in out.collect()), key=repr)
+
+
+def test_rows_of_repeated_and_null_ids(spark, sf):
+    a, b = "one text that stands here more than once", "and quite another text of some words too"
+    got = run_stage(spark, sf, "exact_dedup", [(1, a), (1, a), (1, b), (0, b), (None, a), (None, None), (None, "")])
+    texts = [t or "" for _, t in got]
+    assert sorted(texts) == sorted([a, b, ""]) and (0, b) in got
+    got = run_stage(spark, sf, "near_dedup", [(7, b), (7, a), (9, a + " tail"), (None, "x y z"), (None, b + " more")])
+    assert {t for _, t in got} >= {"x y z"}
+    long = " ".join(f"w{i}" for i in range(60))
+    got = run_stage(spark, sf, "near_dedup", [(5, long), (7, long + " end"), (7, "other"), (None, "start " + long), (None, None), (None, "lone")])
+    assert got == sorted([(5, long), (7, "other"), (None, None), (None, "lone")], key=repr)
+    item = next(r["text"] for r in queries.table(spark, sf, "benchmark").collect() if len((r["text"] or "").split()) > 15)
+    got = run_stage(spark, sf, "decontaminate", [(3, "clean"), (3, item), (None, item), (None, "clean too"), (4, None)])
+    assert got == sorted([(3, "clean"), (None, "clean too"), (4, None)], key=repr)
+
+
+def test_columns_named_like_statistics(spark, sf):
+    rows = [tuple(r) for r in queries.table(spark, sf, "documents").select("doc_id", "text").limit(40).collect()]
+    plain_ = run_stage(spark, sf, "quality", rows)
+    clashing = ", words int, chars string, score double, predicted int, n_words long, kept boolean, spans string, digest int"
+    got = run_stage(spark, sf, "quality", [(*r, 1, "c", 0.5, 0, 2, True, "s", 3) for r in rows], clashing)
+    assert sorted(r[:2] for r in got) == sorted(plain_) and all(r[2:] == (1, "c", 0.5, 0, 2, True, "s", 3) for r in got)
+    for name in ("exact_dedup", "near_dedup", "decontaminate"):
+        assert len(run_stage(spark, sf, name, [(*r, 1, "c", 0.5, 0, 2, True, "s", 3) for r in rows[:5]], clashing)) <= 5
