@@ -21,8 +21,11 @@ from .shared import crc_text
 from .substring_dedup import dedup_substrings
 from .url_filter import filter_urls
 
-#: Fixed value: hosts with a label that starts so are the block list of op3.
-LISTED_HOST = r"(^|\.)spam"
+#: Names of junk sites, each blocked with its subdomains under every one of the roots. These domains are
+#: the block list of op3.
+JUNK_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+ROOTS = ("example.com", "example.net", "example.org")
+LISTED = tuple(f"{name}.{root}" for name in JUNK_NAMES for root in ROOTS)
 
 
 def vocabulary_path() -> str:
@@ -53,22 +56,26 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = filter_urls(table(spark, sf_dir, "pages"), F.col("host").rlike(LISTED_HOST))
+    listed = spark.createDataFrame([(d,) for d in LISTED], "key string")
+    found = filter_urls(table(spark, sf_dir, "pages"), listed)
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
 OP3_SQL = r"""
-WITH u AS (
-  SELECT page_id,
-         coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1, 's'), '') AS path
-  FROM pages),
+WITH n AS (SELECT unnest(['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS name),
+listed AS (SELECT name || '.example.' || root AS domain FROM n CROSS JOIN (SELECT unnest(['com', 'net', 'org']) AS root) z),
+s AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS own FROM s),
+u AS (
+  SELECT page_id, coalesce(translate(own, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(substring(rest, length(own) + 1), '^[^?#]*'), '') AS path
+  FROM p),
 r(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 f AS (
   SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
   FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
 SELECT u.page_id, host, path, f.rule AS rule,
-       coalesce(f.verdict, CASE WHEN regexp_matches(host, '(^|\.)spam') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(f.verdict, CASE WHEN EXISTS (SELECT 1 FROM listed l WHERE u.host = l.domain OR ends_with(u.host, '.' || l.domain)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN f ON u.page_id = f.page_id
 """
 

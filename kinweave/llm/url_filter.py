@@ -1,13 +1,17 @@
-"""URL filters: ordered host and path rules, and a Bloom filter cascade for long key lists.
+"""URL filters: ordered host and path rules, and a Bloom filter cascade for long lists of blocked domains.
 
 The cascade answers "is this key listed?" without a join and without error for every key of a known universe (all keys
 of the corpus): level 0 is a Bloom filter of the listed keys; level 1 one of the unlisted keys that level 0 lets
-through; level 2 one of the listed keys that level 1 lets through, and so on until a level lets nothing wrong through.
-A key's answer is the parity of the first level that rejects it.
+through; level 2 one of the listed keys that level 1 lets through, and so on. A key's answer is the parity of the first
+level that rejects it. Every level hashes the keys' bytes anew, with a seed of its own; once few keys are left to tell
+apart, or levels stop helping, the rest is a list of keys, so building always ends.
 
-Levels are built by Spark: each task hashes its keys to bit positions, the words of the bit array are OR-ed in one
-aggregation. Only the finished bit arrays reach the driver and are broadcast, and only up to ``max_bytes``: the size is
-known from the key count before a level is built. A longer list is answered by a join instead, exactly the same.
+A row's keys (the suffixes of its host, as far as a listed domain can be one) are listed where one of them is. Rows and
+keys are dealt to shards by host, and a task builds the cascade of each shard: nothing about keys reaches the driver.
+Where all cascades together are within ``max_bytes`` they are broadcast and rows are probed where they lie; beyond that
+rows travel to the cascade of their shard, in replicas of it as many as its rows need.
+
+Null urls have an empty host and path. Rows that repeat are judged each; other columns of pages are not read.
 """
 
 from __future__ import annotations
@@ -17,15 +21,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import materialise
-from .textbytes import RangeHash, buffer_of
 
-#: All levels together; the driver's and every executor's share of memory for a list of about 40 million keys.
+#: All cascades together, where they are broadcast; about 40 million listed keys.
 MAX_BYTES = 64 << 20
+#: Hosts of a shard, and rows of one replica of it, on average.
+SHARD_HOSTS, SHARD_ROWS = 200_000, 200_000
+#: Keys that are left as a list, and levels at most.
+LISTED_REST, MOST_LEVELS = 16, 48
 HASHES = 4
 #: Fixed values: (verdict, host, path prefix).
 RULES = (
@@ -69,114 +78,153 @@ def bits_for(n: int, rate: float) -> int:
     return 64 * max(1, math.ceil(-HASHES * n / math.log(1 - rate ** (1 / HASHES)) / 64))
 
 
-def _positions(keys: pa.Array, bits: int, level: int) -> np.ndarray:
-    """HASHES bit positions for each key, by double hashing."""
-    data, offsets = buffer_of(keys)
-    ranges = RangeHash(data)
-    one, two = ranges(offsets[:-1], offsets[1:], 2 * level), ranges(offsets[:-1], offsets[1:], 2 * level + 1) | np.uint64(1)
+def _positions(keys: list[bytes], bits: int, level: int) -> np.ndarray:
+    """HASHES bit positions for each key, by double hashing of two 64-bit hashes that belong to the level alone."""
+    digest = xxhash.xxh3_128_digest
+    two = np.frombuffer(b"".join([digest(k, level + 1) for k in keys]), "<u8").reshape(-1, 2)
     with np.errstate(over="ignore"):
-        at = one[:, None] + two[:, None] * np.arange(HASHES, dtype=np.uint64)
+        at = two[:, :1] + (two[:, 1:] | np.uint64(1)) * np.arange(HASHES, dtype=np.uint64)
     return (at % np.uint64(bits)).astype(np.int64)
 
 
-def _passes(words: np.ndarray, keys: pa.Array, level: int) -> np.ndarray:
+def _passes(words: np.ndarray, keys: list[bytes], level: int) -> np.ndarray:
     at = _positions(keys, 64 * len(words), level)
     return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
 
 
-def lookup(levels: list[np.ndarray], keys: pa.Array) -> np.ndarray:
-    """Which keys are listed. Exact for keys of the universe that the levels were built over."""
-    listed, open_ = np.zeros(len(keys), bool), np.arange(len(keys))
-    for level, words in enumerate(levels):
-        through = _passes(words, keys.take(pa.array(open_)), level)
-        listed[open_[~through]] = level % 2 == 1
-        open_ = open_[through]
-    listed[open_] = len(levels) % 2 == 1
-    return listed
-
-
-def _built(keys: DataFrame, bits: int, level: int) -> np.ndarray:
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(_positions(b.column("key"), bits, level))
-            word, first = np.unique(at >> 6, return_index=True)
-            one = np.left_shift(np.uint64(1), (at & 63).astype(np.uint64))
-            got = np.bitwise_or.reduceat(one, first) if len(first) else one
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(got.view(np.int64))], names=["word", "bits"])
-
-    table = keys.select("key").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+class Cascade:
+    """Bit arrays by level, and the keys (of the side that the next level would encode) that are left as a list."""
+
+    def __init__(self, levels: list[np.ndarray], rest: set[bytes]):
+        self.levels, self.rest = levels, rest
+
+    @classmethod
+    def build(cls, listed: list[bytes], others: list[bytes]) -> Cascade:
+        levels: list[np.ndarray] = []
+        own, other = listed, others
+        while len(own) > LISTED_REST and len(levels) < MOST_LEVELS:
+            # The first level lets few through when the other side is far larger; later ones halve what is left.
+            rate = max(1e-6, min(0.5, len(own) / max(1, len(other)) / 2)) if not levels else 0.5
+            words = np.zeros(bits_for(len(own), rate) // 64, np.uint64)
+            at = _positions(own, 64 * len(words), len(levels)).reshape(-1)
+            np.bitwise_or.at(words, at >> 6, np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)))
+            through = _passes(words, other, len(levels)) if other else np.zeros(0, bool)
+            levels.append(words)
+            own, other = [k for k, on in zip(other, through.tolist(), strict=True) if on], own
+        return cls(levels, {*own})
+
+    def lookup(self, keys: list[bytes]) -> np.ndarray:
+        """Which keys are listed. Exact for keys of the universe that the cascade was built over."""
+        listed, open_ = np.zeros(len(keys), bool), np.arange(len(keys))
+        for level, words in enumerate(self.levels):
+            through = _passes(words, [keys[i] for i in open_.tolist()], level) if len(open_) else np.zeros(0, bool)
+            listed[open_[~through]] = level % 2 == 1
+            open_ = open_[through]
+        side = len(self.levels) % 2 == 0
+        for i in open_.tolist():
+            listed[i] = (keys[i] in self.rest) == side
+        return listed
+
+
+CASCADE = "shard int, bytes long, levels array<binary>, rest array<binary>"
+
+
+def _build_shard(key: tuple, table: pa.Table) -> pa.Table:
+    names = [k.encode("utf-8", "surrogatepass") for k in table.column("key").to_pylist()]
+    flags = table.column("listed").to_pylist()
+    built = Cascade.build([k for k, on in zip(names, flags, strict=True) if on], [k for k, on in zip(names, flags, strict=True) if not on])
+    size = sum(x.nbytes for x in built.levels) + sum(map(len, built.rest))
+    columns = [pa.array([key[0].as_py()], pa.int32()), pa.array([size], pa.int64()), pa.array([[x.tobytes() for x in built.levels]], pa.list_(pa.binary())), pa.array([sorted(built.rest)], pa.list_(pa.binary()))]
+    return pa.table(columns, names=["shard", "bytes", "levels", "rest"])
+
+
+def _read(levels: list[bytes], rest: list[bytes]) -> Cascade:
+    return Cascade([np.frombuffer(x, np.uint64) for x in levels], {*rest})
+
+
+def _any_listed(cascade: Cascade, keys: pa.Array) -> np.ndarray:
+    """For each list of keys whether one of them is listed; each distinct key is looked up once."""
+    flat = keys.flatten().dictionary_encode()
+    known = cascade.lookup([k.encode("utf-8", "surrogatepass") for k in flat.dictionary.to_pylist()])
+    owner = np.repeat(np.arange(len(keys)), pc.fill_null(pc.list_value_length(keys), 0).to_numpy())
+    out = np.zeros(len(keys), bool)
+    if len(owner):
+        out[owner[known[flat.indices.to_numpy()]]] = True
     return out
 
 
-def build_cascade(universe: DataFrame, key_col: str = "key", listed_col: str = "listed", max_bytes: int = MAX_BYTES) -> list[np.ndarray] | None:
-    """The levels over the distinct non-null keys of ``universe`` (key, listed); None where they would pass max_bytes."""
-    keys = universe.filter(F.col(key_col).isNotNull()).groupBy(F.col(key_col).alias("key")).agg(F.bool_or(F.coalesce(F.col(listed_col), F.lit(False))).alias("listed"))
-    keys = materialise(keys, "url-keys")
-    n = {r["listed"]: r["count"] for r in keys.groupBy("listed").count().collect()}
-    if not n.get(True):
-        return []
-    levels: list[np.ndarray] = []
-    sides = [keys.filter("listed"), keys.filter("NOT listed")]
-    counts, used = [n.get(True, 0), n.get(False, 0)], 0
-    while counts[0]:
-        # The first level lets few through when the other side is far larger; later ones halve what is left.
-        rate = min(0.5, counts[0] / max(1, counts[1]) / 2) if not levels else 0.5
-        bits = bits_for(counts[0], max(rate, 1e-6))
-        used += bits // 8
-        if used > max_bytes:
-            return None
-        level = len(levels)
-        words = _built(sides[0], bits, level)
-        levels.append(words)
-        if not counts[1]:
-            break
-        sent = keys.sparkSession.sparkContext.broadcast(words)
-
-        def wrong(batches, sent=sent, level=level):
+def listed_by_cascade(rows: DataFrame, keys: F.Column, home: F.Column, listed: DataFrame, max_bytes: int = MAX_BYTES, shard_hosts: int = SHARD_HOSTS) -> DataFrame:
+    """rows with a boolean column ``listed``: whether one of the row's keys (an array of strings) is in ``listed`` (key).
+    ``home`` is a string that decides a row's keys (a host) and by which rows are dealt. A row whose home is null is
+    unlisted. The other columns of rows pass through; one named ``listed`` is replaced."""
+    rows = rows.drop("listed")
+    kind = T.StructType([*rows.schema.fields, T.StructField("listed", T.BooleanType())])
+    homes = materialise(rows.select(home.alias("home"), keys.alias("keys")).filter("home IS NOT NULL").distinct(), "url-homes")
+    shards = max(1, math.ceil(homes.count() / shard_hosts))
+    shard_of = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
+    universe = homes.select(shard_of("home").alias("shard"), F.explode("keys").alias("key")).distinct()
+    own = listed.select("key", F.lit(True).alias("listed")).filter("key IS NOT NULL").distinct()
+    marked = universe.join(own, "key", "left").select("shard", "key", F.coalesce("listed", F.lit(False)).alias("listed"))
+    cascades = materialise(marked.groupBy("shard").applyInArrow(_build_shard, CASCADE), "cascades")
+    asked = rows.withColumns({"__keys": F.when(home.isNotNull(), keys), "__shard": shard_of(home)})
+    names = rows.columns
+
+    def judged(batch: pa.RecordBatch, found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(found)], names=[*names, "listed"])
+
+    if (cascades.agg(F.sum("bytes")).first()[0] or 0) <= max_bytes:
+        sent = rows.sparkSession.sparkContext.broadcast({r["shard"]: (r["levels"], r["rest"]) for r in cascades.collect()})
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            read: dict[int, Cascade] = {}
             for b in batches:
-                yield b.filter(pa.array(_passes(sent.value, b.column("key"), level)))
+                shard, asked_keys = b.column("__shard").fill_null(-1).to_numpy(), b.column("__keys")
+                found = np.zeros(b.num_rows, bool)
+                for s in np.unique(shard).tolist():
+                    if s in sent.value:
+                        read[s] = read.get(s) or _read(*sent.value[s])
+                        at = np.flatnonzero(shard == s)
+                        found[at] = _any_listed(read[s], asked_keys.take(pa.array(at)))
+                yield judged(b, found)
 
-        through = materialise(sides[1].mapInArrow(wrong, keys.schema), "url-through")
-        sides, counts = [through, sides[0]], [through.count(), counts[0]]
-    return levels
+        return asked.mapInArrow(probe, kind)
 
+    loads = asked.groupBy("__shard").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("__replicas"))
+    loads = materialise(loads.filter("__shard IS NOT NULL"), "url-loads")
+    each = cascades.join(loads, cascades["shard"] == loads["__shard"]).withColumn("__replica", F.explode(F.sequence(F.lit(0), F.col("__replicas") - 1)))
+    dealt = asked.join(loads, "__shard").withColumn("__replica", F.pmod(F.monotonically_increasing_id(), F.col("__replicas")).cast("int")).drop("__replicas")
 
-def listed_by_cascade(rows: DataFrame, key_col: str, universe: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """rows with a boolean column ``listed`` for their key. universe: (key, listed) with every key that rows hold; null
-    keys are unlisted. The other columns of rows pass through; one named ``listed`` is replaced."""
-    rows = rows.drop("listed") if key_col != "listed" else rows
-    levels = build_cascade(universe, max_bytes=max_bytes)
-    if levels is None:
-        keys = universe.filter("listed").select(F.col("key").alias("__key")).distinct()
-        return rows.join(keys, rows[key_col] == keys["__key"], "left").withColumn("listed", F.col("__key").isNotNull()).drop("__key")
-    sent = rows.sparkSession.sparkContext.broadcast(levels)
+    def probe_shard(mine: pa.Table, cascade: pa.Table) -> pa.Table:
+        mine = mine.combine_chunks()
+        found = np.zeros(mine.num_rows, bool)
+        if mine.num_rows:
+            found = _any_listed(_read(cascade.column("levels")[0].as_py(), cascade.column("rest")[0].as_py()), mine.column("__keys").combine_chunks())
+        return pa.table([*(mine.column(n) for n in names), pa.array(found)], names=[*names, "listed"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = b.column(key_col)
-            found = lookup(sent.value, key) & np.asarray(key.is_valid())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], names=[*b.schema.names, "listed"])
+    met = dealt.groupBy("__shard", "__replica").cogroup(each.select("__shard", "__replica", "levels", "rest").groupBy("__shard", "__replica")).applyInArrow(probe_shard, kind)
+    return met.unionAll(rows.filter(home.isNull()).withColumn("listed", F.lit(False)))
 
-    kind = T.StructType([*rows.schema.fields, T.StructField("listed", T.BooleanType())])
-    return rows.mapInArrow(probe, kind)
+
+def suffixes(host: F.Column, depth: int) -> F.Column:
+    """The last 1 to ``depth`` labels of a host: the domains of up to so many labels that it belongs to."""
+    return F.array_distinct(F.array(*(F.substring_index(host, ".", -k) for k in range(1, depth + 1))))
 
 
 def filter_urls(
     pages: DataFrame,
-    listed_host: F.Column,
+    listed: DataFrame,
     rules: Sequence[tuple[str, str, str]] = RULES,
     id_col: str = "page_id",
     url_col: str = "url",
     max_bytes: int = MAX_BYTES,
+    shard_hosts: int = SHARD_HOSTS,
 ) -> DataFrame:
     """(id_col, host, path, rule, verdict, listed) for every row of pages: the longest rule's verdict, else block for a
-    listed host and allow for any other. ``listed_host`` is a condition over the column ``host`` that makes the list."""
+    host under a listed domain and allow for any other. ``listed`` (key) holds blocked domains, lower case."""
     url = F.col(url_col)
     rows = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
-    universe = rows.select(F.col("host").alias("key"), listed_host.alias("listed")).distinct()
-    found = listed_by_cascade(rows, "host", universe, max_bytes)
+    depth = listed.agg(F.max(F.size(F.split("key", r"\.")))).first()[0] or 1  # no longer suffix of a host can be listed
+    found = listed_by_cascade(rows, suffixes(F.col("host"), depth), F.col("host"), listed, max_bytes, shard_hosts)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_list = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return found.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"), "listed")

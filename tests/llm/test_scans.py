@@ -5,7 +5,6 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,29 +29,51 @@ def plain_verdict(url):
         host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
     fits = [r for r in url_filter.RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
     best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
-    listed = bool(re.search(queries.LISTED_HOST, host))
+    listed = any(host == d or host.endswith("." + d) for d in queries.LISTED)
     return host, path, best and best[1] + best[2], best[0] if best else "block" if listed else "allow"
 
 
-def test_urls(spark):
-    urls = [None, "", "nothing", "http://", "https://A.Example.ORG/es/1?x", "http://example.org/en/12#t", "ftp://x.com/fr/", "http://x.com/de/1", "http://org", "http://org/", "http://spam1.net", "http://a.spam.io?q", "http://xspam.net/\nz", "a://b://c/d", "http://É.com/fr/x"]
-    rows = [(i, u, "h", "r") for i, u in enumerate(urls * 2)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
-    got = {r[0]: tuple(r)[1:5] for r in url_filter.filter_urls(pages, F.col("host").rlike(queries.LISTED_HOST)).collect()}
+def listed_domains(spark):
+    return spark.createDataFrame([(d,) for d in queries.LISTED], "key string")
+
+
+@pytest.mark.parametrize("bounds", [{}, {"max_bytes": -1}, {"shard_hosts": 3}, {"max_bytes": -1, "shard_hosts": 3}])
+def test_urls(spark, monkeypatch, bounds):
+    monkeypatch.setattr(url_filter, "SHARD_ROWS", 7)
+    urls = [None, "", "nothing", "http://", "https://A.Example.ORG/es/1?x", "http://example.org/en/12#t", "ftp://x.com/fr/", "http://x.com/de/1", "http://org", "http://org/", "http://spam-farm.example.net", "http://a.b.Casino-Win.example.com?q", "http://xspam-farm.example.net/\nz", "a://b://c/d", "http://É.com/fr/x", "http://free-bets.example.org/x", "http://a..free-bets.example.net", "http://" + "." * 5000]
+    rows = [(i, u, "h", "r", False) for i, u in enumerate(urls * 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string, listed boolean")
+    got = {r[0]: tuple(r)[1:5] for r in url_filter.filter_urls(pages, listed_domains(spark), **bounds).collect()}
     assert got == {i: plain_verdict(u) for i, u, *_ in rows}
-    assert url_filter.filter_urls(pages.limit(0), F.lit(True)).count() == 0
+    assert url_filter.filter_urls(pages.limit(0), listed_domains(spark), **bounds).count() == 0
+    assert {r["listed"] for r in url_filter.filter_urls(pages, listed_domains(spark).limit(0), **bounds).collect()} == {False}
 
 
 @pytest.mark.parametrize("listed", [0, 1, 300, 2999, 3000])
 def test_cascade_is_exact(spark, listed):
-    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") < listed).alias("listed"))
-    levels = url_filter.build_cascade(keys)
-    asked = pa.array([f"k{i}" for i in range(3000)])
-    assert np.array_equal(url_filter.lookup(levels, asked), np.arange(3000) < listed)
-    rows = keys.select("key", F.lit(1).alias("listed"), "key").toDF("key", "listed", "other")
-    for most in (url_filter.MAX_BYTES, 8):  # within the bound, and beyond it
-        got = url_filter.listed_by_cascade(rows, "key", keys, most)
-        assert got.filter("listed").count() == listed and got.count() == 3000
+    names = [b"k%d" % i for i in range(3000)]
+    built = url_filter.Cascade.build(names[:listed], names[listed:])
+    assert np.array_equal(built.lookup(names), np.arange(3000) < listed) and len(built.rest) <= url_filter.LISTED_REST
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    rows = keys.select("key", F.lit(1).alias("listed"), F.lit(2).alias("other"))
+    wanted = keys.filter(F.substring("key", 2, 9).cast("int") < listed)
+    for most in (url_filter.MAX_BYTES, -1):  # within the bound, and beyond it
+        got = url_filter.listed_by_cascade(rows, F.array("key"), F.col("key"), wanted, most, 1000)
+        assert got.columns == ["key", "other", "listed"] and got.filter("listed").count() == listed and got.count() == 3000
+
+
+def test_cascade_ends_where_hashes_agree(monkeypatch):
+    """Keys that every level takes for one another are left as a list."""
+    monkeypatch.setattr(url_filter, "_positions", lambda keys, bits, level: np.zeros((len(keys), url_filter.HASHES), np.int64))
+    built = url_filter.Cascade.build([b"a%d" % i for i in range(40)], [b"b%d" % i for i in range(40)])
+    assert len(built.levels) == url_filter.MOST_LEVELS
+    assert built.lookup([b"a3", b"b3"]).tolist() == [True, False]
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024)).encode()
+    two = one.translate(bytes.maketrans(b"ab", b"ba"))
+    monkeypatch.undo()
+    monkeypatch.setattr(url_filter, "LISTED_REST", 0)
+    built = url_filter.Cascade.build([one], [two])
+    assert built.lookup([one, two]).tolist() == [True, False] and len(built.levels) < 12
 
 
 # BPE
