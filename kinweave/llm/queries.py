@@ -44,7 +44,8 @@ def sha256(col) -> F.Column:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"), length=400)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", sha256("kept").alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))  # a removed run may end within a character
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", sha256("kept").alias("kept_sha256"), text.alias("text"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,17 +3,22 @@
 1. Each string is owned by one anchor: the least hash among the ``k``-grams inside it. The starts that share an anchor
    occurrence are consecutive and make a fragment (the bytes of all their strings). Equal strings have equal anchors,
    so only fragments of the same anchor can share a string, and every string lies in exactly one fragment.
-2. Fragments are known by hashes. An anchor that occurs once can't repeat a string and is dropped. A fragment that
-   occurs twice is covered as a whole and goes on as one copy; an anchor with a single distinct fragment is settled.
+2. Fragments are known by hashes of their bytes. An anchor that occurs once can't repeat a string and is dropped. A
+   fragment that occurs twice repeats every string of it: it is covered as a whole and goes on as one copy, since sorting
+   suffixes of equal bytes would find nothing else; an anchor with a single distinct fragment is settled.
 3. A shared string holds one of a few windows at fixed offsets from the anchor, three quarters of its length; distinct
    fragments that share no window hash with another one of their anchor are dropped. The remaining ones are cut out of
-   their documents and dealt by anchor to shards of bounded size. A shard sorts the suffixes of its fragments, takes the Burrows-Wheeler transform, and expands intervals breadth first:
-   from all intervals of strings of length l, backward extension by each preceding byte gives those of length l + 1, and
-   a boundary reached for the first time has a common prefix of l. Prefixes thus come by increasing value, and at
-   ``length`` the expansion stops: boundaries not reached yet join suffixes that share a whole string.
-4. An anchor with more fragment bytes than a shard may hold (a passage in a large part of all documents) is settled by
-   grouped hashes of its strings instead, which Spark pre-aggregates and spreads, whatever their number.
-5. Covered starts go back to all copies of a fragment and from there to the documents, which lose the bytes.
+   their documents and packed by anchor into shards of about ``shard_bytes``. A shard sorts the suffixes of its
+   fragments, takes the Burrows-Wheeler transform, and expands intervals breadth first: from all intervals of strings of
+   length l, backward extension by each preceding byte gives those of length l + 1, and a boundary reached for the first
+   time has a common prefix of l. Prefixes thus come by increasing value, and at ``length`` the expansion stops:
+   boundaries not reached yet join suffixes that share a whole string.
+4. An anchor with more than ``anchor_bytes`` (a passage in a large part of all documents) is cut finer: its fragments are
+   aligned at the anchor, so strings are told apart by where in them the anchor stands. For each range of such places a
+   fragment gives one piece; pieces of one range meet only where they share the bytes that all strings of the range
+   hold. Equal pieces count as one, and each such group goes to the shards. Groups that are still too large are cut to
+   narrower ranges, down to single strings, where equal pieces are all there is.
+5. Covered starts go back to all copies of a piece or fragment and from there to the documents, which lose the bytes.
 
 Strings are judged on the input; overlapping occurrences within one document count. Null texts are empty. Rows that
 repeat an id are documents of their own; if they repeat the text as well, each repeats the other.
@@ -26,20 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialise, shuffle_partitions
+from .shared import materialise
 from .textbytes import RangeHash, buffer_of, slices
 
 LENGTH, ANCHOR = 400, 32
 #: Windows of a fragment: any string of ``length`` bytes around an anchor covers one of them.
 WINDOWS = 4
-SHARD_BYTES = 1 << 20
+#: Bytes of fragments that a shard takes, and those of one anchor (or group of pieces) that stay together, at most.
+SHARD_BYTES, ANCHOR_BYTES = 192 << 10, 192 << 10
+#: Shards that are packed together.
+PACKED = 64
 #: A longer text is read in parts.
 PART_BYTES = 4 << 20
-#: An anchor with more bytes of distinct fragments is settled by string hashes.
-ANCHOR_BYTES = 4 << 20
 NO_ID = -(2**63)
 
 
@@ -57,8 +65,9 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def fragments(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(text, first start within the text, number of starts, anchor hash, fragment hash, window hashes...) of all
-    fragments. A window hash has 32 bits; 0 where the window would leave the text. Chance agreements cost time only."""
+    """(text, first start within the text, number of starts, anchor's place after the first start, anchor hash, fragment
+    hash, window hashes...) of all fragments. A window hash has 32 bits; 0 where the window would leave the text. Chance
+    agreements of anchors and windows cost time only."""
     n = len(data)
     ranges = RangeHash(data)
     grams = ranges.rolling(k)
@@ -86,7 +95,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tup
         inside = (a >= offsets[text]) & (b <= offsets[text + 1])
         hashed = ranges(np.where(inside, a, 0), np.where(inside, b, 0), 4 + j)
         windows.append(np.where(inside, (hashed >> np.uint64(32)) | np.uint64(1), np.uint64(0)).astype(np.uint32).view(np.int32))
-    return text, first - offsets[text], end - first, grams[place], ranges(first, end - 1 + length, 2), *windows
+    return text, first - offsets[text], end - first, place - first, grams[place], ranges(first, end - 1 + length, 2), *windows
 
 
 def fragments_in_parts(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -189,10 +198,88 @@ def joined(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 WINDOW_NAMES = [f"w{j}" for j in range(WINDOWS)]
-FRAGMENT = "id long, t long, at int, n int, anchor long, frag long, " + ", ".join(f"{w} int" for w in WINDOW_NAMES)
-CUT = "anchor long, frag long, part binary, a long, string long"
-CUT_ARROW = pa.schema([("anchor", pa.int64()), ("frag", pa.int64()), ("part", pa.binary()), ("a", pa.int64()), ("string", pa.int64())])
-COVERED = "anchor long, frag long, a long, b long"
+FRAGMENT = "id long, t long, at int, n int, off int, anchor long, frag long, " + ", ".join(f"{w} int" for w in WINDOW_NAMES)
+CUT = "anchor long, frag long, off int, part binary"
+CELL = "anchor long, frag long, lo int, shift int, off int, core long, piece long, part binary"
+COVERED = "anchor long, frag long, a int, b int"
+
+
+def _expanded(pieces: DataFrame, groups: DataFrame, by: list[str], names: list[str], length: int, shard_bytes: int) -> DataFrame:
+    """(names, a, b): runs of starts of the strings that repeat within the groups of pieces (names, part). ``groups`` has
+    a row (by, bytes) for each group; groups are packed, whole, into shards of about ``shard_bytes``."""
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    w = W.partitionBy("bucket").orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)
+    packed = groups.withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(max(1, math.ceil(total / (PACKED * shard_bytes))))))
+    packed = materialise(packed.select(*by, "bucket", F.floor((F.sum("bytes").over(w) - F.col("bytes") / 2) / shard_bytes).alias("slot")), "shards")
+    types = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
+    schema = ", ".join(f"{n} {types[n]}" for n in names) + ", a int, b int"
+
+    def expand(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint8) for x in table.column("part").to_pylist()]
+        part, at = repeated_starts(parts, length)
+        new = np.ones(len(part), bool)
+        new[1:] = (part[1:] != part[:-1]) | (at[1:] != at[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(part)) - 1 if len(first) else first
+        which = pa.array(part[first])
+        own = {n: table.column(n).take(which) for n in names}
+        return pa.table(own | {"a": pa.array(at[first], pa.int32()), "b": pa.array(at[last] + 1, pa.int32())})
+
+    return pieces.join(packed, by).select("bucket", "slot", *names, "part").groupBy("bucket", "slot").applyInArrow(expand, schema)
+
+
+def _cells(width: int, length: int):
+    """Pieces of pieces: of (anchor, frag, shift, off, part) one for each range of ``width`` places of the anchor. A piece
+    starts ``shift`` bytes after its fragment and has the anchor at ``off``; ``core`` are the bytes that every string of
+    its range holds, ``piece`` all of them."""
+    digest = xxhash.xxh3_64_intdigest
+    signed = lambda x: np.array(x, np.uint64).view(np.int64)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, los, shifts, offs, cores, hashes, cut = [], [], [], [], [], [], []
+            for i, (shift, off, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shift", "off", "part")), strict=True)):
+                least = off - (len(part) - length)  # the anchor's place in the last string of the piece
+                for lo in range(least // width * width, off + 1, width):
+                    low, high = max(lo, least), min(lo + width - 1, off)
+                    own = part[off - high : off - low + length]
+                    at.append(i)
+                    los.append(lo)
+                    shifts.append(shift + off - high)
+                    offs.append(high)
+                    cores.append(digest(part[off - lo : off - lo - width + 1 + length]))
+                    hashes.append(digest(own))
+                    cut.append(own)
+            which = pa.array(at, pa.int64())
+            ints = (pa.array(x, pa.int32()) for x in (los, shifts, offs))
+            columns = [batch.column("anchor").take(which), batch.column("frag").take(which), *ints, pa.array(signed(cores)), pa.array(signed(hashes)), pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in CELL.split(", ")])
+
+    return split
+
+
+def _hot_anchors(pieces: DataFrame, length: int, most_bytes: int, shard_bytes: int) -> DataFrame:
+    """(anchor, frag, a, b): repeated starts of the fragments (anchor, frag, off, part) of anchors with many bytes."""
+    group, each = ["anchor", "lo", "core"], ["anchor", "lo", "core", "piece"]
+    width = 1 << max(0, (length // 3).bit_length() - 1)
+    open_, out = pieces.withColumn("shift", F.lit(0)), None
+    while True:
+        cells = materialise(open_.select("anchor", "frag", "shift", "off", "part").mapInArrow(_cells(width, length), CELL), "cells")
+        kinds = cells.groupBy(*each).agg(F.count("*").alias("copies"), F.max(F.length("part")).alias("bytes"), F.min("frag").alias("one"))
+        kinds = materialise(kinds, "kinds")
+        groups = materialise(kinds.groupBy(*group).agg(F.count("*").alias("kinds"), F.sum("bytes").alias("bytes")).filter("kinds > 1"), "groups")
+        small = groups.filter(F.col("bytes") <= most_bytes)
+        ones = kinds.select(*each, F.col("one").alias("frag")).join(small.select(*group), group, "left_semi")
+        parts = cells.select(*each, "frag", "part").join(ones, [*each, "frag"], "left_semi")
+        repeated = _expanded(parts, small.select(*group, "bytes"), group, each, length, shard_bytes)
+        equal = kinds.filter("copies > 1").select(*each, F.lit(0).alias("a"), (F.col("bytes") - (length - 1)).cast("int").alias("b"))
+        found = materialise(repeated.unionAll(equal), "piece-cover")
+        found = cells.select(*each, "frag", "shift").join(found, each).select("anchor", "frag", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"))
+        out = found if out is None else out.unionAll(found)
+        large = groups.filter(F.col("bytes") > most_bytes).select(*group)
+        if width == 1 or not large.limit(1).count():
+            return out
+        open_, width = cells.join(large, group, "left_semi"), max(1, width // 4)
 
 
 def dedup_substrings(
@@ -206,7 +293,6 @@ def dedup_substrings(
 ) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept) for every row of docs; ``kept`` is binary, the bytes that stay.
     Ids are integers; ``anchor`` is at most ``length``."""
-    spark = docs.sparkSession
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")
     )
@@ -214,76 +300,47 @@ def dedup_substrings(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                for text, at, n, own, frag, *windows in fragments_in_parts(*buffer_of(batch.column("text")), length, anchor):
+                for text, at, n, off, own, frag, *windows in fragments_in_parts(*buffer_of(batch.column("text")), length, anchor):
                     which = pa.array(text)
-                    numbers = (at.astype(np.int32), n.astype(np.int32), own.view(np.int64), frag.view(np.int64), *windows)
+                    numbers = (at.astype(np.int32), n.astype(np.int32), off.astype(np.int32), own.view(np.int64), frag.view(np.int64), *windows)
                     columns = [batch.column("id").take(which), batch.column("t").take(which), *(pa.array(x) for x in numbers)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "t", "at", "n", "anchor", "frag", *WINDOW_NAMES])
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "t", "at", "n", "off", "anchor", "frag", *WINDOW_NAMES])
 
     every = materialise(rows.mapInArrow(cut, FRAGMENT), "fragments")
     # Small tables are written before they are joined, so that Spark sees plain sides and can split a hot key.
     busy = materialise(every.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "repeated")
     found = materialise(every.join(busy, "anchor"), "busy")
-    one = F.min(F.struct("id", "t", "at", "n", *WINDOW_NAMES)).alias("one")
+    one = F.min(F.struct("id", "t", "at", "n", "off", *WINDOW_NAMES)).alias("one")
     distinct = materialise(found.groupBy("anchor", "frag").agg(F.count("*").alias("copies"), one).select("anchor", "frag", "copies", "one.*"), "distinct")
     several = materialise(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor"), "several")
     windows = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col(w).alias("w")) for j, w in enumerate(WINDOW_NAMES))))
     spread = distinct.join(several, "anchor").select("anchor", "frag", windows.alias("x")).select("anchor", "frag", "x.j", "x.w").filter("w <> 0")
     alike = materialise(spread.groupBy("anchor", "j", "w").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "alike")
     kept = spread.join(alike, ["anchor", "j", "w"]).select("anchor", "frag").distinct()
-    parts = materialise(distinct.join(kept, ["anchor", "frag"]).select("anchor", "frag", "id", "t", "at", "n"), "parts")
-    per_anchor = materialise(parts.groupBy("anchor").agg(F.sum(F.col("n") + F.lit(length - 1)).alias("bytes")), "anchors")
-    large = per_anchor.filter(F.col("bytes") > anchor_bytes).select("anchor", F.lit(True).alias("large"))
-    n_large = large.count()
-    total = per_anchor.filter(F.col("bytes") <= anchor_bytes).agg(F.sum("bytes")).first()[0] or 0
-    shards = max(shuffle_partitions(spark), math.ceil(total / shard_bytes))
-    marked = parts.join(large, "anchor", "left") if n_large else parts.withColumn("large", F.lit(False))
-    cell = F.struct("anchor", "frag", "at", "n", F.coalesce("large", F.lit(False)).alias("large"))
-    wanted = marked.groupBy("id", "t").agg(F.collect_list(cell).alias("parts"))
+    parts = materialise(distinct.join(kept, ["anchor", "frag"]).select("anchor", "frag", "id", "t", "at", "n", "off"), "parts")
+    cell = F.struct("anchor", "frag", "at", "n", "off")
+    wanted = parts.groupBy("id", "t").agg(F.collect_list(cell).alias("parts"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of a fragment, or one row with a hash for each of its strings where its anchor is large."""
+        """The bytes of each fragment."""
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 data, offsets = buffer_of(batch.column("text"))
                 lists = batch.column("parts")
-                anchors, frags, at, n, big = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(5))
-                start = offsets[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())] + at
-                end = start + n - 1 + length
-                some = np.flatnonzero(~big)
-                cut = [data[a:b].tobytes() for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]
-                none = pa.nulls(len(some), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(anchors[some]), pa.array(frags[some]), pa.array(cut, pa.binary()), none, none], schema=CUT_ARROW)
-                if big.any():
-                    ranges = RangeHash(data)
-                    for i in np.flatnonzero(big).tolist():
-                        own = np.arange(start[i], end[i] - length + 1)
-                        hashed = ranges(own, own + length, 3).view(np.int64)
-                        m = len(own)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, anchors[i])), pa.array(np.full(m, frags[i])), pa.nulls(m, pa.binary()), pa.array(own - start[i]), pa.array(hashed)], schema=CUT_ARROW)
+                anchors, frags, at, n, off = (lists.flatten().field(i) for i in range(5))
+                start = offsets[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())] + at.to_numpy()
+                end = start + n.to_numpy() - 1 + length
+                cut = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([anchors, frags, off, pa.array(cut, pa.binary())], names=["anchor", "frag", "off", "part"])
 
     # A row given twice is cut out twice; its fragments have two copies and are covered as a whole anyway.
-    pieces = wanted.join(rows, ["id", "t"]).select("text", "parts").mapInArrow(cut_out, CUT)
-    if n_large:
-        pieces = materialise(pieces, "pieces")
-
-    def expand(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint8) for x in table.column("part").to_pylist()]
-        part, at = repeated_starts(parts, length)
-        new = np.ones(len(part), bool)
-        new[1:] = (part[1:] != part[:-1]) | (at[1:] != at[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(part)) - 1 if len(first) else first
-        which = pa.array(part[first])
-        return pa.table({"anchor": table.column("anchor").take(which), "frag": table.column("frag").take(which), "a": at[first], "b": at[last] + 1})
-
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
-    cover = pieces.filter("part IS NOT NULL").select("anchor", "frag", "part").groupBy(shard.alias("shard")).applyInArrow(expand, COVERED)
-    if n_large:
-        strings = pieces.filter("part IS NULL").select("anchor", "frag", "a", "string")
-        twice = materialise(strings.groupBy("anchor", "string").agg(F.count("*").alias("c")).filter("c > 1").select("anchor", "string"), "strings")
-        cover = cover.unionAll(strings.join(twice, ["anchor", "string"]).select("anchor", "frag", "a", (F.col("a") + 1).alias("b")))
-    whole = distinct.filter("copies > 1").select("anchor", "frag", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
+    pieces = materialise(wanted.join(rows, ["id", "t"]).select("text", "parts").mapInArrow(cut_out, CUT), "pieces")
+    per_anchor = materialise(parts.groupBy("anchor").agg(F.sum(F.col("n") + F.lit(length - 1)).alias("bytes")), "anchors")
+    cover = _expanded(pieces, per_anchor.filter(F.col("bytes") <= anchor_bytes), ["anchor"], ["anchor", "frag"], length, shard_bytes)
+    hot = per_anchor.filter(F.col("bytes") > anchor_bytes).select("anchor")
+    if hot.limit(1).count():
+        cover = cover.unionAll(_hot_anchors(pieces.join(hot, "anchor", "left_semi"), length, anchor_bytes, shard_bytes))
+    whole = distinct.filter("copies > 1").select("anchor", "frag", F.lit(0).alias("a"), F.col("n").alias("b"))
     cover = materialise(cover.unionAll(whole).groupBy("anchor", "frag").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "cover")
     spans = found.join(cover, ["anchor", "frag"]).select("id", "t", "at", F.explode("runs").alias("run"))
     spans = spans.select("id", "t", (F.col("at") + F.col("run.a")).alias("a"), (F.col("at") + F.col("run.b") + (length - 1)).alias("b"))
