@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, shuffle_partitions
 from .textbytes import RangeHash, buffer_of, slices
 
 LENGTH, ANCHOR = 400, 32
@@ -225,7 +225,10 @@ def _expanded(pieces: DataFrame, groups: DataFrame, by: list[str], names: list[s
         own = {n: table.column(n).take(which) for n in names}
         return pa.table(own | {"a": pa.array(at[first], pa.int32()), "b": pa.array(at[last] + 1, pa.int32())})
 
-    return pieces.join(packed, by).select("bucket", "slot", *names, "part").groupBy("bucket", "slot").applyInArrow(expand, schema)
+    # So many tasks as asked for: shards are small but take long, so few of them should share a task.
+    tasks = max(shuffle_partitions(pieces.sparkSession), math.ceil(total / (PACKED * shard_bytes)))
+    dealt = pieces.join(packed, by).select("bucket", "slot", *names, "part").repartition(tasks, "bucket", "slot")
+    return dealt.groupBy("bucket", "slot").applyInArrow(expand, schema)
 
 
 def _cells(width: int, length: int):
