@@ -140,7 +140,3 @@ def decode_gt(gt: Column) -> Column:
     bad = F.raise_error(F.concat(F.lit("not a phased genotype: "), gt)).cast("int")
     first = F.when(two | one, F.substring(gt, 1, 1).cast("int")).otherwise(bad)
     return F.struct(first.alias("a0"), F.substring(gt, -1, 1).cast("int").alias("a1"))
-
-
-def any_of(column: Column, values: Sequence) -> Column:
-    return column.isin(*values)

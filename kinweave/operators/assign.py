@@ -16,7 +16,7 @@ def relationship_stats(sims: DataFrame, reps: int, legacy_label_sum: bool = Fals
     used = F.lit(reps) if legacy_label_sum else F.count("*")
     mean = sims.groupBy("pair", "label").agg((F.sum("avg") / used).alias("mean"))
     near = F.pow(F.col("avg") - F.col("mean"), F.lit(2))
-    spread = sims.join(F.broadcast(mean), ["pair", "label"]).groupBy("pair", "label", "mean").agg(F.sqrt(F.sum(near) / (F.lit(reps) if legacy_label_sum else F.count("*"))).alias("sd"))
+    spread = sims.join(mean, ["pair", "label"]).groupBy("pair", "label", "mean").agg(F.sqrt(F.sum(near) / (F.lit(reps) if legacy_label_sum else F.count("*"))).alias("sd"))
     return spread.withColumn("rank", F.row_number().over(W.partitionBy("pair").orderBy("mean", "label")) - 1)
 
 
@@ -41,25 +41,23 @@ def assign_zscore(summary: DataFrame, stats: DataFrame) -> DataFrame:
 def ordinal_targets(sims: DataFrame, stats: DataFrame) -> DataFrame:
     """sims times thresholds 0 to labels - 2, with ``y``: whether the label's rank is above the threshold."""
     ranks = stats.select("pair", "label", "rank", F.count("*").over(W.partitionBy("pair")).alias("labels"))
-    joined = sims.join(F.broadcast(ranks), ["pair", "label"]).filter("labels > 1")
+    joined = sims.join(ranks, ["pair", "label"]).filter("labels > 1")
     spread = joined.withColumn("threshold", F.explode(F.sequence(F.lit(0), (F.col("labels") - 2).cast("int"))))
     return spread.withColumn("y", (F.col("rank") > F.col("threshold")).cast("int")).drop("labels", "rank")
 
 
-#: C = 10 as a ridge penalty on the slope; steps of Newton's method at most.
-PENALTY, STEPS = 0.1, 25
+#: C = 10 as a ridge penalty on the slope, a slight one on the intercept; steps of Newton's method, always as many.
+PENALTY, SLIGHT, STEPS = 0.1, 1e-6, 15
 
 
 def _fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Logistic regression on one feature by Newton's method, with a small penalty on the slope."""
     x, y = np.column_stack([np.ones(len(rows)), rows["x"]]), rows["y"].to_numpy(float)
-    b, ridge = np.zeros(2), np.diag([1e-6, PENALTY])
+    b, ridge = np.zeros(2), np.diag([SLIGHT, PENALTY])
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         move = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ b)
         b = b + move
-        if np.abs(move).max() < 1e-9:
-            break
     return pd.DataFrame({"pair": [key[0]], "threshold": [key[1]], "intercept": [b[0]], "slope": [b[1]]})
 
 

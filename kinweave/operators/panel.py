@@ -14,8 +14,9 @@ SITE = ["chrom", "pos"]
 
 
 def drop_duplicate_sites(sites: DataFrame) -> DataFrame:
-    """All copies of a repeated coordinate go; judged before any other filter."""
-    return sites.withColumn("__n", F.count("*").over(W.partitionBy(*SITE))).filter("__n = 1").drop("__n")
+    """All copies of a repeated coordinate go; judged before any other filter, on the coordinates alone."""
+    repeated = sites.groupBy(*SITE).agg(F.count("*").alias("__n")).filter("__n > 1").select(*SITE)
+    return sites.join(repeated, SITE, "left_anti")
 
 
 def filter_biallelic_snps(sites: DataFrame) -> DataFrame:

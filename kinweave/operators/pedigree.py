@@ -66,9 +66,11 @@ def draw_founders(replicates: DataFrame, members: DataFrame, tree: Tree, seed: i
     sexes = [p[3] for p in founders]
     if any(s != "unknown" for s in sexes) and not members.filter("sex <> 'unknown'").limit(1).count():
         raise ValueError("founders have a known sex; the panel has none")
-    draw = u01(seed, "founder", *(F.col(k) for k in KEYS), F.col("sample"))
-    drawn = replicates.select(*KEYS).join(F.broadcast(members), F.lit(True)).select(*KEYS, F.struct(draw.alias("u"), "idx", "sex").alias("m"))
-    lists = drawn.groupBy(*KEYS).agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    # The panel (some thousand members) is one row; each replicate draws from that array, without a row a member.
+    pool = members.agg(F.array_sort(F.collect_list(F.struct("sample", "idx", "sex"))).alias("pool"))
+    draw = lambda m: u01(seed, "founder", *(F.col(k) for k in KEYS), m["sample"])
+    drawn = F.transform("pool", lambda m: F.struct(draw(m).alias("u"), m["idx"].alias("idx"), m["sex"].alias("sex")))
+    lists = replicates.select(*KEYS).join(F.broadcast(pool), F.lit(True)).select(*KEYS, F.array_sort(drawn).alias("ms"))
     of_sex = lambda s: F.transform(F.filter("ms", lambda m: m["sex"] == s), lambda m: m["idx"])
     pools = {s: of_sex(s) for s in ("male", "female")}
     want = {s: sexes.count(s) for s in pools}
@@ -95,7 +97,7 @@ def contaminant_af(sites: DataFrame, haps: DataFrame, contaminants: DataFrame, i
     """(pair, chrom, pos, caf0, caf1): share of alternate alleles among each side's contaminants."""
     own = contaminants.join(F.broadcast(index), "sample").groupBy("pair", "side").agg(F.collect_list("idx").alias("ids"))
     sides = own.groupBy("pair").agg(*(F.max(F.when(F.col("side") == k, F.col("ids"))).alias(f"ids{k}") for k in (0, 1)))
-    at = sites.select("pair", *SITE).join(haps, list(SITE)).join(F.broadcast(sides), "pair")
+    at = sites.select("pair", *SITE).join(haps, list(SITE)).join(sides, "pair")
     allele = lambda i, k: F.get("haps", 2 * i + k).cast("int")
     total = lambda ids: F.aggregate(ids, F.lit(0), lambda n, i: n + allele(i, 0) + allele(i, 1))
     return at.select("pair", *SITE, *((total(f"ids{k}") / (2 * F.size(f"ids{k}"))).alias(f"caf{k}") for k in (0, 1)))
@@ -140,7 +142,11 @@ def founder_alleles(sites: DataFrame, haps: DataFrame, replicates: DataFrame, tr
     """A row for each (pair, rep, site) with the founders' alleles as columns g<person>_<strand>. The haplotype array of
     a site is read where it is joined and dropped before anything is shuffled again. With probability ``fixation`` a
     row's founders all carry the reference."""
-    rows = sites.join(haps, list(SITE)).join(replicates, "pair")
+    # A pair's replicates are one array, so that a site meets them once and rows multiply where they are used.
+    names = [c for c in replicates.columns if c != "pair"]
+    each = replicates.groupBy("pair").agg(F.collect_list(F.struct(*names)).alias("__reps"))
+    rows = sites.join(haps, list(SITE)).join(each, "pair")
+    rows = rows.select(*(c for c in rows.columns if c != "__reps"), F.explode("__reps").alias("__rep")).select("*", "__rep.*").drop("__reps", "__rep")
     fixed = u01(seed, "affix", *(F.col(c) for c in (*KEYS, *SITE))) < fixation if fixation else F.lit(False)
     columns = []
     for k, (iid, *_) in enumerate(tree.founders):

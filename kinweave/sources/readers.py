@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import IUPAC, KNOWN, X, chrom_id, decode_gt, info_map, phred, rate_per_bp, sex
+from ..functions.scalar import IUPAC, KNOWN, X, chrom_id, decode_gt, info_map, phred, sex
 
 #: GRCh37 lengths of the autosomes and X.
 GRCH37 = {
@@ -41,33 +44,44 @@ def read_pileup(spark: SparkSession, path: str) -> DataFrame:
     return parse_pileup(spark.read.text(path))
 
 
-#: Indels up to this length are matched by one pattern; longer ones fail.
-MOST_INDEL = 60
-#: Starts with their quality, ends, indels with as many bases as they say, or one symbol.
-TOKENS = r"(\^.|\$|[+-](?:" + "|".join(f"{n}(?![0-9]).{{{n}}}" for n in range(1, MOST_INDEL + 1)) + r")|.)"
+def read_symbols(bases: Column) -> Column:
+    """A pileup's read string as one upper-case symbol a read: without starts and the quality that follows them, ends, and
+    indels with as many bases as they say. Strings without indels, nearly all, take one replacement."""
+    plain = F.upper(F.regexp_replace(bases, r"\^.|\$", ""))
+    parts = F.split(plain, "[+-]")
+    said = lambda p: F.regexp_extract(p, "^[0-9]+", 0)
+    skipped = lambda p: F.length(said(p)) + said(p).cast("int")
+    wrong = lambda p: F.raise_error(F.concat(F.lit("an indel without its bases: "), p)).cast("string")
+    rest = lambda p: F.when((said(p) == "") | (F.length(p) < skipped(p)), wrong(p)).otherwise(F.substring(p, skipped(p) + 1, F.length(p)))
+    spliced = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), rest), ""))
+    return F.when(plain.contains("+") | plain.contains("-"), spliced).otherwise(plain)
+
+
+def symbol_base(symbol: Column, ref: Column, where: Column) -> Column:
+    """The base of a read's symbol."""
+    return (
+        F.when(symbol.isin(",", "."), ref)
+        .when(symbol.isin(*KNOWN, "N", "*"), symbol)
+        .when(symbol.isin("<", ">"), _fail("reference skip at ", where))
+        .otherwise(_fail("not an allele: ", symbol))
+    )
 
 
 def explode_reads(pileup: DataFrame, consider_dels: bool = False, dels_have_quality: bool = False) -> DataFrame:
     """(chrom, pos, sample, read_ix, base, phred), a row for each read. Ignored deletions don't use up a quality, unless
-    ``dels_have_quality``. Reference skips, too few qualities and overlong indels fail."""
+    ``dels_have_quality``. Reference skips, too few qualities and indels without their bases fail."""
     one = pileup.select("chrom", "pos", "ref", F.explode("samples").alias("s")).filter("s.depth > 0")
-    tokens = F.regexp_extract_all(F.upper("s.bases"), F.lit(TOKENS), F.lit(1))
-    reads = F.filter(tokens, lambda t: (F.length(t) == 1) & (t != "$"))
+    symbols = read_symbols(F.col("s.bases"))
     if not consider_dels and not dels_have_quality:
-        reads = F.filter(reads, lambda t: t != "*")
-    spread = one.select("chrom", "pos", "ref", F.col("s.sample").alias("sample"), F.col("s.quals").alias("quals"), reads.alias("reads"))
-    spread = spread.select("chrom", "pos", "ref", "sample", "quals", F.posexplode("reads").alias("read_ix", "token"))
+        symbols = F.translate(symbols, "*", "")
+    spread = one.select("chrom", "pos", "ref", F.col("s.sample").alias("sample"), F.col("s.quals").alias("quals"), symbols.alias("symbols")).filter("symbols <> ''")
+    spread = spread.select("chrom", "pos", "ref", "sample", "quals", F.posexplode(F.split("symbols", "")).alias("read_ix", "token")).filter("token <> ''")
     if dels_have_quality and not consider_dels:
         spread = spread.filter("token <> '*'")
-    base = (
-        F.when(F.col("token").isin(",", "."), F.col("ref"))
-        .when(F.col("token").isin(*KNOWN, "N", "*"), F.col("token"))
-        .when(F.col("token").isin("<", ">"), _fail("reference skip at ", F.concat_ws(":", "chrom", "pos")))
-        .otherwise(_fail("not an allele: ", F.col("token")))
-    )
+    where = F.concat_ws(":", "chrom", "pos")
     mark = F.substring(F.col("quals"), F.col("read_ix") + 1, F.lit(1))
-    quality = F.when(mark != "", phred(mark)).otherwise(_fail("more reads than qualities at ", F.concat_ws(":", "chrom", "pos"), "int"))
-    return spread.select("chrom", "pos", "sample", "read_ix", base.alias("base"), quality.alias("phred"))
+    quality = F.when(mark != "", phred(mark)).otherwise(_fail("more reads than qualities at ", where, "int"))
+    return spread.select("chrom", "pos", "sample", "read_ix", symbol_base(F.col("token"), F.col("ref"), where).alias("base"), quality.alias("phred"))
 
 
 # Targets, panels, genomes, maps
@@ -122,9 +136,17 @@ def read_genome(spark: SparkSession, path: str | None = None) -> DataFrame:
     Contigs whose name is no chromosome are left out."""
     if path is None:
         return spark.createDataFrame(list(GRCH37.items()), "chrom int, length long")
+    return _contigs(spark, path).filter("chrom IS NOT NULL").select("chrom", "length")
+
+
+def skipped_contigs(spark: SparkSession, path: str) -> DataFrame:
+    """(name, length) of the contigs that ``read_genome`` leaves out."""
+    return _contigs(spark, path).filter("chrom IS NULL").select("name", "length")
+
+
+def _contigs(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", "\t")
-    rows = spark.read.text(path if path.endswith(".fai") else f"{path}.fai").select(chrom_id(f[0]).alias("chrom"), f[1].cast("long").alias("length"))
-    return rows.filter("chrom IS NOT NULL")
+    return spark.read.text(path if path.endswith(".fai") else f"{path}.fai").select(f[0].alias("name"), chrom_id(f[0]).alias("chrom"), f[1].cast("long").alias("length"))
 
 
 def genome_for(genome: DataFrame, x_mode: bool = False) -> DataFrame:
@@ -141,10 +163,6 @@ def read_genetic_map(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("chrom", before.alias("start"), "stop", "rate")
 
 
-def map_per_bp(genetic_map: DataFrame) -> DataFrame:
-    return genetic_map.withColumn("p", rate_per_bp(F.col("rate")))
-
-
 # VCF
 
 
@@ -160,20 +178,28 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, pos, ref, alt, info, calls): one row a site, the calls as an array in the header's order. Filters on the
     fixed columns run before the calls are split."""
     lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.col("value") != ""))
-    head = F.split("value", "\t", 10)
+    fields = F.split("value", "\t", 10)
+    head = lambda i: F.get(fields, F.lit(i))  # noqa: E731  null in a comment, should a plan look at one
     return lines.select(
-        chrom_id(head[0]).alias("chrom"), head[1].cast("long").alias("pos"), F.upper(head[3]).alias("ref"), F.upper(head[4]).alias("alt"), info_map(head[7]).alias("info"), head[7].alias("info_text"), F.split(head[9], "\t").alias("calls")
+        chrom_id(head(0)).alias("chrom"), head(1).cast("long").alias("pos"), F.upper(head(3)).alias("ref"), F.upper(head(4)).alias("alt"), info_map(head(7)).alias("info"), head(7).alias("info_text"), F.split(head(9), "\t").alias("calls")
     )
 
 
+def read_vcf_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The sites of several VCFs as ``read_vcf`` gives them, with ``samples``, the header of each one's own file."""
+    each = [read_vcf(spark, p).withColumn("samples", F.array(*(F.lit(s) for s in vcf_header(spark, p))).cast("array<string>")) for p in paths]
+    return reduce(DataFrame.unionByName, each)
+
+
 def vcf_sites(vcf: DataFrame) -> DataFrame:
     return vcf.select("chrom", "pos", "ref", "alt", "info")
 
 
-def vcf_genotypes(vcf: DataFrame, samples: list[str]) -> DataFrame:
-    """(chrom, pos, sample, a0, a1), a row for each call."""
-    names = F.array(*(F.lit(s) for s in samples))
-    spread = vcf.select("chrom", "pos", F.posexplode("calls").alias("i", "call"))
+def vcf_genotypes(vcf: DataFrame, samples: Sequence[str] | None = None) -> DataFrame:
+    """(chrom, pos, sample, a0, a1), a row for each call. Without ``samples`` the column of that name has each row's."""
+    names = F.col("samples") if samples is None else F.array(*(F.lit(s) for s in samples)).cast("array<string>")
+    spread = vcf.select("chrom", "pos", names.alias("names"), F.posexplode("calls").alias("i", "call"))
+    names = F.col("names")
     gt = decode_gt(F.substring_index("call", ":", 1))
     return spread.select("chrom", "pos", F.element_at(names, F.col("i") + 1).alias("sample"), gt.alias("g")).select("chrom", "pos", "sample", "g.a0", "g.a1")
 

@@ -8,24 +8,25 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import block_start, pair_label, phred
 from ..operators.observed import BASES, summary_columns
-from ..sources.readers import TOKENS, parse_pileup
+from ..sources.readers import parse_pileup, read_symbols, symbol_base
 
 
-def _reads(sample: Column, ref: Column) -> Column:
+def _reads(sample: Column, ref: Column, where: Column, consider_dels: bool) -> Column:
     """A sample's reads as array<struct(base, q)>."""
-    tokens = F.filter(F.regexp_extract_all(F.upper(sample["bases"]), F.lit(TOKENS), F.lit(1)), lambda t: (F.length(t) == 1) & ~t.isin("$", "*"))
-    base = lambda t: F.when(t.isin(",", "."), ref).when(t.isin(*BASES), t).otherwise(F.raise_error(F.lit("not a read base")).cast("string"))
-    return F.transform(tokens, lambda t, i: F.struct(base(t).alias("base"), phred(F.substring(sample["quals"], i + 1, F.lit(1))).alias("q")))
+    symbols = read_symbols(sample["bases"])
+    symbols = symbols if consider_dels else F.translate(symbols, "*", "")
+    each = F.filter(F.split(symbols, ""), lambda t: t != "")
+    return F.transform(each, lambda t, i: F.struct(symbol_base(t, ref, where).alias("base"), phred(F.substring(sample["quals"], i + 1, F.lit(1))).alias("q")))
 
 
-def line_pairs(pileup: DataFrame, least_quality: int = 30, min_depth: int = 1) -> DataFrame:
+def line_pairs(pileup: DataFrame, least_quality: int = 30, min_depth: int = 1, consider_dels: bool = False) -> DataFrame:
     """(pair, chrom, pos, num, den, pwd, q0, q1) of every pair of a line's samples, stateless."""
     cell = lambda s, reads: F.struct(
         s["sample"].alias("sample"), F.size(reads).cast("long").alias("n"),
         F.transform(F.array(*(F.lit(b) for b in BASES)), lambda b: F.size(F.filter(reads, lambda r: r["base"] == b)).cast("long")).alias("c"),
         F.aggregate(reads, F.lit(0), lambda t, r: t + r["q"]).alias("q"),
     )
-    kept = F.transform("samples", lambda s: F.struct(s.alias("s"), F.filter(F.when(s["depth"] > 0, _reads(s, F.col("ref"))).otherwise(F.array().cast("array<struct<base:string,q:int>>")), lambda r: r["q"] >= least_quality).alias("reads")))
+    kept = F.transform("samples", lambda s: F.struct(s.alias("s"), F.filter(F.when(s["depth"] > 0, _reads(s, F.col("ref"), F.concat_ws(":", "chrom", "pos"), consider_dels)).otherwise(F.array().cast("array<struct<base:string,q:int>>")), lambda r: r["q"] >= least_quality).alias("reads")))
     cells = F.filter(F.transform(kept, lambda k: cell(k["s"], k["reads"])), lambda c: c["n"] >= min_depth)
     rows = pileup.select("chrom", "pos", cells.alias("cells"))
     pairs = F.flatten(F.transform("cells", lambda x: F.transform(F.filter("cells", lambda y: y["sample"] > x["sample"]), lambda y: F.struct(x.alias("x"), y.alias("y")))))
