@@ -85,6 +85,25 @@ def draw_founders(replicates: DataFrame, members: DataFrame, tree: Tree, seed: i
     return replicates.join(lists.select(*KEYS, F.array(*picked).alias("founders")), list(KEYS))
 
 
+def with_parents(sims: DataFrame, replicates: DataFrame, tree: Tree, index: DataFrame, sexes: dict[str, Column] | None = None) -> DataFrame:
+    """sims (pair, rep, i0, i1) with id0 and id1, the panel samples that stand for founders, and sex0 and sex1; null for
+    offspring and for unknown sexes. ``sexes`` are columns as ``assign_sex`` gives them, else the tree's own are taken."""
+    place = {p[0]: k for k, p in enumerate(tree.founders)}
+    own = {p[0]: F.lit(p[3]) for p in tree.people if p[3] != "unknown"} if sexes is None else sexes
+    names = index.agg(F.array_sort(F.collect_list(F.struct("idx", "sample"))).alias("__names"))
+    out = sims.join(replicates.select(*KEYS, "founders"), list(KEYS)).join(F.broadcast(names), F.lit(True))  # a panel is one row
+
+    def pick(person: str, values: dict) -> Column:
+        found = F.lit(None).cast("string")
+        for iid, value in values.items():
+            found = F.when(F.col(person) == iid, value).otherwise(found)
+        return found
+
+    name = lambda k: F.get(F.filter("__names", lambda m: m["idx"] == F.get("founders", F.lit(k))), F.lit(0))["sample"]
+    ids = {f"id{k}": pick(f"i{k}", {iid: name(at) for iid, at in place.items()}) for k in (0, 1)}
+    return out.withColumns(ids | {f"sex{k}": pick(f"i{k}", own) for k in (0, 1)}).drop("founders", "__names")
+
+
 def draw_contaminants(pairs: DataFrame, members: DataFrame, count: int, seed: int) -> DataFrame:
     """(pair, side, sample): ``count`` members a side of each pair, with replacement."""
     pool = members.agg(F.array_sort(F.collect_set("sample")).alias("pool"))

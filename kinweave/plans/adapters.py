@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.readers import GRCH37
 
 SEED = 42
-PEOPLE = 24  # panel members
+REPS = 100
 
 
 def base(e: str) -> str:
@@ -29,18 +29,32 @@ TARGETS = f"SELECT {site('p_partkey')}, {base('p_partkey')} AS ref, {base('p_par
 SITES = f"""SELECT *, CASE WHEN p_size % 10 = 0 THEN 'INDEL' ELSE 'SNP' END AS vt, p_size % 10 = 1 AS multi
   FROM (SELECT {site('p_partkey')}, {base('p_partkey')} AS ref, {base('p_partkey + 1 + p_size % 3')} AS alt, p_partkey, p_size FROM part
   UNION ALL SELECT {site('p_partkey')}, {base('p_partkey')} AS ref, {base('p_partkey + 2')} AS alt, p_partkey, p_size FROM part WHERE p_size % 10 = 2) z"""
-MEMBERS = f"""SELECT c_name AS sample, n_name AS pop, r_name AS superpop, CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'unknown' END AS sex, c_custkey
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey <= {PEOPLE}"""
+MEMBERS = """SELECT s_name AS sample, n_name AS pop, r_name AS superpop, CASE s_suppkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'unknown' END AS sex, s_suppkey
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 PANEL = f"SELECT sample, pop AS grp, sex FROM ({MEMBERS}) m UNION ALL SELECT sample, superpop AS grp, sex FROM ({MEMBERS}) m"
 INDEX = f"SELECT sample, CAST(row_number() OVER (ORDER BY sample) - 1 AS INT) AS idx FROM ({MEMBERS}) m"
-GENOTYPES = f"""SELECT {site('p_partkey')}, c_name AS sample, CAST(CASE WHEN {{U:'gt0',p_partkey,c_custkey}} < {{U:'af',p_partkey}} THEN 1 ELSE 0 END AS INT) AS a0,
-  CAST(CASE WHEN {{U:'gt1',p_partkey,c_custkey}} < {{U:'af',p_partkey}} THEN 1 ELSE 0 END AS INT) AS a1 FROM part CROSS JOIN customer WHERE c_custkey <= {PEOPLE} AND p_size % 10 > 2"""
+
+
+def carried(shift: int) -> str:
+    """Whether a member carries the alternate allele: by arithmetic, with a frequency of the site's own."""
+    return f"CAST(CASE WHEN (p_partkey * 7919 + s_suppkey * 104729 + p_partkey * s_suppkey * 31 + {shift}) % 1009 < p_partkey * 37 % 1009 THEN 1 ELSE 0 END AS INT)"
+
+
+#: A panel is dense: each site has a call of each member.
+GENOTYPES = f"SELECT {site('p_partkey')}, s_name AS sample, {carried(0)} AS a0, {carried(389)} AS a1 FROM part CROSS JOIN supplier WHERE p_size % 10 > 2"
+#: Counts of mismatches by pair, replicate and comparison of a tree, as a simulation leaves them.
+RATES = f"""SELECT pair, rep, ord, label, i0, i1, pwd, overlap, CAST(pwd AS DOUBLE) / overlap AS avg FROM (
+  SELECT CASE l_partkey % 6 WHEN 0 THEN 'Ind0-Ind1' WHEN 1 THEN 'Ind0-Ind2' WHEN 2 THEN 'Ind0-Ind3' WHEN 3 THEN 'Ind1-Ind2' WHEN 4 THEN 'Ind1-Ind3' ELSE 'Ind2-Ind3' END AS pair,
+    CAST(l_orderkey % {REPS} AS INT) AS rep, CAST(l_suppkey % 4 AS INT) AS ord, CASE l_suppkey % 4 WHEN 0 THEN 'unrelated' WHEN 1 THEN 'first' WHEN 2 THEN 'siblings' ELSE 'second' END AS label,
+    CASE l_suppkey % 4 WHEN 0 THEN 'f1' WHEN 1 THEN 'f1' WHEN 2 THEN 'c1' ELSE 'c2' END AS i0, CASE l_suppkey % 4 WHEN 0 THEN 'm1' WHEN 1 THEN 'c1' WHEN 2 THEN 'c2' ELSE 'g' END AS i1,
+    CAST(sum(CASE WHEN (l_partkey * 13 + l_orderkey * 7 + CAST(l_quantity AS INT) * 3 + l_linenumber) % 100 < 50 - 6 * (l_suppkey % 4) THEN 1 ELSE 0 END) AS BIGINT) AS pwd, count(*) AS overlap
+  FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6) z"""
 FREQS = f"SELECT g.chrom, g.pos, p.grp, round(CAST(sum(a0 + a1) AS DOUBLE) / (2 * count(*)), 4) AS af FROM ({GENOTYPES}) g JOIN ({PANEL}) p ON g.sample = p.sample GROUP BY g.chrom, g.pos, p.grp"
 MAP = """SELECT chrom, lag(stop, 1, CAST(0 AS BIGINT)) OVER (PARTITION BY chrom ORDER BY stop) AS start, stop, rate
   FROM (SELECT CAST(1 + p_partkey % 22 AS INT) AS chrom, CAST(1 + p_partkey * 5003 + 2500 AS BIGINT) AS stop, p_size / 10e0 AS rate FROM part) z"""
 GENOME = "SELECT * FROM (VALUES " + ", ".join(f"({c}, CAST({n} AS BIGINT))" for c, n in GRCH37.items()) + ") g(chrom, length)"
-TABLES = {"OBS": OBS, "READS": READS, "TARGETS": TARGETS, "SITES": SITES, "MEMBERS": MEMBERS, "PANEL": PANEL, "INDEX": INDEX, "GENOTYPES": GENOTYPES, "FREQS": FREQS, "MAP": MAP, "GENOME": GENOME}
-SOURCES = ("region", "nation", "customer", "part", "lineitem")
+TABLES = {"OBS": OBS, "READS": READS, "TARGETS": TARGETS, "SITES": SITES, "MEMBERS": MEMBERS, "PANEL": PANEL, "INDEX": INDEX, "GENOTYPES": GENOTYPES, "FREQS": FREQS, "MAP": MAP, "GENOME": GENOME, "RATES": RATES}
+SOURCES = ("region", "nation", "supplier", "part", "lineitem")
 
 
 def _dialect(sql: str, spark: bool) -> str:

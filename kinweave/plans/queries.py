@@ -23,7 +23,9 @@ from . import adapters as ad
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
 #: Fixed values of the queries' parameters.
-SAMPLES, GROUP, MAF, REPS, BLOCK = (0, 1, 2, 3), "EUROPE", 0.05, 3, 1_000_000
+SAMPLES, GROUP, MAF, REPS, BLOCK = (0, 1, 2, 3), "EUROPE", 0.05, ad.REPS, 1_000_000
+#: Replicates of the one query that simulates; its SQL unrolls every draw.
+FEW = 4
 TREE = pg.Tree(
     (("f1", None, None, "unknown"), ("m1", None, None, "unknown"), ("w", None, None, "unknown"), ("c1", "f1", "m1", "unknown"), ("c2", "f1", "m1", "unknown"), ("g", "c1", "w", "unknown")),
     ((0, "unrelated", "f1", "m1"), (1, "first", "f1", "c1"), (2, "siblings", "c1", "c2"), (3, "second", "c2", "g")),
@@ -171,10 +173,10 @@ def s9(spark, sf):
     return rd.vcf_genotypes(kept, header)
 
 
-@query("s12_vcf_index", "SELECT m.sample, CASE WHEN c_custkey % 5 <> 0 THEN CAST(row_number() OVER (PARTITION BY c_custkey % 5 <> 0 ORDER BY m.sample) - 1 AS INT) END AS idx FROM $MEMBERS m")
+@query("s12_vcf_index", "SELECT m.sample, CASE WHEN s_suppkey % 5 <> 0 THEN CAST(row_number() OVER (PARTITION BY s_suppkey % 5 <> 0 ORDER BY m.sample) - 1 AS INT) END AS idx FROM $MEMBERS m")
 def s12(spark, sf):
     members = ad.adapter(spark, sf, "MEMBERS")
-    header = pn.panel_index(members.filter("c_custkey % 5 <> 0"))
+    header = pn.panel_index(members.filter("s_suppkey % 5 <> 0"))
     return rd.assign_vcf_index(members.select("sample"), header)
 
 
@@ -188,9 +190,9 @@ def built(spark, sf, **more):
     return path
 
 
-@query("s13_store_genotypes", f"SELECT * FROM ({STORED}) s WHERE chrom <= 5")
+@query("s13_store_genotypes", STORED)
 def s13(spark, sf):
-    return store.read_panel_store(spark, built(spark, sf), "genotypes", range(1, 6)).select("chrom", "pos", "sample", "a0", "a1")
+    return store.read_panel_store(spark, built(spark, sf), "genotypes").select("chrom", "pos", "sample", "a0", "a1")
 
 
 @query("s14_store_freqs", f"SELECT g.chrom, g.pos, p.grp, round(CAST(sum(a0 + a1) AS DOUBLE) / (2 * count(*)), 4) AS af FROM ({STORED}) g JOIN $PANEL p ON g.sample = p.sample WHERE p.grp IN ('EUROPE', 'ASIA') GROUP BY g.chrom, g.pos, p.grp")
@@ -225,12 +227,12 @@ def s20(spark, sf):
     return spark.read.option("sep", "\t").option("header", True).csv(path).toDF("pair_name", "overlap", "sum_pwd", "avg_pwd", "ci95", "avg_phred")
 
 
-@query("s21_block_sink", "SELECT pair, CAST(chrom AS VARCHAR) AS chrom, CAST(start AS VARCHAR) AS start, CAST(end_ AS VARCHAR) AS end_, CAST(sites AS VARCHAR) AS sites FROM $BLOCKS b")
+@query("s21_block_sink", "SELECT pair, CAST(chrom AS VARCHAR) AS chrom, CAST(start AS VARCHAR) AS start, CAST(end_ AS VARCHAR) AS end_, CAST(sites AS VARCHAR) AS sites, round(pwd, 6) AS pwd FROM $BLOCKS b")
 def s21(spark, sf):
     path = scratch(spark, "blk")
     sinks.write_blocks(blk.block_summary(sites(spark, sf), ad.adapter(spark, sf, "GENOME"), BLOCK), path)
     back = spark.read.option("sep", "\t").option("header", True).schema("chrom string, start string, end string, sites string, pwd string, pair string").csv(path)
-    return back.select("pair", "chrom", "start", F.col("end").alias("end_"), "sites")
+    return back.select("pair", "chrom", "start", F.col("end").alias("end_"), "sites", F.round(F.col("pwd").cast("double"), 6).alias("pwd"))
 
 
 # Scalar functions
@@ -462,10 +464,23 @@ def _allele(i: str, k: int) -> str:
     return TREE.name(i, k)
 
 
-def _sims_sql() -> str:
+def _plan_sql(reps: int) -> str:
     founders = [p[0] for p in TREE.founders]
     own = ", ".join(f"max(CASE WHEN r = {k + 1} THEN idx END) AS f{k}" for k in range(len(founders)))
     strands = ", ".join(f"CASE WHEN {{U:'strand',pair,rep,'{i}',{k}}} < 0.5 THEN 1 ELSE 0 END AS s{TREE.number[i]}_{k}" for i, k in TREE.slots)
+    return f"""WITH plan0 AS (SELECT pair, CAST(rep AS INT) AS rep FROM (SELECT DISTINCT pair FROM $PAIRS p) z CROSS JOIN range({reps}) r(rep)),
+      drawn AS (SELECT pair, rep, idx, row_number() OVER (PARTITION BY pair, rep ORDER BY {{U:'founder',pair,rep,sample}}, idx) AS r FROM plan0 CROSS JOIN $INDEX i),
+      founders AS (SELECT pair, rep, {own} FROM drawn GROUP BY pair, rep),
+      plan AS (SELECT *, 0.05 * {{U:'contam_rate',pair,rep,0}} AS contam0, 0.05 * {{U:'contam_rate',pair,rep,1}} AS contam1, {strands} FROM founders)"""
+
+
+CAF = """, pool AS (SELECT list(sample ORDER BY sample) AS pool FROM $INDEX i),
+      people AS (SELECT pair, side, pool[CAST(floor({U:'contam',pair,side,k} * len(pool)) AS INT) + 1] AS sample FROM (SELECT DISTINCT pair FROM $PAIRS p) z CROSS JOIN range(2) s(side) CROSS JOIN range(2) t(k) CROSS JOIN pool),
+      caf AS (SELECT c.pair, g.chrom, g.pos, avg(CASE WHEN side = 0 THEN (a0 + a1) / 2e0 END) AS caf0, avg(CASE WHEN side = 1 THEN (a0 + a1) / 2e0 END) AS caf1 FROM people c JOIN $GENOTYPES g ON g.sample = c.sample GROUP BY ALL)"""
+
+
+def _sims_sql(reps: int) -> str:
+    founders = [p[0] for p in TREE.founders]
     gathered = ", ".join(f"h{k}.a{s} AS {_allele(i, s)}" for k, i in enumerate(founders) for s in (0, 1))
     joins = " ".join(f"JOIN $GENO h{k} ON h{k}.chrom = p.chrom AND h{k}.pos = p.pos AND h{k}.idx = d.f{k}" for k in range(len(founders)))
     flags = ", ".join(f"sum(CASE WHEN {{U:'xover',pair,rep,chrom,pos,'{i}',{k}}} < recomb THEN 1 ELSE 0 END) OVER w % 2 AS x{TREE.number[i]}_{k}" for i, k in TREE.slots)
@@ -487,13 +502,7 @@ def _sims_sql() -> str:
     counted = " UNION ALL ".join(
         f"SELECT pair, rep, {o} AS ord, '{label}' AS label, CAST(sum(CASE WHEN {read(o, a, 0)} <> {read(o, b, 1)} THEN 1 ELSE 0 END) AS BIGINT) AS pwd, count(*) AS overlap FROM {last} GROUP BY pair, rep" for o, label, a, b in TREE.comparisons
     )
-    return f"""WITH plan0 AS (SELECT pair, CAST(rep AS INT) AS rep FROM (SELECT DISTINCT pair FROM $PAIRS p) z CROSS JOIN range({REPS}) r(rep)),
-      drawn AS (SELECT pair, rep, idx, row_number() OVER (PARTITION BY pair, rep ORDER BY {{U:'founder',pair,rep,sample}}, idx) AS r FROM plan0 CROSS JOIN $INDEX i),
-      founders AS (SELECT pair, rep, {own} FROM drawn GROUP BY pair, rep),
-      plan AS (SELECT *, 0.05 * {{U:'contam_rate',pair,rep,0}} AS contam0, 0.05 * {{U:'contam_rate',pair,rep,1}} AS contam1, {strands} FROM founders),
-      pool AS (SELECT list(sample ORDER BY sample) AS pool FROM $INDEX i),
-      people AS (SELECT pair, side, pool[CAST(floor({{U:'contam',pair,side,k}} * len(pool)) AS INT) + 1] AS sample FROM (SELECT DISTINCT pair FROM $PAIRS p) z CROSS JOIN range(2) s(side) CROSS JOIN range(2) t(k) CROSS JOIN pool),
-      caf AS (SELECT c.pair, g.chrom, g.pos, avg(CASE WHEN side = 0 THEN (a0 + a1) / 2e0 END) AS caf0, avg(CASE WHEN side = 1 THEN (a0 + a1) / 2e0 END) AS caf1 FROM people c JOIN $GENOTYPES g ON g.sample = c.sample GROUP BY ALL),
+    return _plan_sql(reps) + CAF + f""",
       kept AS (SELECT p.pair, p.chrom, p.pos, p.q0, p.q1, r.recomb, caf.caf0, caf.caf1 FROM $CORR p JOIN $RECOMB r ON r.pair = p.pair AND r.chrom = p.chrom AND r.pos = p.pos JOIN caf ON caf.pair = p.pair AND caf.chrom = p.chrom AND caf.pos = p.pos),
       base AS (SELECT p.*, d.* EXCLUDE (pair), {gathered} FROM kept p JOIN plan d ON d.pair = p.pair {joins}),
       dropped AS (SELECT * FROM base WHERE {{U:'snpdrop',pair,rep,chrom,pos}} >= 0.1),
@@ -502,17 +511,18 @@ def _sims_sql() -> str:
       full_sims AS (SELECT s.pair, rep, ord, label, pwd, overlap + coalesce(missing, 0) AS overlap, CAST(pwd AS DOUBLE) / (overlap + coalesce(missing, 0)) AS avg FROM sims s LEFT JOIN lost l ON l.pair = s.pair)"""
 
 
-SIMS = _sims_sql()
+PLAN, SIMS = _plan_sql(REPS), _sims_sql(FEW)
+RATED = "WITH full_sims AS (SELECT * FROM $RATES r)"
 STATS = """, m AS (SELECT pair, label, avg(avg) AS mean, stddev_pop(avg) AS sd FROM full_sims GROUP BY pair, label), stats AS (SELECT *, CAST(row_number() OVER (PARTITION BY pair ORDER BY mean, label) - 1 AS INT) AS rank FROM m)"""
 SUMMARY_CORR = ad.TABLES["SUMMARY"].replace("$PAIRS", "$CORR")
 BEST = STATS + f""", observed AS ({SUMMARY_CORR}), z AS (SELECT s.*, (o.avg_pwd - mean) / sd AS z FROM stats s JOIN observed o ON o.pair = s.pair),
   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY abs(z), rank) AS n FROM z) y WHERE n = 1)"""
 
 
-def plan(spark: SparkSession, sf: str, pairs: DataFrame) -> DataFrame:
+def plan(spark: SparkSession, sf: str, pairs: DataFrame, reps: int = REPS) -> DataFrame:
     """Founders, strands and contamination rates of each replicate: a small table that is written once."""
     members = ad.adapter(spark, sf, "INDEX").withColumn("sex", F.lit("unknown"))
-    drawn = pg.draw_strands(pg.draw_founders(pg.expand_replicates(pairs, REPS), members, TREE, ad.SEED), TREE, ad.SEED)
+    drawn = pg.draw_strands(pg.draw_founders(pg.expand_replicates(pairs, reps), members, TREE, ad.SEED), TREE, ad.SEED)
     spec = sc.rate_spec(F.lit("0-5"))
     rates = {f"contam{k}": sc.draw_rate(spec, ad.SEED, "contam_rate", F.col("pair"), F.col("rep"), F.lit(k)) for k in (0, 1)}
     return stored(drawn.withColumns(rates).withColumns({f"err{k}": F.lit(None).cast("double") for k in (0, 1)}), "replicates")
@@ -525,7 +535,7 @@ def sims(spark: SparkSession, sf: str) -> DataFrame:
     contaminants = pg.draw_contaminants(pairs, index, 2, ad.SEED)
     kept = pn.correct_pair_sites(rc.recombination(found.select("pair", "chrom", "pos", "q0", "q1"), genetic_map), pn.failed_maf(freqs(spark, sf), GROUP, MAF))
     kept = kept.join(pg.contaminant_af(found, panel, contaminants, index), ["pair", "chrom", "pos"]).drop("prev")
-    counted = pg.simulate(kept, panel, plan(spark, sf, pairs), TREE, ad.SEED, drop_rate=0.1)
+    counted = pg.simulate(kept, panel, plan(spark, sf, pairs, FEW), TREE, ad.SEED, drop_rate=0.1)
     return pg.add_missing(counted, pn.missing_sites(found, panel))
 
 
@@ -534,22 +544,37 @@ def m9(spark, sf):
     return rounded(sims(spark, sf).drop("i0", "i1"))
 
 
-@query("m1_replicates", SIMS + ", x AS (SELECT pair, rep, f0, f1, f2, round(contam0, 9) AS contam0, round(contam1, 9) AS contam1, " + " + ".join(f"s{TREE.number[i]}_{k} * {2**n}" for n, (i, k) in enumerate(TREE.slots)) + " AS strands FROM plan) SELECT * FROM x")
+@query("m1_replicates", PLAN + ", x AS (SELECT pair, rep, f0, f1, f2, round(contam0, 9) AS contam0, round(contam1, 9) AS contam1, " + " + ".join(f"s{TREE.number[i]}_{k} * {2**n}" for n, (i, k) in enumerate(TREE.slots)) + " AS strands FROM plan) SELECT * FROM x")
 def m1(spark, sf):
     found = plan(spark, sf, sites(spark, sf).select("pair").distinct())
     bits = F.aggregate(F.transform("strands", lambda s, i: s * F.pow(F.lit(2), i).cast("int")), F.lit(0), lambda t, v: t + v)
     return found.select("pair", "rep", *(F.get("founders", F.lit(k)).alias(f"f{k}") for k in range(3)), F.round("contam0", 9).alias("contam0"), F.round("contam1", 9).alias("contam1"), bits.alias("strands"))
 
 
-@query("s22_sims_sink", SIMS + " SELECT pair, CAST(rep AS VARCHAR) AS rep, label, CAST(pwd AS VARCHAR) AS pwd, CAST(overlap AS VARCHAR) AS overlap FROM full_sims")
+def rates(spark: SparkSession, sf: str) -> DataFrame:
+    return ad.adapter(spark, sf, "RATES")
+
+
+def _parent_sql(k: int) -> str:
+    cases = " ".join(f"WHEN '{iid}' THEN n{at}.sample" for at, iid in enumerate(p[0] for p in TREE.founders))
+    return f"coalesce(CASE i{k} {cases} END, 'None')"
+
+
+@query(
+    "s22_sims_sink",
+    PLAN + f""" SELECT r.pair, CAST(r.rep AS VARCHAR) AS replicate, label, i0 AS parent0, i1 AS parent1, {_parent_sql(0)} AS id0, {_parent_sql(1)} AS id1, CAST(pwd AS VARCHAR) AS pwd, CAST(overlap AS VARCHAR) AS overlap,
+      printf('%.6f', avg) AS avg, 'None' AS sex0, 'None' AS sex1 FROM $RATES r JOIN plan d ON d.pair = r.pair AND d.rep = r.rep JOIN $INDEX n0 ON n0.idx = d.f0 JOIN $INDEX n1 ON n1.idx = d.f1 JOIN $INDEX n2 ON n2.idx = d.f2""",
+)
 def s22(spark, sf):
-    path = scratch(spark, "sims")
-    sinks.write_sims(sims(spark, sf), path)
-    back = spark.read.option("sep", "\t").option("header", True).schema("rep string, ord string, label string, i0 string, i1 string, pwd string, overlap string, avg string, pair string").csv(path)
-    return back.select("pair", "rep", "label", "pwd", "overlap")
+    path, drawn = scratch(spark, "sims"), rates(spark, sf)
+    found = plan(spark, sf, drawn.select("pair").distinct())
+    sinks.write_sims(pg.with_parents(drawn, found, TREE, ad.adapter(spark, sf, "INDEX")), path)
+    back = spark.read.option("sep", "\t").option("header", True).schema(", ".join(f"`{c}` string" for c in (*sinks.SIMS, "pair"))).csv(path)
+    more = {"parent0.id": "id0", "parent1.id": "id1", "parent0.sex": "sex0", "parent1.sex": "sex1"}
+    return back.select(*(F.col(f"`{c}`").alias(more.get(c, c)) for c in back.columns))
 
 
-@query("a14_contaminant_af", SIMS + " SELECT p.pair, p.chrom, p.pos, round(caf0, 6) AS caf0, round(caf1, 6) AS caf1 FROM $PAIRS p JOIN caf ON caf.pair = p.pair AND caf.chrom = p.chrom AND caf.pos = p.pos")
+@query("a14_contaminant_af", "WITH " + CAF[2:] + " SELECT p.pair, p.chrom, p.pos, round(caf0, 6) AS caf0, round(caf1, 6) AS caf1 FROM $PAIRS p JOIN caf ON caf.pair = p.pair AND caf.chrom = p.chrom AND caf.pos = p.pos")
 def a14(spark, sf):
     found, index = sites(spark, sf), ad.adapter(spark, sf, "INDEX")
     return rounded(pg.contaminant_af(found, haps(spark, sf), pg.draw_contaminants(found.select("pair").distinct(), index, 2, ad.SEED), index))
@@ -558,69 +583,115 @@ def a14(spark, sf):
 # Assignment
 
 
-@query("a16_relationship_stats", SIMS + STATS + " SELECT pair, label, round(mean, 6) AS mean, round(sd, 6) AS sd, rank FROM stats")
+@query("a16_relationship_stats", RATED + STATS + " SELECT pair, label, round(mean, 6) AS mean, round(sd, 6) AS sd, rank FROM stats")
 def a16(spark, sf):
-    return rounded(asg.relationship_stats(sims(spark, sf), REPS))
+    return rounded(asg.relationship_stats(rates(spark, sf), REPS))
 
 
-@query("a17_standardised", SIMS + " SELECT pair, rep, label, round((avg - avg(avg) OVER (PARTITION BY pair)) / stddev_pop(avg) OVER (PARTITION BY pair), 6) AS x FROM full_sims")
+@query("a17_standardised", RATED + " SELECT pair, rep, label, round((avg - avg(avg) OVER (PARTITION BY pair)) / stddev_pop(avg) OVER (PARTITION BY pair), 6) AS x FROM full_sims")
 def a17(spark, sf):
-    return rounded(asg.standardise(sims(spark, sf)).select("pair", "rep", "label", "x"))
+    return rounded(asg.standardise(rates(spark, sf)).select("pair", "rep", "label", "x"))
 
 
-@query("r1_zscore", SIMS + BEST + " SELECT pair, label, round(mean, 6) AS sim_mean, round(z, 4) AS z FROM best")
+@query("r1_zscore", RATED + BEST + " SELECT pair, label, round(mean, 6) AS sim_mean, round(z, 4) AS z FROM best")
 def r1(spark, sf):
-    found = asg.assign_zscore(ob.pair_summary(corrected(spark, sf)), asg.relationship_stats(stored(sims(spark, sf), "sims"), REPS))
+    found = asg.assign_zscore(ob.pair_summary(corrected(spark, sf)), asg.relationship_stats(rates(spark, sf), REPS))
     return found.select("pair", "label", F.round("sim_mean", 6).alias("sim_mean"), F.round("z", 4).alias("z"))
 
 
-@query("r2_ordinal_targets", SIMS + STATS + " SELECT f.pair, rep, f.label, CAST(threshold AS INT) AS threshold, CASE WHEN rank > threshold THEN 1 ELSE 0 END AS y FROM full_sims f JOIN stats s ON s.pair = f.pair AND s.label = f.label CROSS JOIN range(3) t(threshold)")
+@query("r2_ordinal_targets", RATED + STATS + " SELECT f.pair, rep, f.label, CAST(threshold AS INT) AS threshold, CASE WHEN rank > threshold THEN 1 ELSE 0 END AS y FROM full_sims f JOIN stats s ON s.pair = f.pair AND s.label = f.label CROSS JOIN range(3) t(threshold)")
 def r2(spark, sf):
-    drawn = stored(sims(spark, sf), "sims")
+    drawn = rates(spark, sf)
     return asg.ordinal_targets(drawn, asg.relationship_stats(drawn, REPS)).select("pair", "rep", "label", "threshold", "y")
 
 
+def _newton_sql() -> str:
+    """The classifiers of R3 with as many Newton steps as the operator makes."""
+    steps = ", ".join(
+        f"""b{k + 1} AS MATERIALIZED (SELECT pair, threshold, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0, b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b1
+        FROM (SELECT pair, threshold, b0, b1, sum(w) + {asg.SLIGHT} AS h00, sum(w * x) AS h01, sum(w * x * x) + {asg.PENALTY} AS h11, sum(y - p) - {asg.SLIGHT} * b0 AS g0, sum((y - p) * x) - {asg.PENALTY} * b1 AS g1
+          FROM (SELECT *, p * (1 - p) AS w FROM (SELECT t.*, b0, b1, 1e0 / (1e0 + exp(-greatest(least(b0 + b1 * x, 30e0), -30e0))) AS p FROM targets t JOIN b{k} b ON b.pair = t.pair AND b.threshold = t.threshold) i) j
+          GROUP BY pair, threshold, b0, b1) h)"""
+        for k in range(asg.STEPS)
+    )
+    return f""", scaled AS (SELECT *, (avg - avg(avg) OVER (PARTITION BY pair)) / stddev_pop(avg) OVER (PARTITION BY pair) AS x FROM full_sims),
+      targets AS MATERIALIZED (SELECT f.pair, CAST(threshold AS INT) AS threshold, x, CASE WHEN rank > threshold THEN 1 ELSE 0 END AS y FROM scaled f JOIN stats s ON s.pair = f.pair AND s.label = f.label CROSS JOIN range(3) t(threshold)),
+      b0 AS (SELECT DISTINCT pair, threshold, 0e0 AS b0, 0e0 AS b1 FROM targets), {steps},
+      probs AS (SELECT b.pair, threshold, 1e0 / (1e0 + exp(-(b0 + b1 * (o.avg_pwd - m) / d))) AS s FROM b{asg.STEPS} b JOIN ({SUMMARY_CORR}) o ON o.pair = b.pair
+        JOIN (SELECT pair, avg(avg) AS m, stddev_pop(avg) AS d FROM full_sims GROUP BY pair) q ON q.pair = b.pair)"""
+
+
+#: Class probabilities from the thresholds' (pair, threshold, s): differences of neighbours.
+CLASSES = """, last AS (SELECT pair, threshold, s FROM probs UNION ALL SELECT DISTINCT pair, 3, 0e0 FROM probs),
+  classes AS (SELECT l.pair, label, rank, p FROM (SELECT pair, threshold, lag(s, 1, 1e0) OVER (PARTITION BY pair ORDER BY threshold) - s AS p FROM last) l JOIN stats t ON t.pair = l.pair AND t.rank = l.threshold)"""
+ORDINAL = RATED + STATS + _newton_sql() + CLASSES
+GIVEN = RATED + STATS + ", probs AS (SELECT pair, CAST(ord AS INT) AS threshold, avg(avg) * (3 - ord) / 3 + 0.3 AS s FROM full_sims WHERE ord < 3 GROUP BY pair, ord)" + CLASSES
+BEST_CLASS = " SELECT pair, arg_max(label, p * 1000 + rank / 1e9) AS label, round(max(p), 5) AS p FROM classes GROUP BY pair"
+
+
 def ordinal(spark, sf):
-    drawn = stored(asg.standardise(sims(spark, sf)), "sims")
+    drawn = asg.standardise(rates(spark, sf))
     stats = asg.relationship_stats(drawn, REPS)
     fits = asg.fit_ordinal(asg.ordinal_targets(drawn, stats))
-    return asg.class_probs(asg.threshold_probs(ob.pair_summary(corrected(spark, sf)), drawn, fits), stats), stats
+    return asg.class_probs(asg.threshold_probs(ob.pair_summary(corrected(spark, sf)), drawn, fits), stats)
 
 
-@query("r3_ordinal_probs")
+@query("r3_ordinal_probs", ORDINAL + " SELECT pair, label, rank, round(p, 5) AS p FROM classes")
 def r3(spark, sf):
-    return rounded(ordinal(spark, sf)[0])
+    return rounded(ordinal(spark, sf), 5)
 
 
-@query("r4_ordinal_label")
+@query("r4_ordinal_label", ORDINAL + BEST_CLASS)
 def r4(spark, sf):
-    return rounded(asg.assign_ordinal(ordinal(spark, sf)[0]))
+    return rounded(asg.assign_ordinal(ordinal(spark, sf)), 5)
+
+
+def given_classes(spark, sf):
+    """Class probabilities from given threshold probabilities."""
+    drawn = rates(spark, sf)
+    probs = drawn.filter("ord < 3").groupBy("pair", F.col("ord").alias("threshold")).agg((F.avg("avg") * (3 - F.first("ord")) / 3 + 0.3).alias("s"))
+    return asg.class_probs(probs, asg.relationship_stats(drawn, REPS))
 
 
-@query("s24_probs_sink")
+@query("w7_class_differences", GIVEN + " SELECT pair, label, rank, round(p, 6) AS p FROM classes")
+def w7(spark, sf):
+    return rounded(given_classes(spark, sf))
+
+
+@query("w8_best_class", GIVEN + BEST_CLASS)
+def w8(spark, sf):
+    return rounded(asg.assign_ordinal(given_classes(spark, sf)), 5)
+
+
+@query("s24_probs_sink", ORDINAL + ' SELECT pair, ' + ", ".join(f"round(max(CASE WHEN label = '{c[1]}' THEN p END), 5) AS {c[1]}" for c in TREE.comparisons) + " FROM classes GROUP BY pair")
 def s24(spark, sf):
     path = scratch(spark, "probs")
-    sinks.write_probs(ordinal(spark, sf)[0], path)
-    return spark.read.option("sep", "\t").option("header", True).csv(path)
+    sinks.write_probs(ordinal(spark, sf), path)
+    back = spark.read.option("sep", "\t").option("header", True).csv(path)
+    return back.select("pair", *(F.round(F.col(c[1]).cast("double"), 5).alias(c[1]) for c in TREE.comparisons))
 
 
 RESULT = "SELECT b.pair, label, overlap, round(sum_pwd, 6) AS sum_pwd, round(avg_pwd, 6) AS avg_pwd, round(ci95, 6) AS ci95, round(avg_phred, 6) AS avg_phred, round(mean, 6) AS sim_avg_pwd, round(z, 4) AS z FROM best b JOIN observed o ON o.pair = b.pair"
 
 
-@query("r5_results", SIMS + BEST + " " + RESULT)
+@query("r5_results", RATED + BEST + " " + RESULT)
 def r5(spark, sf):
-    stats = asg.relationship_stats(stored(sims(spark, sf), "sims"), REPS)
+    stats = asg.relationship_stats(rates(spark, sf), REPS)
     found = asg.relatedness_results(ob.pair_summary(corrected(spark, sf)), stats)
     return rounded(found.drop("z")).join(found.select("pair", F.round("z", 4).alias("z")), "pair")
 
 
-@query("s23_results_sink", SIMS + BEST + " SELECT b.pair AS pair_name, label, CAST(overlap AS VARCHAR) AS overlap FROM best b JOIN observed o ON o.pair = b.pair")
+@query(
+    "s23_results_sink",
+    RATED + BEST + f""" SELECT b.pair AS pair_name, label, CAST(overlap AS VARCHAR) AS overlap, {number('sum_pwd', 1)} AS sum_pwd, {number('round(avg_pwd, 9)', 6)} AS avg_pwd, {number('round(ci95, 9)', 6)} AS ci95,
+      {number('round(avg_phred, 9)', 6)} AS avg_phred, {number('round(mean, 9)', 6)} AS sim_avg_pwd, {number('round(z, 9)', 6)} AS z FROM best b JOIN observed o ON o.pair = b.pair""",
+)
 def s23(spark, sf):
     path = scratch(spark, "result")
-    stats = asg.relationship_stats(stored(sims(spark, sf), "sims"), REPS)
+    stats = asg.relationship_stats(rates(spark, sf), REPS)
     sinks.write_results(asg.relatedness_results(ob.pair_summary(corrected(spark, sf)), stats), path)
     back = spark.read.option("sep", "\t").option("header", True).csv(path)
-    return back.toDF("pair_name", "label", "overlap", *back.columns[3:]).select("pair_name", "label", "overlap")
+    return back.toDF("pair_name", "label", "overlap", "sum_pwd", "avg_pwd", "ci95", "avg_phred", "sim_avg_pwd", "z")
 
 
 # Streams

@@ -34,9 +34,22 @@ def write_blocks(blocks: DataFrame, path: str, mode: str = GUARD) -> None:
     _write(blocks.repartition("pair").sortWithinPartitions("pair", "chrom", "start"), path, mode, "pair")
 
 
+#: The layout of a file of simulated counts, and what stands for an unknown.
+SIMS = {"replicate": "rep", "label": "label", "parent0": "i0", "parent1": "i1", "parent0.id": "id0", "parent1.id": "id1", "pwd": "pwd", "overlap": "overlap", "avg": "avg", "parent0.sex": "sex0", "parent1.sex": "sex1"}
+UNKNOWN = "None"
+
+
+def sims_rows(sims: DataFrame) -> DataFrame:
+    """(pair, ord, the columns of SIMS). Who stands for a founder and which sex a person has may be missing or null."""
+    known = {c: F.coalesce(F.col(c), F.lit(UNKNOWN)) if c in sims.columns else F.lit(UNKNOWN) for c in ("id0", "id1", "sex0", "sex1")}
+    columns = {**{c: F.col(c) for c in ("rep", "label", "i0", "i1", "pwd", "overlap")}, "avg": fixed("avg", 6), **known}
+    return sims.select("pair", "ord", *(columns[c].alias(n) for n, c in SIMS.items()))
+
+
 def write_sims(sims: DataFrame, path: str, mode: str = GUARD) -> None:
     """A folder a pair, by replicate and comparison."""
-    _write(sims.repartition("pair").sortWithinPartitions("pair", "rep", "ord"), path, mode, "pair")
+    rows = sims_rows(sims).repartition("pair").sortWithinPartitions("pair", "replicate", "ord")
+    _write(rows.drop("ord"), path, mode, "pair")
 
 
 def result_rows(results: DataFrame) -> DataFrame:
