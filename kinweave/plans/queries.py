@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
@@ -99,14 +101,17 @@ ad.TABLES |= {
 STARTS = "CASE WHEN read_ix = 0 THEN '^F' ELSE '' END"
 
 
-def pileup_text(spark: SparkSession, sf: str) -> DataFrame:
-    """The reads as pileup lines: reference reads as dots or commas, starts, ends, indels, ignored deletions."""
+def pileup_text(spark: SparkSession, sf: str, dels: bool = False) -> DataFrame:
+    """The reads as pileup lines: reference reads as dots or commas, starts, ends, indels (one of 70 bases), deletions. With
+    ``dels`` deletions have qualities, else they are of the kind that is ignored."""
     obs, targets = adapters(spark, sf, "READS", "TARGETS")
     known = obs.join(targets.select("chrom", "pos", "ref"), ["chrom", "pos"])
     symbol = F.when(F.col("base") == F.col("ref"), F.when(F.col("phred") % 2 == 0, ".").otherwise(",")).when(F.col("phred") % 2 == 0, F.col("base")).otherwise(F.lower("base"))
-    after = F.when(F.col("phred") % 7 == 0, "+2AC").when(F.col("phred") % 7 == 1, "-11ACGTACGTACG").when(F.col("phred") % 7 == 2, "$").when(F.col("phred") % 7 == 3, "*").otherwise("")
+    after = F.when(F.col("phred") == 35, "-70" + "ACGTNACGTA" * 7).when(F.col("phred") % 7 == 0, "+2AC").when(F.col("phred") % 7 == 1, "-11ACGTACGTACG").when(F.col("phred") % 7 == 2, "$").when(F.col("phred") % 7 == 3, "*").otherwise("")
     token = F.concat(F.when(F.col("read_ix") == 0, "^F").otherwise(""), symbol, after)
-    cells = known.groupBy("chrom", "pos", "ref", "sample").agg(F.array_sort(F.collect_list(F.struct("read_ix", token.alias("t"), sc.phred_ascii(F.col("phred")).alias("q")))).alias("r"))
+    mark = sc.phred_ascii(F.col("phred"))
+    marks = F.when(F.col("phred") % 7 == 3, F.concat(mark, mark)).otherwise(mark) if dels else mark
+    cells = known.groupBy("chrom", "pos", "ref", "sample").agg(F.array_sort(F.collect_list(F.struct("read_ix", token.alias("t"), marks.alias("q")))).alias("r"))
     text = cells.select("chrom", "pos", "ref", "sample", F.concat_ws("\t", F.size("r").cast("string"), F.array_join(F.transform("r", lambda r: r["t"]), ""), F.array_join(F.transform("r", lambda r: r["q"]), "")).alias("cell"))
     sites_ = text.groupBy("chrom", "pos", "ref").agg(F.map_from_entries(F.collect_list(F.struct("sample", "cell"))).alias("cells"))
     samples = [F.coalesce(F.try_element_at("cells", F.lit(s)), F.lit("0\t*\t*")) for s in SAMPLES]
@@ -235,6 +240,168 @@ def s21(spark, sf):
     return back.select("pair", "chrom", "start", F.col("end").alias("end_"), "sites", F.round(F.col("pwd").cast("double"), 6).alias("pwd"))
 
 
+def files(df: DataFrame, folder: str, extension: str, files_: int = 1) -> None:
+    """df's only column as lines of ``files_`` text files whose names end so, beside what the folder has."""
+    ordered = df.coalesce(1) if files_ == 1 else df
+    ordered.write.mode("append").options(extension=extension, sep="\x01", comment="\x02", quote="", escapeQuotes=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+
+
+@query("s5_find_panel", "SELECT sample, grp, sex FROM $PANEL p")
+def s5(spark, sf):
+    folder = scratch(spark, "panels")
+    files(panel_text(spark, sf), folder, "panel")
+    files(panel_text(spark, sf).limit(1), folder, "txt")
+    return rd.read_panel(spark, rd.find_panel(spark, folder))
+
+
+CONTIGS = "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'chr' ELSE '' END || CASE p_partkey % 40 WHEN 23 THEN 'X' WHEN 24 THEN 'MT' ELSE CAST(p_partkey % 40 AS VARCHAR) END || CASE WHEN p_partkey % 7 = 0 THEN '_random' ELSE '' END AS name, CAST(1000 + p_partkey * 17 AS BIGINT) AS length FROM part"
+
+
+@query(
+    "s6_fasta_index",
+    f"""SELECT CAST(NULL AS VARCHAR) AS name, CAST(CASE WHEN replace(name, 'chr', '') = 'X' THEN 88 ELSE CAST(replace(name, 'chr', '') AS INT) END AS INT) AS chrom, length FROM ({CONTIGS}) c WHERE regexp_matches(name, '^(chr)?([0-9]+|X)$')
+      UNION ALL SELECT name, CAST(NULL AS INT), length FROM ({CONTIGS}) d WHERE NOT regexp_matches(name, '^(chr)?([0-9]+|X)$')""",
+)
+def s6(spark, sf):
+    key = F.col("p_partkey")
+    bare = F.when(key % 40 == 23, "X").when(key % 40 == 24, "MT").otherwise((key % 40).cast("string"))
+    name = F.concat(F.when(key % 3 == 0, "chr").otherwise(""), bare, F.when(key % 7 == 0, "_random").otherwise(""))
+    folder = scratch(spark, "genome")
+    files(spark.read.parquet(f"{sf}/part.parquet").select(F.concat_ws("\t", name, (1000 + key * 17).cast("string"), F.lit("52"), F.lit("60"), F.lit("61")).alias("value")), folder, "fai")
+    path = rd.find_inputs(spark, folder, ("fai",))[0]
+    known = rd.read_genome(spark, path).select(F.lit(None).cast("string").alias("name"), "chrom", "length")
+    return known.unionAll(rd.skipped_contigs(spark, path).select("name", F.lit(None).cast("int"), "length"))
+
+
+def vcf_files(spark: SparkSession, sf: str) -> list[str]:
+    """Three VCF files, by chromosome, each with its own order (or choice) of samples; their names are found again."""
+    genotypes, folder = ad.adapter(spark, sf, "GENOTYPES"), scratch(spark, "vcfs")
+    for part in range(3):
+        own = genotypes.filter(F.col("chrom") % 3 == part)
+        own = own.filter(F.substring("sample", -1, 1) != str(part))
+        order = F.when(F.lit(part) == 0, F.col("sample")).otherwise(F.reverse("sample"))
+        cells = own.groupBy("chrom", "pos").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "sample", F.concat_ws("|", "a0", "a1").alias("gt")))).alias("c"))
+        names = own.select(order.alias("o"), "sample").distinct().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "sample"))), lambda x: x["sample"]), "\t")).first()[0]
+        text = cells.select(F.concat_ws("\t", "chrom", "pos", F.lit("."), F.lit("A"), F.lit("C"), F.lit("100"), F.lit("PASS"), F.lit("VT=SNP"), F.lit("GT"), F.array_join(F.transform("c", lambda x: x["gt"]), "\t")).alias("value"))
+        head = spark.createDataFrame([("##fileformat=VCFv4.1",), ("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + names,)], "value string")
+        files(head.unionAll(text), folder, "vcf")
+    files(ad.adapter(spark, sf, "INDEX").select("sample"), folder, "list")
+    return rd.find_inputs(spark, folder)
+
+
+CALLED = "SELECT chrom, pos, sample, a0, a1 FROM $GENOTYPES g WHERE right(sample, 1) <> CAST(chrom % 3 AS VARCHAR)"
+
+
+@query("s10_find_vcfs", "SELECT CAST(count(*) AS BIGINT) AS sites, count(DISTINCT chrom % 3) AS files FROM (SELECT DISTINCT chrom, pos FROM $GENOTYPES g) z")
+def s10(spark, sf):
+    found = vcf_files(spark, sf)
+    return rd.read_vcf_files(spark, found).agg(F.count("*").alias("sites")).withColumn("files", F.lit(len(found)).cast("long"))
+
+
+@query("o5_several_vcfs", CALLED)
+def o5(spark, sf):
+    return rd.vcf_genotypes(rd.read_vcf_files(spark, vcf_files(spark, sf)))
+
+
+@query("s15_panel_copy", "SELECT sample, grp, sex FROM $PANEL p WHERE grp IN (SELECT pop FROM $MEMBERS m WHERE superpop <> 'ASIA' UNION SELECT superpop FROM $MEMBERS m WHERE superpop <> 'ASIA')")
+def s15(spark, sf):
+    members = ad.adapter(spark, sf, "MEMBERS").filter("superpop <> 'ASIA'")
+    kept = ad.adapter(spark, sf, "PANEL").join(members.select("sample").distinct(), "sample", "left_semi")
+    path = scratch(spark, "panel-copy")
+    store.write_panel(kept, path)
+    return rd.read_panel(spark, path)
+
+
+#: A family for every five suppliers: father, mother, and their children.
+FAMILY = """SELECT s_suppkey AS k, 'P' || CAST(s_suppkey AS VARCHAR) AS iid, CASE WHEN s_suppkey % 5 > 1 THEN 'P' || CAST(s_suppkey - s_suppkey % 5 AS VARCHAR) END AS fid,
+  CASE WHEN s_suppkey % 5 > 1 THEN 'P' || CAST(s_suppkey - s_suppkey % 5 + 1 AS VARCHAR) END AS mid, CASE WHEN s_suppkey % 5 = 0 THEN 'male' WHEN s_suppkey % 5 = 1 THEN 'female' WHEN s_nationkey % 3 = 0 THEN 'male' WHEN s_nationkey % 3 = 1 THEN 'female' ELSE 'unknown' END AS sex FROM supplier"""
+RELATED = f"SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS ord, 'child' || CAST(k % 5 AS VARCHAR) AS label, fid AS i0, iid AS i1 FROM ({FAMILY}) f WHERE fid IS NOT NULL"
+
+
+def family(spark: SparkSession, sf: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    k = F.col("s_suppkey")
+    name = lambda c: F.concat(F.lit("P"), c.cast("string"))
+    child = k % 5 > 1
+    number = F.when(k % 5 == 0, 1).when(k % 5 == 1, 2).when(F.col("s_nationkey") % 3 == 0, 1).when(F.col("s_nationkey") % 3 == 1, 2).otherwise(0)
+    return s.select(k.alias("k"), name(k).alias("iid"), F.when(child, name(k - k % 5)).alias("fid"), F.when(child, name(k - k % 5 + 1)).alias("mid"), number.alias("sex"))
+
+
+def tree_rows(spark: SparkSession, sf: str, lines: DataFrame) -> DataFrame:
+    """(at, value) lines as one file, read as a pedigree: its people and comparisons."""
+    folder = scratch(spark, "pedigree")
+    files(lines.orderBy("at", "value").select("value"), folder, "ped")
+    people_, compared = rd.read_pedigree(spark, rd.find_inputs(spark, folder, ("ped",))[0])
+    person = people_.select(F.lit("person").alias("kind"), F.col("iid").alias("a"), F.col("fid").alias("b"), F.col("mid").alias("c"), F.col("sex").alias("d"))
+    return person.unionAll(compared.select(F.lit("pair"), F.col("ord").cast("string"), "label", "i0", "i1"))
+
+
+TREE_SQL = "SELECT 'person' AS kind, iid AS a, fid AS b, mid AS c, {sex} AS d FROM ({family}) f UNION ALL SELECT 'pair', CAST(ord AS VARCHAR), label, i0, i1 FROM ({related}) r"
+
+
+@query("s18_pedigree", TREE_SQL.format(sex="sex", family=FAMILY, related=RELATED))
+def s18(spark, sf):
+    f = family(spark, sf)
+    head = spark.createDataFrame([(-1, "iid fid mid sex  # header")], "at long, value string")
+    zero = lambda c: F.coalesce(F.col(c), F.lit("0"))
+    people_ = f.select("k", F.concat_ws(" ", "iid", zero("fid"), zero("mid"), "sex"))
+    pairs = f.filter("fid IS NOT NULL").select(F.col("k") + 10**9, F.concat_ws("\t", F.lit("COMPARE"), F.concat(F.lit("child"), (F.col("k") % 5).cast("string")), "fid", "iid"))
+    return tree_rows(spark, sf, head.unionAll(people_).unionAll(pairs))
+
+
+@query("s19_pedigree_sections", TREE_SQL.format(sex="'unknown'", family=FAMILY, related=RELATED))
+def s19(spark, sf):
+    f = family(spark, sf)
+    born = f.filter("fid IS NOT NULL")
+    head = lambda at, text: spark.createDataFrame([(at, text)], "at long, value string")
+    call = lambda label, verb, a, b: F.format_string(f"%s = {verb}( %s, %s )", label, a, b)
+    lines = head(-1, "INDIVIDUALS").unionAll(f.select("k", "iid")).unionAll(head(10**9 - 1, "RELATIONSHIPS"))
+    lines = lines.unionAll(born.select(F.col("k") + 10**9, call(F.col("iid"), "repro", F.col("fid"), F.col("mid")))).unionAll(head(2 * 10**9 - 1, "COMPARISONS"))
+    return tree_rows(spark, sf, lines.unionAll(born.select(F.col("k") + 2 * 10**9, call(F.concat(F.lit("child"), (F.col("k") % 5).cast("string")), "compare", F.col("fid"), F.col("iid")))))
+
+
+@query("s25_no_overwrite", PWD_TEXT.replace("SELECT pair AS pair_name", "SELECT TRUE AS refused, pair AS pair_name"))
+def s25(spark, sf):
+    summary = ob.pair_summary(sites(spark, sf))
+    path = scratch(spark, "guarded")
+    sinks.write_pwd(summary, path)
+    try:
+        sinks.write_pwd(summary.limit(0), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    sinks.write_pwd(summary, path, mode="overwrite")
+    back = spark.read.option("sep", "\t").option("header", True).csv(path).toDF("pair_name", "overlap", "sum_pwd", "avg_pwd", "ci95", "avg_phred")
+    return back.withColumn("refused", F.lit(refused))
+
+
+def numbered(rows: DataFrame, *by: str) -> F.Column:
+    """The number of a row in the order of its files, per ``by``."""
+    return F.row_number().over(W.partitionBy(*by).orderBy("file", "at"))
+
+
+@query(
+    "o3_output_order",
+    """SELECT 'pwd' AS sink, CAST(row_number() OVER (ORDER BY pair) AS INT) AS line, pair, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b FROM $SUMMARY s
+      UNION ALL SELECT 'blk', CAST(row_number() OVER (PARTITION BY pair ORDER BY chrom, start) AS INT), pair, CAST(chrom AS VARCHAR), CAST(start AS VARCHAR) FROM $BLOCKS b
+      UNION ALL SELECT 'sims', CAST(row_number() OVER (PARTITION BY pair ORDER BY rep, ord) AS INT), pair, CAST(rep AS VARCHAR), label FROM $RATES r""",
+)
+def o3(spark, sf):
+    found = stored(sites(spark, sf), "pair-sites")
+    paths = {k: scratch(spark, k) for k in ("pwd", "blk", "sims")}
+    sinks.write_pwd(ob.pair_summary(found), paths["pwd"])
+    sinks.write_blocks(blk.block_summary(found, ad.adapter(spark, sf, "GENOME"), BLOCK), paths["blk"])
+    sinks.write_sims(rates(spark, sf), paths["sims"])
+    out = None
+    for sink, (pair, a, b) in {"pwd": ("Pair_name", None, None), "blk": ("pair", "chrom", "start"), "sims": ("pair", "replicate", "label")}.items():
+        rows = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).csv(paths[sink])
+        rows = rows.select(F.col(pair).alias("pair"), *((F.col(x) if x else F.lit(None)).cast("string").alias(n) for n, x in (("a", a), ("b", b))), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+        line = numbered(rows) if sink == "pwd" else numbered(rows, "pair")
+        rows = rows.select(F.lit(sink).alias("sink"), line.alias("line"), "pair", "a", "b")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
 # Scalar functions
 
 
@@ -294,6 +461,15 @@ def f5(spark, sf):
     return ob.filter_depth(ob.site_counts(reads(spark, sf)), people(spark, (2, 4))).select("chrom", "pos", "sample", "n")
 
 
+@query(
+    "f6_deletions",
+    """SELECT chrom, pos, sample, CAST(row_number() OVER (PARTITION BY chrom, pos, sample ORDER BY read_ix, k) - 1 AS INT) AS read_ix, base, phred FROM (SELECT chrom, pos, sample, read_ix, 0 AS k, base, phred FROM $READS r
+      UNION ALL SELECT chrom, pos, sample, read_ix, 1, '*', phred FROM $READS z WHERE phred % 7 = 3) y""",
+)
+def f6(spark, sf):
+    return rd.explode_reads(rd.read_pileup(*written(pileup_text(spark, sf, dels=True), "pileup")), consider_dels=True)
+
+
 @query("f7_biallelic_snps", "SELECT chrom, pos, ref, alt FROM $SITES s WHERE vt = 'SNP' AND NOT multi AND (SELECT count(*) FROM $SITES z WHERE z.chrom = s.chrom AND z.pos = s.pos) = 1")
 def f7(spark, sf):
     return pn.filter_biallelic_snps(pn.drop_duplicate_sites(rd.vcf_sites(vcf_rows(spark, sf)[0]))).select("chrom", "pos", "ref", "alt")
@@ -438,6 +614,11 @@ def j6(spark, sf):
     return pn.missing_sites(sites(spark, sf), ad.adapter(spark, sf, "GENOTYPES").select("chrom", "pos").distinct())
 
 
+@query("j10_panel_members", f"SELECT DISTINCT sample, sex FROM $PANEL p WHERE grp = '{GROUP}'")
+def j10(spark, sf):
+    return pn.panel_members(ad.adapter(spark, sf, "PANEL"), GROUP)
+
+
 @query("j12_sample_groups", "SELECT sample, string_agg(grp, ',' ORDER BY grp) AS grps FROM (SELECT DISTINCT sample, grp FROM $PANEL p) z WHERE grp <> 'ASIA' GROUP BY sample")
 def j12(spark, sf):
     panel = pn.subset_panel(ad.adapter(spark, sf, "PANEL"), ["EUROPE", "AFRICA", "AMERICA", "MIDDLE EAST", *(r["n_name"] for r in spark.read.parquet(f"{sf}/nation.parquet").collect())])

@@ -30,7 +30,8 @@ def test_tokens(spark):
     assert bases(spark, "*A", "AB", dels_have_quality=True) == ("A", [33])
     assert bases(spark, ".+2ACt-12ACGTACGTACGT,", "ABC") == ("CTC", [32, 33, 34])
     assert bases(spark, ".+1*g", "AB") == ("CG", [32, 33])
-    for wrong, quals in ((">", "A"), ("AA", "A"), ("A?", "AA")):
+    assert bases(spark, ".-61" + "A" * 61 + "t^+g+200" + "C" * 200 + "$", "ABC") == ("CTG", [32, 33, 34])
+    for wrong, quals in ((">", "A"), ("AA", "A"), ("A?", "AA"), ("A+5AC", "A"), ("A+", "A")):
         with pytest.raises(PySparkException):
             bases(spark, wrong, quals)
 
