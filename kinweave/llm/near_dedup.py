@@ -14,10 +14,10 @@
    are verified on the full sets, best first, and only while they lie in different components; a bin returns a
    spanning forest of its verified links, not pairs.
 5. A family too large for one task is first held against its pivots: every class meets the smallest class that it
-   shares a band with, in blocks of bounded size. What is linked then is one component. Only buckets that still hold
-   several components are dealt again: members of the bucket's main component go to one block each, the others to every
-   block (or, where the others alone are too many, all by pairs of blocks), so that every pair that shares a band and is
-   still apart meets in some bounded task. The links are joined by connected components.
+   shares a band with, in blocks of bounded size. What is linked then is one component. Families that still hold several
+   components are dealt again, so that every pair that shares a band and is still apart meets in some bounded task:
+   either the main component's blocks each with every block of the others, and the others' blocks with each other, or
+   bucket by bucket, whichever sends fewer rows. The links are joined by connected components.
 
 Null ids link with nothing. Texts without words have an empty set and link with nothing. Rows that repeat an id are
 taken as linked. Ids are integers. Texts above 4 MB are cut into shingles part by part; other columns are not read.
@@ -45,7 +45,7 @@ MOST_MISSED = 1e-5
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
 STEPS = np.array([t for t in range(1, REGISTERS) if math.gcd(t, REGISTERS) == 1], np.int64)
 #: A family up to this size goes to one task as a whole, as does a block of a larger one; bins take about BIN_SHINGLES.
-FAMILY_DOCS, FAMILY_SHINGLES, BIN_SHINGLES = 200, 1_000_000, 1_000_000
+FAMILY_DOCS, FAMILY_SHINGLES, BIN_SHINGLES = 200, 500_000, 500_000
 #: Hashes that are sketched at a time.
 SKETCHED = 1 << 20
 
@@ -322,26 +322,30 @@ def near_dedup(
     large = sized.filter((F.col("docs") > family_docs) | (F.col("shingles") > family_shingles)).select("family")
     n_large = large.count()
 
+    # The texts of all families, by one shuffle of the documents at any size; what is dealt later joins these.
+    texts = materialise(rows.join(members.select("cls").hint("merge"), rows["id"] == F.col("cls")).select("cls", "text"), "family-texts")
+
     def linked(dealt: DataFrame) -> DataFrame:
         """Links (u, v) of the classes dealt together; dealt: (cls, n, group, known), where ``known`` numbers what is linked already."""
         total = dealt.agg(F.sum("n")).first()[0] or 0
         bins = max(shuffle_partitions(spark), math.ceil(total / BIN_SHINGLES))
         placed = dealt.withColumn("bin", F.pmod(F.col("group"), F.lit(bins)).cast("int")).select("cls", "known", "bin").distinct()
-        texts = rows.join(placed, rows["id"] == placed["cls"]).select("bin", "cls", "known", "text")
-        return texts.groupBy("bin").applyInArrow(lambda key, table: _links(table, least), "u long, v long")
+        # As many tasks as bins: a bin is small but takes long, so none should share a task.
+        together = texts.join(placed, "cls").select("bin", "cls", "known", "text").repartition(bins, "bin")
+        return together.groupBy("bin").applyInArrow(lambda key, table: _links(table, least), "u long, v long")
 
     whole = members.join(large, "family", "left_anti") if n_large else members
-    links = linked(whole.select("cls", "n", F.xxhash64("family").alias("group"), F.col("cls").alias("known")))
+    dealt = whole.select("cls", "n", F.xxhash64("family").alias("group"), F.col("cls").alias("known"))
     if n_large:
         own = materialise(members.join(large, "family", "left_semi"), "large-families")
         pivots = edges.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("pivot")).join(own, "cls")
-        first = materialise(linked(_pivot_blocks(pivots, own, family_docs, family_shingles)), "pivot-links")
+        first = materialise(linked(dealt.unionAll(_pivot_blocks(pivots, own, family_docs, family_shingles))), "first-links")
         joined = connected_components(first)
-        known = own.join(joined, own["cls"] == joined["node"], "left").select("cls", "n", F.coalesce("component", "cls").alias("known"))
-        split = materialise(_open_buckets(classes.select("cls", "bands").join(known, "cls"), family_docs, family_shingles), "buckets")
-        found = connected_components(links.unionAll(first).unionAll(linked(split)))
+        known = own.join(joined, own["cls"] == joined["node"], "left").select("cls", "family", "n", F.coalesce("component", "cls").alias("known"))
+        again = materialise(_still_apart(classes.select("cls", "bands").join(known, "cls"), family_docs, family_shingles), "apart")
+        found = connected_components(first.unionAll(linked(again)))
     else:  # each family was whole in one bin: its links already lead to the smallest member
-        found = materialise(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "links")
+        found = materialise(linked(dealt).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "links")
     named = classes.join(found, classes["cls"] == found["node"], "left").select("d1", "d2", "n", F.coalesce("component", "cls").alias("component_id"))
     real_id = F.when(F.col("n") > 0, F.col("id"))
     out = base.drop("bands").join(named, ["d1", "d2", "n"], "left")
@@ -377,25 +381,38 @@ def _pivot_blocks(pivots: DataFrame, members: DataFrame, most_docs: int, most_sh
     return own.select("cls", "n", group).unionAll(tops).withColumn("known", F.col("cls"))
 
 
-def _open_buckets(members: DataFrame, most_docs: int, most_shingles: int) -> DataFrame:
-    """(cls, n, group, known): the buckets of large families (cls, bands, n, known) that still hold several components."""
-    own = members.select("cls", "n", "known", F.explode("bands").alias("key"))
-    parts = own.groupBy("key", "known").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    sized = parts.groupBy("key").agg(
-        F.count("*").alias("parts"), F.max_by("known", F.struct("docs", "known")).alias("main"),
-        F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"), F.max(F.struct("docs", "known", "shingles")).alias("most"),
-    ).filter("parts > 1")
-    rest_docs, rest_shingles = F.col("docs") - F.col("most.docs"), F.col("shingles") - F.col("most.shingles")
-    few = (2 * rest_docs <= most_docs) & (2 * rest_shingles <= most_shingles)
+def _still_apart(members: DataFrame, most_docs: int, most_shingles: int) -> DataFrame:
+    """(cls, n, group, known): members (cls, bands, family, n, known) of families that hold several components (``known``),
+    dealt so that all pairs of different components that share a band meet; each family in the way that takes fewer rows."""
+    half = lambda docs, shingles: _blocks(2 * docs, 2 * shingles, most_docs, most_shingles)
+    main = F.max(F.struct("docs", "known", "shingles")).alias("main")
+    parts = members.groupBy("family", "known").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    sized = parts.groupBy("family").agg(F.count("*").alias("parts"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"), main).filter("parts > 1")
+    others = F.col("docs") - F.col("main.docs")
+    sized = sized.select("family", "main", others.alias("others"), half(F.col("main.docs"), F.col("main.shingles")).alias("mains"), half(others, F.col("shingles") - F.col("main.shingles")).alias("rest"))
+    sized = sized.withColumn("by_family", F.col("main.docs") * F.col("rest") + F.col("others") * (F.col("mains") + F.col("rest")))
+    # Buckets that are still open; a bucket lies in one family.
+    spread = members.select("cls", "family", "n", "known", F.explode("bands").alias("key"))
+    cells = spread.groupBy("key", "known").agg(F.min("family").alias("family"), F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    buckets = cells.groupBy("key").agg(F.min("family").alias("family"), F.count("*").alias("parts"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles")).filter("parts > 1")
     one = (F.col("docs") <= most_docs) & (F.col("shingles") <= most_shingles)
-    blocks = F.when(one, F.lit(1)).otherwise(_blocks(2 * F.col("docs"), 2 * F.col("shingles"), most_docs, most_shingles))
-    placed = own.join(sized.select("key", "main", few.alias("few"), blocks.alias("blocks")), "key")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-    own_block = F.array("block")
-    # Few others: they go to every block, the main component's members to their own. Else every pair of blocks.
-    to = F.when(F.col("few") & (F.col("known") == F.col("main")), own_block).otherwise(all_blocks)
-    placed = placed.withColumn("other", F.explode(to))
-    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    group = F.when(F.col("few"), F.xxhash64("key", "other")).otherwise(pair)
-    return placed.select("cls", "n", group.alias("group"), "known")
+    buckets = buckets.withColumn("blocks", F.when(one, F.lit(1)).otherwise(half(F.col("docs"), F.col("shingles"))))
+    buckets = materialise(buckets.select("key", "family", "docs", "blocks"), "open-buckets")
+    costs = buckets.groupBy("family").agg(F.sum(F.col("docs") * F.col("blocks")).alias("by_bucket"))
+    chosen = materialise(sized.join(costs, "family").withColumn("whole", F.col("by_family") <= F.col("by_bucket")), "ways")
+    # A family's blocks: the main component's with every one of the others', and the others' with each other.
+    ways = chosen.filter("whole").select("family", F.col("main.known").alias("main"), "mains", "rest")
+    row = members.join(ways, "family").select("cls", "n", "known", "family", (F.col("known") == F.col("main")).alias("own"), "mains", "rest")
+    row = row.withColumn("block", F.pmod(F.xxhash64("cls"), F.when(F.col("own"), F.col("mains")).otherwise(F.col("rest"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    met = lambda a, b: F.xxhash64("family", F.lit(1), a, b)
+    with_others = F.transform(upto("rest"), lambda j: met(F.col("block"), j))
+    with_main = F.transform(upto("mains"), lambda i: met(i, F.col("block")))
+    each_other = F.transform(upto("rest"), lambda j: F.xxhash64("family", F.lit(2), F.least("block", j), F.greatest("block", j)))
+    groups = F.when(F.col("own"), with_others).otherwise(F.concat(with_main, each_other))
+    by_family = row.select("cls", "n", F.explode(groups).alias("group"), "known")
+    # Or the open buckets, large ones by pairs of blocks.
+    open_ = buckets.join(chosen.filter("NOT whole").select("family"), "family", "left_semi").select("key", "blocks")
+    placed = spread.select("cls", "n", "known", "key").join(open_, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return by_family.unionAll(placed.select("cls", "n", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "known"))
