@@ -45,7 +45,7 @@ MOST_MISSED = 1e-5
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
 STEPS = np.array([t for t in range(1, REGISTERS) if math.gcd(t, REGISTERS) == 1], np.int64)
 #: A family up to this size goes to one task as a whole, as does a block of a larger one; bins take about BIN_SHINGLES.
-FAMILY_DOCS, FAMILY_SHINGLES, BIN_SHINGLES = 200, 500_000, 500_000
+FAMILY_DOCS, FAMILY_SHINGLES, BIN_SHINGLES = 4_000, 500_000, 500_000
 #: Hashes that are sketched at a time.
 SKETCHED = 1 << 20
 
