@@ -109,6 +109,13 @@ def test_components(spark):
     got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: v for k, v in comp.items() if k != v}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    # Nodes with more than two links count as hubs; a chain of stars whose centres are neither first nor last.
+    stars = [(50 * i + 20, 50 * i + j) for i in range(6) for j in range(40)] + [(50 * i + 39, 50 * i + 50) for i in range(5)]
+    for own, most in ((edges, 2), (stars, 2), (stars, 30)):
+        again = connected_components(spark.createDataFrame(own, "u long, v long"), most_links=most)
+        want = got if own is edges else {n: 0 for e in stars for n in e if n}
+        rows = again.collect()
+        assert len(rows) == len(want) and {x["node"]: x["component"] for x in rows} == want
 
 
 def graded_texts(seed=6):
