@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10 and the DuckDB SQL of those that SQL can express.
+"""The registered queries op1 to op13 and the DuckDB SQL of those that SQL can express.
 
 Each query hands whole tables to its operator and derives the result's digests from what the operator returns."""
 
@@ -15,9 +15,12 @@ from .exact_dedup import exact_dedup
 from .language import identify_languages, learn_languages
 from .line_dedup import dedup_lines
 from .near_dedup import near_dedup
+from .packing import pack
+from .prefix_trie import conversations, prefix_trie, rebuilt
 from .quality import fit_quality, score_quality
 from .secret_scan import BASE_RULES, secret_scan
 from .shared import crc_text
+from .spelling import spelling_forms
 from .substring_dedup import dedup_substrings
 from .url_filter import filter_urls
 
@@ -188,6 +191,82 @@ FROM d JOIN r ON r.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.d
 """
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = conversations(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    return prefix_trie(rebuilt(convs, conv - conv % 5, (crc_text(conv) % 9).cast("int"), 8))
+
+
+def crc_sql(codes: str) -> str:
+    """DuckDB SQL for the CRC-32 of a list of byte values (DuckDB has no function for it)."""
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: {step})"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH t AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT conv_id, ts, conv_id - conv_id % 5 AS base,
+         {crc_sql("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda z: CAST(ord(z) AS BIGINT))")} % 9 AS h
+  FROM t),
+r AS (SELECT h.conv_id, list_concat(CASE WHEN h > 0 THEN coalesce(b.ts[1:h], []) ELSE [] END, h.ts[h + 1:]) AS ts FROM h LEFT JOIN t b ON b.conv_id = h.base),
+p AS (SELECT conv_id, d, ts[1:d] AS pre, len(ts) AS size FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM r) z),
+n AS (
+  SELECT pre, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d) AS ends
+  FROM p GROUP BY pre),
+u AS (SELECT c.conv_id, c.depth, b.conv_id AS up FROM n c JOIN n b ON b.depth = c.depth - 1 AND b.pre = c.pre[1:c.depth - 1]),
+k AS (SELECT up AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM u GROUP BY ALL),
+w AS (
+  SELECT n.*, u.up AS parent_conv_id, coalesce(n_children, 0) AS n_children,
+         CASE WHEN n.depth > 0 THEN (n_convs - 1) * strlen(n.pre[n.depth].t) ELSE 0 END AS saved
+  FROM n LEFT JOIN u ON u.conv_id = n.conv_id AND u.depth = n.depth LEFT JOIN k ON k.conv_id = n.conv_id AND k.depth = n.depth),
+s AS (
+  SELECT p.pre, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved
+  FROM w JOIN p ON p.conv_id = w.conv_id AND p.d <= w.depth GROUP BY p.pre)
+SELECT w.conv_id, w.depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM w JOIN s ON s.pre = w.pre
+"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents"))
+
+
+BYTES_OF_RUN = """
+flatten(list_transform(string_split(doc_id || ':' || run, ''),
+  lambda z: CASE WHEN ord(z) < 128 THEN [CAST(ord(z) AS BIGINT)] ELSE [195::BIGINT, CAST(ord(z) AS BIGINT) - 64] END))"""
+OP12_SQL = rf"""
+WITH RECURSIVE o AS (
+  SELECT doc_id, run, count(*) AS k
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all({LOWERED}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) z
+  WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, k, {crc_sql(BYTES_OF_RUN)} AS h FROM o),
+w AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, k FROM h) z
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+c AS (SELECT word, substring(word, 1, i) AS a, substring(word, i + 2) AS b FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w) z),
+d AS (SELECT DISTINCT c.word, w.word AS other FROM c JOIN w ON w.word = a || b),
+near AS (
+  SELECT DISTINCT x.word, y.word AS other FROM c x JOIN c y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT word, other FROM d UNION SELECT other, word FROM d),
+best AS (SELECT near.word, count(*) AS n_near, first(o.word ORDER BY o.n DESC, o.word) AS other, max(o.n) AS m FROM near JOIN w o ON o.word = near.other GROUP BY near.word),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+  FROM w LEFT JOIN best ON best.word = w.word),
+r AS (SELECT word, word AS root, form FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.form)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.form IS NULL
+"""
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -200,8 +279,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_language": op9_language,
         "op10_near_dedup": op10_near_dedup,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_spelling": op12_spelling,
+        "op13_packing": op13_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_near_dedup": OP10_SQL}
+    return {
+        "op3_url_filter": OP3_SQL,
+        "op6_decontaminate": OP6_SQL,
+        "op7_exact_dedup": OP7_SQL,
+        "op8_line_dedup": OP8_SQL,
+        "op10_near_dedup": OP10_SQL,
+        "op11_conversation_trie": OP11_SQL,
+        "op12_spelling": OP12_SQL,
+    }
