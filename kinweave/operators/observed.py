@@ -69,10 +69,15 @@ def filter_depth(counts: DataFrame, samples: DataFrame) -> DataFrame:
 # Aggregates
 
 
+def site_counts_by(obs: DataFrame, *keys: str) -> DataFrame:
+    """Reads, mean quality, and reads of each base of every group of reads: (keys, n, q, c0..c5)."""
+    counted = (F.count_if(F.col("base") == b).alias(c) for b, c in zip(BASES, COUNTS, strict=True))
+    return obs.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("phred").alias("q"), *counted)
+
+
 def site_counts(obs: DataFrame) -> DataFrame:
     """(chrom, pos, sample, n, q, c0..c5): reads, mean quality, and reads of each base, per site and sample."""
-    counted = (F.count_if(F.col("base") == b).alias(c) for b, c in zip(BASES, COUNTS, strict=True))
-    return obs.groupBy(*SITE, "sample").agg(F.count("*").alias("n"), F.avg("phred").alias("q"), *counted)
+    return site_counts_by(obs, *SITE, "sample")
 
 
 def _mismatch(a: str, b: str) -> tuple[Column, Column]:

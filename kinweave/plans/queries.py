@@ -15,6 +15,7 @@ from ..operators import blocks as blk
 from ..operators import observed as ob
 from ..operators import panel as pn
 from ..operators import pedigree as pg
+from ..operators import products as pr
 from ..operators import recombination as rc
 from ..sources import readers as rd
 from ..sources import sinks, store
@@ -559,6 +560,18 @@ def a6(spark, sf):
     return rounded(ob.pair_summary(sites(spark, sf)))
 
 
+@query("a6_pair_products", SUMMED)
+def a6_products(spark, sf):
+    return rounded(pr.product_summary(pr.pair_products(reads(spark, sf), people(spark))))
+
+
+@query("a9_block_products", "SELECT pair, chrom, start, end_, sites, round(pwd, 6) AS pwd FROM $BLOCKS b")
+def a9_products(spark, sf):
+    genome = ad.adapter(spark, sf, "GENOME")
+    products = pr.pair_products(reads(spark, sf), people(spark), genome, BLOCK)
+    return rounded(pr.product_blocks(products, genome, BLOCK)).withColumnRenamed("end", "end_")
+
+
 @query("a9_block_summary", "SELECT pair, chrom, start, end_, sites, round(pwd, 6) AS pwd FROM $BLOCKS b")
 def a9(spark, sf):
     return rounded(blk.block_summary(sites(spark, sf), ad.adapter(spark, sf, "GENOME"), BLOCK)).withColumnRenamed("end", "end_")
