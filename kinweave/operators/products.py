@@ -6,9 +6,8 @@ pair at once. Products of the presence flags count common sites, those of the ve
 (f.g)^2, those of presence and quality the sums of qualities. So the counts, sums and squares that a summary needs come
 from four products a chunk, and a task hands on one row a pair (and block) instead of one a pair and site.
 
-Reads are shuffled once, by stretches of the genome that lie within one block: counts by site and sample and the
-products both find their rows in that partitioning. A site's samples meet in one chunk; a task holds a chunk's matrices
-and four numbers a pair."""
+Reads are shuffled once, by stretches of the genome that lie within one block, and counted where they arrive. A site's
+samples meet in one chunk; a task holds a chunk's matrices and four numbers a pair."""
 
 from __future__ import annotations
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import block_start, pair_label
 from .blocks import SIZE, block_grid
-from .observed import COUNTS, site_counts_by
+from .observed import BASES
 
 #: Bases of a stretch; cells (samples x sites) of a chunk's matrices.
 STRETCH, CHUNK_CELLS = 100_000, 1 << 16
@@ -83,9 +82,10 @@ def pair_products(obs: DataFrame, samples: DataFrame, genome: DataFrame | None =
         placed = placed.withColumn("start", F.lit(0).cast("long"))
     else:
         placed = placed.join(F.broadcast(genome.select("chrom", "length")), "chrom").withColumn("start", block_start(F.col("pos"), F.col("length"), size))
-    # One exchange: the counts' and the products' rows both lie together by (chrom, start, stretch).
-    keys = ("chrom", "start", "stretch")
-    counts = site_counts_by(placed.repartition(*keys), *keys, "pos", "sample").sortWithinPartitions(*keys, "pos")
+    keys = ["chrom", "start", "stretch"] if by_block else ["chrom", "stretch"]
+    code = F.instr(F.lit("".join(BASES)), F.col("base")) - 1
+    ordered = placed.repartition(*keys).sortWithinPartitions(*keys, "pos")
+    ordered = ordered.select("chrom", "start", "pos", "sample", code.alias("code"), "phred")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["s0", "s1", "chrom", "start", *SUMS]
@@ -100,17 +100,23 @@ def pair_products(obs: DataFrame, samples: DataFrame, genome: DataFrame | None =
             totals.clear()
 
         def take(rows: list[np.ndarray]) -> None:
-            chrom, start, pos, sample, n, q = rows[:6]
-            at = np.minimum(np.searchsorted(known, sample), len(known) - 1)
-            kept = (known[at] == sample) & (n >= depth[at])
-            block = np.flatnonzero(np.diff(chrom, prepend=-1) | np.diff(start, prepend=-1))
+            m, width = len(known), len(BASES) + 1
+            at = np.minimum(np.searchsorted(known, rows[3]), m - 1)
+            kept = known[at] == rows[3]
+            at, (chrom, start, pos, _, code, phred) = at[kept], (c[kept] for c in rows)
+            if not len(chrom):
+                return
+            block = np.flatnonzero((np.diff(chrom, prepend=-1) != 0) | (np.diff(start, prepend=-1) != 0))
             for a, b in zip(block, [*block[1:], len(chrom)], strict=True):
-                own = kept[a:b]
-                if own.any():
-                    key = (int(chrom[a]) if by_block else 0, int(start[a]))
-                    sums = totals.setdefault(key, PairSums(len(known), self_comparison))
-                    site = np.cumsum(np.diff(pos[a:b][own], prepend=-1) != 0) - 1
-                    sums.add(site, at[a:b][own], n[a:b][own], q[a:b][own], np.stack([c[a:b][own] for c in rows[6:]], 1).astype(float))
+                site = np.cumsum(np.diff(pos[a:b], prepend=-1) != 0) - 1
+                cell, of = np.unique(site * m + at[a:b], return_inverse=True)
+                n = np.bincount(of)
+                quality = np.bincount(of, phred[a:b]) / n
+                counts = np.bincount(of * width + np.where(code[a:b] < 0, width - 1, code[a:b]), minlength=len(n) * width).reshape(-1, width)[:, :-1]
+                deep = n >= depth[cell % m]
+                if deep.any():
+                    sums = totals.setdefault((int(chrom[a]) if by_block else 0, int(start[a])), PairSums(m, self_comparison))
+                    sums.add((cell // m)[deep], (cell % m)[deep], n[deep], quality[deep], counts[deep].astype(float))
 
         for batch in batches:
             rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -130,7 +136,6 @@ def pair_products(obs: DataFrame, samples: DataFrame, genome: DataFrame | None =
         yield from flush()
 
     schema = "s0 long, s1 long, chrom long, start long, overlap long, sum_pwd double, sum_squares double, sum_phred double"
-    ordered = counts.select("chrom", "start", "pos", "sample", F.col("n").cast("long"), "q", *COUNTS)
     by = ["s0", "s1"] + ["chrom", "start"] * by_block
     merged = ordered.mapInArrow(multiply, schema).groupBy(*by).agg(*(F.sum(c).alias(c) for c in SUMS))
     name = lambda side: F.broadcast(samples.select(F.col("sample").alias(f"s{side}"), F.col("name").alias(f"name{side}")))

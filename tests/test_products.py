@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import blocks, observed, products
 
+
+@pytest.fixture(autouse=True)
+def whole_shuffles(spark):
+    """Without coalescing, so that samples of a site in different partitions would show."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
 OBS = "chrom int, pos long, sample int, base string, phred int, read_ix int"
 
 
@@ -17,7 +25,7 @@ def made(spark, samples, sites, seed, most=3):
         chrom, pos = 1 + s % 3, 1 + (s * 7919) % 250_000
         for sample in range(samples):
             if r.random() < 0.4:
-                rows += [(chrom, pos, sample, r.choice("ACGTN*"), r.randrange(20, 41), i) for i in range(r.randrange(1, most + 1))]
+                rows += [(chrom, pos, sample, r.choice("ACGTN*R"), r.randrange(20, 41), i) for i in range(r.randrange(1, most + 1))]
     people = spark.createDataFrame([(i, f"S{i}", 1 + i % 2) for i in range(samples)], "sample int, name string, min_depth int")
     return spark.createDataFrame(rows, OBS).dropDuplicates(["chrom", "pos", "sample", "read_ix"]).repartition(5), people
 
