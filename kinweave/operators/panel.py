@@ -64,7 +64,8 @@ def subset_panel(panel: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def attach_genotypes(sites: DataFrame, store: DataFrame) -> DataFrame:
-    """sites with the store's row at their coordinate. The store meets the distinct sites of all pairs once."""
+    """sites with the store's row at their coordinate, whole, for each row of sites; see ``haplotypes.attach_nested`` for
+    pairs, whose sites then meet the store once."""
     return sites.join(store, SITE)
 
 

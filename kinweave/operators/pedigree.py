@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import phred_prob, u01
+from .haplotypes import allele as haplotype_allele
 
 SITE = ("chrom", "pos")
 KEYS = ("pair", "rep")
@@ -112,16 +113,6 @@ def draw_contaminants(pairs: DataFrame, members: DataFrame, count: int, seed: in
     return spread.join(F.broadcast(pool), F.lit(True)).select("pair", "side", F.element_at("pool", at + 1).alias("sample"))
 
 
-def contaminant_af(sites: DataFrame, haps: DataFrame, contaminants: DataFrame, index: DataFrame) -> DataFrame:
-    """(pair, chrom, pos, caf0, caf1): share of alternate alleles among each side's contaminants."""
-    own = contaminants.join(F.broadcast(index), "sample").groupBy("pair", "side").agg(F.collect_list("idx").alias("ids"))
-    sides = own.groupBy("pair").agg(*(F.max(F.when(F.col("side") == k, F.col("ids"))).alias(f"ids{k}") for k in (0, 1)))
-    at = sites.select("pair", *SITE).join(haps, list(SITE)).join(sides, "pair")
-    allele = lambda i, k: F.get("haps", 2 * i + k).cast("int")
-    total = lambda ids: F.aggregate(ids, F.lit(0), lambda n, i: n + allele(i, 0) + allele(i, 1))
-    return at.select("pair", *SITE, *((total(f"ids{k}") / (2 * F.size(f"ids{k}"))).alias(f"caf{k}") for k in (0, 1)))
-
-
 def draw_strands(replicates: DataFrame, tree: Tree, seed: int) -> DataFrame:
     """replicates with ``strands``: for each offspring and parent the strand that it starts on."""
     one = lambda iid, k: (u01(seed, "strand", *(F.col(c) for c in KEYS), F.lit(iid), F.lit(k)) < 0.5).cast("int")
@@ -158,8 +149,8 @@ def downsample_sites(df: DataFrame, rate: float, seed: int) -> DataFrame:
 
 
 def founder_alleles(sites: DataFrame, haps: DataFrame, replicates: DataFrame, tree: Tree, seed: int, fixation: float = 0.0) -> DataFrame:
-    """A row for each (pair, rep, site) with the founders' alleles as columns g<person>_<strand>. The haplotype array of
-    a site is read where it is joined and dropped before anything is shuffled again. With probability ``fixation`` a
+    """A row for each (pair, rep, site) with the founders' alleles as columns g<person>_<strand>. haps: (chrom, pos, bits).
+    The bitmap of a site is read where it is joined and dropped before anything is shuffled again. With probability ``fixation`` a
     row's founders all carry the reference."""
     # A pair's replicates are one array, so that a site meets them once and rows multiply where they are used.
     names = [c for c in replicates.columns if c != "pair"]
@@ -170,9 +161,9 @@ def founder_alleles(sites: DataFrame, haps: DataFrame, replicates: DataFrame, tr
     columns = []
     for k, (iid, *_) in enumerate(tree.founders):
         for s in (0, 1):
-            allele = F.get("haps", 2 * F.get("founders", F.lit(k)) + s).cast("int")
+            allele = haplotype_allele(F.col("bits"), 2 * F.get("founders", F.lit(k)) + s)
             columns.append(F.when(fixed, 0).otherwise(allele).alias(tree.name(iid, s)))
-    rest = [c for c in rows.columns if c not in ("haps", "founders")]
+    rest = [c for c in rows.columns if c not in ("bits", "founders")]
     return rows.select(*rest, *columns)
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.readers import GRCH37
 
@@ -80,3 +81,13 @@ def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = _dialect(TABLES[name], True)
     own = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in SOURCES if re.search(rf"\b{s}\b", sql)}
     return spark.sql(re.sub(rf"\b({'|'.join(SOURCES)})\b", r"{\1}", sql), **own)
+
+
+def calls(spark: SparkSession, sf_dir: str, between: str, after: str) -> DataFrame:
+    """(chrom, pos, calls): the rows of GENOTYPES as one text a site, in the order of INDEX: two alleles with ``between``,
+    calls with ``after`` between them. The panel is one array of keys, so a site's calls are a projection of its row."""
+    members = adapter(spark, sf_dir, "MEMBERS").selectExpr("transform(array_sort(collect_list(struct(sample, s_suppkey))), m -> m.s_suppkey) AS members")
+    call = f"concat({carried(0)}, '{between}', {carried(389)})"
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size % 10 > 2")
+    joined = part.join(F.broadcast(members), F.lit(True))
+    return joined.selectExpr(*(f"{c}" for c in site("p_partkey").split(", ")), f"array_join(transform(members, s_suppkey -> {call}), '{after}') AS calls")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as sc
 from ..operators import assign as asg
 from ..operators import blocks as blk
+from ..operators import haplotypes as hp
 from ..operators import observed as ob
 from ..operators import panel as pn
 from ..operators import pedigree as pg
@@ -160,9 +161,9 @@ def s8(spark, sf):
 
 def vcf_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """The sites and genotypes as VCF text, read back."""
-    site_rows, genotypes, index = adapters(spark, sf, "SITES", "GENOTYPES", "INDEX")
+    site_rows, index = adapters(spark, sf, "SITES", "INDEX")
     header = [r["sample"] for r in index.orderBy("idx").collect()]
-    calls = genotypes.groupBy("chrom", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", F.concat_ws("|", "a0", "a1").alias("gt")))), lambda c: c["gt"]), "\t").alias("calls"))
+    calls = ad.calls(spark, sf, "|", "\t")
     blank = "\t".join(["0|0"] * len(header))
     info = F.concat(F.lit("VT="), "vt", F.when(F.col("multi"), ";MULTI_ALLELIC").otherwise(""), F.lit(";AA=x"), F.format_string(";EUR_AF=0.%04d;AFR_AF=0.%04d", F.col("p_partkey") % 10000, F.col("p_size") * 97 % 10000))
     rows = site_rows.join(calls, ["chrom", "pos"], "left")
@@ -189,11 +190,18 @@ def s12(spark, sf):
 STORED = "SELECT chrom, pos, sample, a0, a1 FROM $GENOTYPES g WHERE EXISTS (SELECT 1 FROM $SITES s WHERE s.chrom = g.chrom AND s.pos = g.pos AND vt = 'SNP' AND NOT multi)"
 
 
+#: Stores that this session has built, by application, folder and options.
+BUILT: dict[tuple, str] = {}
+
+
 def built(spark, sf, **more):
-    vcf, header = vcf_rows(spark, sf)
-    path = scratch(spark, "store")
-    store.build_panel_store(vcf, header, ad.adapter(spark, sf, "PANEL"), path, **more)
-    return path
+    key = (spark.sparkContext.applicationId, sf, repr(sorted(more.items())))
+    if key not in BUILT:
+        vcf, header = vcf_rows(spark, sf)
+        path = scratch(spark, "store")
+        store.build_panel_store(vcf, header, ad.adapter(spark, sf, "PANEL"), path, **more)
+        BUILT[key] = path
+    return BUILT[key]
 
 
 @query("s13_store_genotypes", STORED)
@@ -209,7 +217,7 @@ def s14(spark, sf):
 
 @query("s16_store_haps", f"SELECT chrom, pos, CAST(sum(a0 + a1) AS BIGINT) AS alts, count(*) * 2 AS haps, CAST(sum(a1 * (idx + 1)) AS BIGINT) AS mark FROM ({STORED}) g JOIN $INDEX i ON g.sample = i.sample GROUP BY chrom, pos")
 def s16(spark, sf):
-    rows = store.read_panel_store(spark, built(spark, sf))
+    rows = store.read_panel_store(spark, built(spark, sf), "site_haps")
     total = lambda f: F.aggregate(F.transform("haps", f), F.lit(0).cast("long"), lambda t, v: t + v)
     return rows.select("chrom", "pos", total(lambda h: h.cast("long")).alias("alts"), F.size("haps").cast("long").alias("haps"), total(lambda h, i: F.when(i % 2 == 1, h * (i + 1) / 2).otherwise(0).cast("long")).alias("mark"))
 
@@ -482,8 +490,8 @@ def f9(spark, sf):
 
 
 def freqs(spark, sf):
-    genotypes, panel = adapters(spark, sf, "GENOTYPES", "PANEL")
-    return pn.compute_afs(genotypes, panel).withColumn("af", F.round(F.col("af").cast("double"), 4))
+    index, panel = adapters(spark, sf, "INDEX", "PANEL")
+    return hp.bit_frequencies(bitmaps(spark, sf), hp.masks(panel, index)).withColumn("af", F.round(F.col("af").cast("double"), 4))
 
 
 def corrected(spark, sf):
@@ -608,23 +616,22 @@ def a13(spark, sf):
 
 @query("j4_attach_genotypes", "SELECT p.pair, p.chrom, p.pos, CAST(sum(a0 + a1) AS BIGINT) AS alts FROM $PAIRS p JOIN $GENO g ON g.chrom = p.chrom AND g.pos = p.pos GROUP BY p.pair, p.chrom, p.pos")
 def j4(spark, sf):
-    joined = pn.attach_genotypes(sites(spark, sf).select("pair", "chrom", "pos"), haps(spark, sf))
-    return joined.select("pair", "chrom", "pos", F.aggregate("haps", F.lit(0).cast("long"), lambda t, h: t + h).alias("alts"))
+    return hp.attach_nested(sites(spark, sf).select("pair", "chrom", "pos"), bitmaps(spark, sf), alts=hp.alternates(F.col("bits")))
 
 
-def haps(spark, sf):
-    genotypes, index = adapters(spark, sf, "GENOTYPES", "INDEX")
-    return pn.site_haps(genotypes, index)
+def bitmaps(spark, sf):
+    return ad.calls(spark, sf, "", "").select("chrom", "pos", hp.pack_digits(F.col("calls")).alias("bits"))
 
 
 @query("j5_attach_freq", "SELECT p.pair, p.chrom, p.pos, f.af FROM $PAIRS p JOIN $GFREQ f ON f.chrom = p.chrom AND f.pos = p.pos")
 def j5(spark, sf):
-    return pn.attach_freq(sites(spark, sf).select("pair", "chrom", "pos"), freqs(spark, sf), GROUP)
+    own = freqs(spark, sf).filter(F.col("grp") == GROUP)
+    return hp.attach_nested(sites(spark, sf).select("pair", "chrom", "pos"), own, af=F.col("af"))
 
 
 @query("j6_missing_sites", "SELECT pair, count(*) AS missing FROM $PAIRS p WHERE NOT EXISTS (SELECT 1 FROM $GENO g WHERE g.chrom = p.chrom AND g.pos = p.pos) GROUP BY pair")
 def j6(spark, sf):
-    return pn.missing_sites(sites(spark, sf), ad.adapter(spark, sf, "GENOTYPES").select("chrom", "pos").distinct())
+    return pn.missing_sites(sites(spark, sf), bitmaps(spark, sf))
 
 
 @query("j10_panel_members", f"SELECT DISTINCT sample, sex FROM $PANEL p WHERE grp = '{GROUP}'")
@@ -725,10 +732,10 @@ def plan(spark: SparkSession, sf: str, pairs: DataFrame, reps: int = REPS) -> Da
 def sims(spark: SparkSession, sf: str) -> DataFrame:
     found = stored(sites(spark, sf), "pair-sites")
     pairs = found.select("pair").distinct()
-    panel, index, genetic_map = stored(haps(spark, sf), "haps"), ad.adapter(spark, sf, "INDEX"), ad.adapter(spark, sf, "MAP")
+    panel, index, genetic_map = stored(bitmaps(spark, sf), "bitmaps"), ad.adapter(spark, sf, "INDEX"), ad.adapter(spark, sf, "MAP")
     contaminants = pg.draw_contaminants(pairs, index, 2, ad.SEED)
     kept = pn.correct_pair_sites(rc.recombination(found.select("pair", "chrom", "pos", "q0", "q1"), genetic_map), pn.failed_maf(freqs(spark, sf), GROUP, MAF))
-    kept = kept.join(pg.contaminant_af(found, panel, contaminants, index), ["pair", "chrom", "pos"]).drop("prev")
+    kept = kept.join(hp.nested_contaminants(found, panel, contaminants, index), ["pair", "chrom", "pos"]).drop("prev")
     counted = pg.simulate(kept, panel, plan(spark, sf, pairs, FEW), TREE, ad.SEED, drop_rate=0.1)
     return pg.add_missing(counted, pn.missing_sites(found, panel))
 
@@ -771,7 +778,7 @@ def s22(spark, sf):
 @query("a14_contaminant_af", "WITH " + CAF[2:] + " SELECT p.pair, p.chrom, p.pos, round(caf0, 6) AS caf0, round(caf1, 6) AS caf1 FROM $PAIRS p JOIN caf ON caf.pair = p.pair AND caf.chrom = p.chrom AND caf.pos = p.pos")
 def a14(spark, sf):
     found, index = sites(spark, sf), ad.adapter(spark, sf, "INDEX")
-    return rounded(pg.contaminant_af(found, haps(spark, sf), pg.draw_contaminants(found.select("pair").distinct(), index, 2, ad.SEED), index))
+    return rounded(hp.nested_contaminants(found, bitmaps(spark, sf), pg.draw_contaminants(found.select("pair").distinct(), index, 2, ad.SEED), index))
 
 
 # Assignment
