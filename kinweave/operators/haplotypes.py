@@ -24,12 +24,11 @@ def pack_digits(digits: Column) -> Column:
     return F.when(words > 0, F.transform(F.sequence(F.lit(0), words - 1), word)).otherwise(none)
 
 
-def call_digits(calls: Column) -> Column:
+def call_digits(calls: Column, joined: Column) -> Column:
     """The alleles of calls (``a|b``, or ``a`` for both strands, further fields behind a colon) as digits; fails at any
-    other call. Only sites whose calls aren't all of three characters look at them one by one."""
+    other call. ``joined`` is all calls in one text: only sites whose calls aren't all ``a|b`` look at them one by one."""
     each = F.transform(calls, lambda c: decode_gt(F.substring_index(c, ":", 1)))
     slow = F.array_join(F.transform(each, lambda g: F.concat(g["a0"].cast("string"), g["a1"].cast("string"))), "")
-    joined = F.array_join(calls, "")
     return F.when(joined.rlike(r"^(?:[01]\|[01])*$"), F.replace(joined, F.lit("|"), F.lit(""))).otherwise(slow)
 
 
@@ -38,8 +37,11 @@ def site_bitmaps(vcf: DataFrame, order: DataFrame) -> DataFrame:
     the calls; a few thousand rows, which become one array."""
     one = order.agg(F.array_sort(F.collect_list(F.struct("idx", "at"))).alias("__order"))
     placed = vcf.join(F.broadcast(one), F.lit(True))
-    calls = F.transform("__order", lambda o: F.element_at("calls", o["at"] + 1))
-    return placed.select(*SITE, pack_digits(call_digits(calls)).alias("bits"))
+    # A column for each step: an expression within a lambda function would be worked out for every word.
+    ordered = placed.select(*SITE, F.transform("__order", lambda o: F.element_at("calls", o["at"] + 1)).alias("__calls"))
+    joined = ordered.select(*SITE, "__calls", F.array_join("__calls", "").alias("__joined"))
+    digits = joined.select(*SITE, call_digits(F.col("__calls"), F.col("__joined")).alias("__digits"))
+    return digits.select(*SITE, pack_digits(F.col("__digits")).alias("bits"))
 
 
 def allele(bits: Column, haplotype: Column) -> Column:

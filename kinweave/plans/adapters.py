@@ -83,11 +83,21 @@ def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(re.sub(rf"\b({'|'.join(SOURCES)})\b", r"{\1}", sql), **own)
 
 
-def calls(spark: SparkSession, sf_dir: str, between: str, after: str) -> DataFrame:
-    """(chrom, pos, calls): the rows of GENOTYPES as one text a site, in the order of INDEX: two alleles with ``between``,
-    calls with ``after`` between them. The panel is one array of keys, so a site's calls are a projection of its row."""
-    members = adapter(spark, sf_dir, "MEMBERS").selectExpr("transform(array_sort(collect_list(struct(sample, s_suppkey))), m -> m.s_suppkey) AS members")
-    call = f"concat({carried(0)}, '{between}', {carried(389)})"
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size % 10 > 2")
-    joined = part.join(F.broadcast(members), F.lit(True))
-    return joined.selectExpr(*(f"{c}" for c in site("p_partkey").split(", ")), f"array_join(transform(members, s_suppkey -> {call}), '{after}') AS calls")
+def bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chrom, pos, bits): the rows of GENOTYPES as one bitmap a site, in the order of INDEX. A site's calls are rows only
+    between two operators of one task: they are or'ed into words where they are made."""
+    part, members, index = (spark.read.parquet(f"{sf_dir}/part.parquet"), adapter(spark, sf_dir, "MEMBERS"), adapter(spark, sf_dir, "INDEX"))
+    keys = members.select("sample", "s_suppkey").join(index, "sample").select("s_suppkey", "idx")
+    sites = part.filter("p_size % 10 > 2").select("p_partkey").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    call = F.expr(f"shiftleft(CAST({carried(0)} * 2 + {carried(389)} AS BIGINT), 62 - 2 * (idx % 32))")
+    words = sites.crossJoin(F.broadcast(keys)).groupBy("p_partkey", F.expr("idx div 32").alias("word")).agg(F.bit_or(call).alias("w"))
+    whole = words.groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("word", "w"))).alias("ws"))
+    return whole.selectExpr(*site("p_partkey").split(", "), "transform(ws, x -> x.w) AS bits")
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chrom, pos, calls): the same as text of a VCF's sample columns."""
+    n = adapter(spark, sf_dir, "INDEX").agg(F.count("*").cast("int").alias("n"))
+    digits = "array_join(transform(bits, w -> lpad(bin(w), 64, '0')), '')"
+    text = f"regexp_replace(substr({digits}, 1, 2 * n), '(.)(.)', '$1|$2\t')"
+    return bitmaps(spark, sf_dir).crossJoin(F.broadcast(n)).selectExpr("chrom", "pos", f"substr({text}, 1, 4 * n - 1) AS calls")

@@ -163,7 +163,7 @@ def vcf_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """The sites and genotypes as VCF text, read back."""
     site_rows, index = adapters(spark, sf, "SITES", "INDEX")
     header = [r["sample"] for r in index.orderBy("idx").collect()]
-    calls = ad.calls(spark, sf, "|", "\t")
+    calls = ad.calls(spark, sf)
     blank = "\t".join(["0|0"] * len(header))
     info = F.concat(F.lit("VT="), "vt", F.when(F.col("multi"), ";MULTI_ALLELIC").otherwise(""), F.lit(";AA=x"), F.format_string(";EUR_AF=0.%04d;AFR_AF=0.%04d", F.col("p_partkey") % 10000, F.col("p_size") * 97 % 10000))
     rows = site_rows.join(calls, ["chrom", "pos"], "left")
@@ -620,7 +620,7 @@ def j4(spark, sf):
 
 
 def bitmaps(spark, sf):
-    return ad.calls(spark, sf, "", "").select("chrom", "pos", hp.pack_digits(F.col("calls")).alias("bits"))
+    return ad.bitmaps(spark, sf)
 
 
 @query("j5_attach_freq", "SELECT p.pair, p.chrom, p.pos, f.af FROM $PAIRS p JOIN $GFREQ f ON f.chrom = p.chrom AND f.pos = p.pos")
