@@ -22,10 +22,11 @@ from .secret_scan import BASE_RULES, secret_scan
 from .shared import crc_text
 from .spelling import spelling_forms
 from .substring_dedup import dedup_substrings
-from .url_filter import filter_urls
+from .url_filter import filter_urls, host_of, path_of
 
-#: Names of junk sites, each blocked with its subdomains under every one of the roots. These domains are
-#: the block list of op3.
+#: Names of junk sites, each blocked with its subdomains under every one of the roots. These domains, and
+#: the locations (host and path) of pages with less html than this, are the block list of op3.
+THIN_HTML = 1_500
 JUNK_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 ROOTS = ("example.com", "example.net", "example.org")
 LISTED = tuple(f"{name}.{root}" for name in JUNK_NAMES for root in ROOTS)
@@ -59,13 +60,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key): domains and locations that op3 blocks."""
+    thin = table(spark, sf_dir, "pages").filter(F.length("html") < THIN_HTML)
+    return spark.createDataFrame([(d,) for d in LISTED], "key string").unionAll(thin.select(F.concat(host_of(F.col("url")), path_of(F.col("url")))))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(d,) for d in LISTED], "key string")
-    found = filter_urls(table(spark, sf_dir, "pages"), listed)
+    found = filter_urls(table(spark, sf_dir, "pages"), blocked(spark, sf_dir))
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
-OP3_SQL = r"""
+OP3_SQL = rf"""
 WITH n AS (SELECT unnest(['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS name),
 listed AS (SELECT name || '.example.' || root AS domain FROM n CROSS JOIN (SELECT unnest(['com', 'net', 'org']) AS root) z),
 s AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
@@ -79,7 +85,8 @@ f AS (
   SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
   FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
 SELECT u.page_id, host, path, f.rule AS rule,
-       coalesce(f.verdict, CASE WHEN EXISTS (SELECT 1 FROM listed l WHERE u.host = l.domain OR ends_with(u.host, '.' || l.domain)) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(f.verdict, CASE WHEN EXISTS (SELECT 1 FROM listed l WHERE u.host = l.domain OR ends_with(u.host, '.' || l.domain))
+         OR host || path IN (SELECT host || path FROM u JOIN pages p ON p.page_id = u.page_id WHERE length(html) < {THIN_HTML}) THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN f ON u.page_id = f.page_id
 """
 
@@ -128,7 +135,7 @@ h AS (
         FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM p) l WHERE len(w) >= n) z) x
   JOIN p ON p.n = x.n AND p.key = x.key),
 c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) z GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM h) z GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM h WHERE item IS NOT NULL) z GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id

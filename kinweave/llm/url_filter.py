@@ -3,11 +3,11 @@
 The cascade answers "is this key listed?" without a join and without error for every key of a known universe (all keys
 of the corpus): level 0 is a Bloom filter of the listed keys; level 1 one of the unlisted keys that level 0 lets
 through; level 2 one of the listed keys that level 1 lets through, and so on. A key's answer is the parity of the first
-level that rejects it. Every level hashes the keys' bytes anew, with a seed of its own; once few keys are left to tell
-apart, or levels stop helping, the rest is a list of keys, so building always ends.
+level that rejects it. Every level hashes the keys' bytes anew, with a seed of its own, until no key is left to tell
+apart; should levels stop helping, the rest is a list of keys, so building always ends.
 
-A row's keys (the suffixes of its host, as far as a listed domain can be one) are listed where one of them is. Rows and
-keys are dealt to shards by host, and a task builds the cascade of each shard: nothing about keys reaches the driver.
+A row's keys (the suffixes of its host, as far as a listed domain can be one, and its location: host and path) are
+listed where one of them is. Rows and keys are dealt to shards by location, and a task builds the cascade of each shard: nothing about keys reaches the driver.
 Where all cascades together are within ``max_bytes`` they are broadcast and rows are probed where they lie; beyond that
 rows travel to the cascade of their shard, in replicas of it as many as its rows need.
 
@@ -33,8 +33,8 @@ from .shared import materialise
 MAX_BYTES = 64 << 20
 #: Hosts of a shard, and rows of one replica of it, on average.
 SHARD_HOSTS, SHARD_ROWS = 200_000, 200_000
-#: Keys that are left as a list, and levels at most.
-LISTED_REST, MOST_LEVELS = 16, 48
+#: Levels at most.
+MOST_LEVELS = 48
 HASHES = 4
 #: Fixed values: (verdict, host, path prefix).
 RULES = (
@@ -102,7 +102,7 @@ class Cascade:
     def build(cls, listed: list[bytes], others: list[bytes]) -> Cascade:
         levels: list[np.ndarray] = []
         own, other = listed, others
-        while len(own) > LISTED_REST and len(levels) < MOST_LEVELS:
+        while own and len(levels) < MOST_LEVELS:
             # The first level lets few through when the other side is far larger; later ones halve what is left.
             rate = max(1e-6, min(0.5, len(own) / max(1, len(other)) / 2)) if not levels else 0.5
             words = np.zeros(bits_for(len(own), rate) // 64, np.uint64)
@@ -220,11 +220,17 @@ def filter_urls(
     shard_hosts: int = SHARD_HOSTS,
 ) -> DataFrame:
     """(id_col, host, path, rule, verdict, listed) for every row of pages: the longest rule's verdict, else block for a
-    host under a listed domain and allow for any other. ``listed`` (key) holds blocked domains, lower case."""
+    host under a listed domain or a listed location and allow for any other. ``listed`` (key) holds blocked domains and
+    locations (a host and a path from its first ``/`` on); A-Z of their hosts are lower-cased. Null keys list nothing."""
     url = F.col(url_col)
     rows = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
-    depth = listed.agg(F.max(F.size(F.split("key", r"\.")))).first()[0] or 1  # no longer suffix of a host can be listed
-    found = listed_by_cascade(rows, suffixes(F.col("host"), depth), F.col("host"), listed, max_bytes, shard_hosts)
+    named = F.regexp_extract("key", "^[^/]*", 0)
+    lower = F.translate(named, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    listed = listed.select(F.concat(lower, F.substring("key", F.length(named) + 1, F.length("key"))).alias("key"))
+    depth = listed.agg(F.max(F.size(F.split(F.regexp_extract("key", "^[^/]*", 0), r"\.")))).first()[0] or 1  # no longer suffix of a host can be listed
+    location = F.concat("host", "path")
+    keys = F.array_distinct(F.concat(suffixes(F.col("host"), depth), F.array(location)))
+    found = listed_by_cascade(rows, keys, location, listed, max_bytes, shard_hosts)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_list = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return found.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"), "listed")

@@ -1,6 +1,7 @@
 """URL filter, BPE, secret scan and decontamination against plain versions."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -53,7 +54,7 @@ def test_urls(spark, monkeypatch, bounds):
 def test_cascade_is_exact(spark, listed):
     names = [b"k%d" % i for i in range(3000)]
     built = url_filter.Cascade.build(names[:listed], names[listed:])
-    assert np.array_equal(built.lookup(names), np.arange(3000) < listed) and len(built.rest) <= url_filter.LISTED_REST
+    assert np.array_equal(built.lookup(names), np.arange(3000) < listed) and not built.rest
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     rows = keys.select("key", F.lit(1).alias("listed"), F.lit(2).alias("other"))
     wanted = keys.filter(F.substring("key", 2, 9).cast("int") < listed)
@@ -62,6 +63,26 @@ def test_cascade_is_exact(spark, listed):
         assert got.columns == ["key", "other", "listed"] and got.filter("listed").count() == listed and got.count() == 3000
 
 
+def test_registered_list_goes_through_levels(spark, monkeypatch):
+    """The registered query's cascades have levels, at every scale factor, and nothing left as a list."""
+    built, plain = [], url_filter.materialise
+    monkeypatch.setattr(url_filter, "materialise", lambda df, name: (built if name == "cascades" else []).append(got := plain(df, name)) or got)
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        path = f"/root/testdata/{sf}"
+        if os.path.isdir(path):
+            queries.op3_url_filter(spark, path)
+            shapes = [(len(r["levels"]), len(r["rest"])) for r in built.pop().collect()]
+            assert shapes and all(levels >= 2 and not rest for levels, rest in shapes), (sf, shapes)
+
+
+def test_listed_locations(spark):
+    urls = ["http://A.org/X?q", "http://a.org/x", "http://b.a.org/X", "http://c.com/", "http://d.com", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([("A.org/X",), ("C.COM/",), (None,), ("D.com/",)], "key string")
+    got = {r["page_id"]: r["listed"] for r in url_filter.filter_urls(pages, listed, rules=()).collect()}
+    assert got == {0: True, 1: False, 2: False, 3: True, 4: False, 5: False}
+
+
 def test_cascade_ends_where_hashes_agree(monkeypatch):
     """Keys that every level takes for one another are left as a list."""
     monkeypatch.setattr(url_filter, "_positions", lambda keys, bits, level: np.zeros((len(keys), url_filter.HASHES), np.int64))
@@ -71,7 +92,6 @@ def test_cascade_ends_where_hashes_agree(monkeypatch):
     one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024)).encode()
     two = one.translate(bytes.maketrans(b"ab", b"ba"))
     monkeypatch.undo()
-    monkeypatch.setattr(url_filter, "LISTED_REST", 0)
     built = url_filter.Cascade.build([one], [two])
     assert built.lookup([one, two]).tolist() == [True, False] and len(built.levels) < 12
 
@@ -164,7 +184,7 @@ def plain_hits(text, items):
             for j in range(len(words) - len(p) + 1):
                 if words[j] == p[0] and words[j : j + len(p)] == p:
                     hit |= {*range(j, j + len(p))}
-                    named.add(str(item))
+                    named |= {str(item)} if item is not None else set()
     return len(words), len(hit), sorted(named)
 
 
@@ -172,8 +192,8 @@ def test_hits(spark):
     r = random.Random(1)
     item = lambda n: " ".join(r.choice(["a", "b", "Cé", "d9"]) for _ in range(n))
     items = [(1, item(20)), (2, item(13)), (3, item(5)), (11, item(2)), (4, ""), (5, None), (6, "..!"), (7, item(40))]
-    items += [(8, items[0][1])]
-    extra = [f"{item(30)} {items[k][1]} , {item(6)}" for k in range(4)] + [items[0][1].upper(), items[7][1][5:]] + [item(300) for _ in range(10)]
+    items += [(8, items[0][1]), (None, item(20)), (None, item(3))]
+    extra = [f"{item(30)} {items[k][1]} , {item(6)}" for k in (0, 1, 2, 3, 9, 10)] + [items[0][1].upper(), items[7][1][5:]] + [item(300) for _ in range(10)]
     docs = edge_docs(spark, extra)
     bench = spark.createDataFrame([(i, t, t) for i, t in items], "item_id long, text string, spans string")
     own = {x["doc_id"]: x["text"] for x in docs.collect()}
