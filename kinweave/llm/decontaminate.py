@@ -142,9 +142,10 @@ def benchmark_hits(
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """(id_col, n_words, spans, items) for every row of docs: the word ranges under a benchmark window (end exclusive)
-    and the items, sorted as strings, whose windows occur."""
+    and the items, sorted as strings, whose windows occur. The windows of an item without an id hit words like others, but
+    name no item."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +170,7 @@ def benchmark_hits(
                         words, found, of = scan_text(searches, t, window)
                         n.append(words)
                         spans.append([{"start": a, "end": b} for a, b in found])
-                        named.append(sorted(of))
+                        named.append(sorted(i for i in of if i is not None))
                     columns = [batch.column("id"), batch.column("digest"), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(named, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n_words", "spans", "items"])
 
@@ -184,7 +185,7 @@ def benchmark_hits(
     hits = None
     for block in range(blocks):
         tables = sent(block)
-        own = materialise(scanned(tables).filter(F.size("items") > 0).select("id", "digest", "spans", "items"), "hits")
+        own = materialise(scanned(tables).filter(F.size("spans") > 0).select("id", "digest", "spans", "items"), "hits")
         tables.unpersist()
         hits = own if hits is None else hits.unionAll(own)
     gathered = hits.groupBy("id", "digest").agg(
