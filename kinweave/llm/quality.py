@@ -202,8 +202,10 @@ def fit_quality(
     sample = marked.orderBy(F.xxhash64(F.col("__id")), "__label").limit(most_labelled)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
     stats = text_statistics(texts, "__id", "__text", ("__label",))
-    # At most 20,000 rows of numbers; the same ones in the same order whatever the layout of the tables.
-    rows = stats.orderBy("__id", *STATISTICS).toArrow()
+    # Bounded after the join as well, as an id may have many rows: at most 20,000 rows of numbers, the same ones in the
+    # same order whatever the layout of the tables.
+    stats = stats.orderBy(F.xxhash64("__id"), "__label", *STATISTICS).limit(most_labelled)
+    rows = stats.orderBy("__id", "__label", *STATISTICS).toArrow()
     small = spark.createDataFrame(rows, stats.schema).coalesce(2).cache()
     try:
         return fit_rules(small.withColumnRenamed("__label", "label"))

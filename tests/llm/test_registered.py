@@ -94,6 +94,17 @@ def test_statistics(spark, sf):
             assert all(math.isclose(r[k], own[k], abs_tol=1e-12) for k in quality.STATISTICS), (r, own)
 
 
+def test_rows_fitted_are_bounded(spark, monkeypatch):
+    """Labels of ids that many rows have: no more than ``most_labelled`` rows come to the driver."""
+    docs = spark.range(3000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
+    sizes, fit = [], quality.fit_rules
+    monkeypatch.setattr(quality, "fit_rules", lambda df, *a, **k: sizes.append(df.count()) or fit(df, *a, **k))
+    quality.fit_quality(docs, labels, most_labelled=10)
+    quality.fit_quality(docs, labels, most_labelled=500)
+    assert sizes == [10, 500]
+
+
 def test_scores_are_sums_of_rules(spark, sf):
     docs = queries.table(spark, sf, "documents")
     held_out = lambda c: F.coalesce(crc_text(F.col(c)) % 3 == 1, F.lit(False))
