@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, shuffle_partitions
 
-RUN = "node int, digest binary, twin long, keep long, n long"
+RUN = "node int, digest binary, twin long, keep long, known boolean, n long"
 #: Rows of a leaf's run on average, and leaves at least (as far as the session has partitions).
 RUN_ROWS, LEAST_LEAVES = 200_000, 16
 
@@ -43,7 +43,8 @@ def _order(digests: pa.Array, twin: np.ndarray) -> np.ndarray:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A leaf's runs in, one sorted run out: a row per (digest, twin) with the largest ``keep`` and the summed ``n``."""
+    """A leaf's runs in, one sorted run out: a row per (digest, twin) with the largest ``keep``, whether it is of
+    a row with an id, and the summed ``n``."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -55,9 +56,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new[1:] = pc.not_equal(digest[1:], digest[:-1]).to_numpy(zero_copy_only=False) | (twin[1:] != twin[:-1])
     first = np.flatnonzero(new)
     keep = np.maximum.reduceat(rows.column("keep").to_numpy(), first)
+    known = np.logical_or.reduceat(rows.column("known").to_numpy(zero_copy_only=False), first)
     n = np.add.reduceat(rows.column("n").to_numpy(), first)
     at = pa.array(first)
-    out = pa.RecordBatch.from_arrays([rows.column("node").take(at), digest.take(at), pa.array(twin[first]), pa.array(keep), pa.array(n)], names=rows.schema.names)
+    out = pa.RecordBatch.from_arrays([rows.column("node").take(at), digest.take(at), pa.array(twin[first]), pa.array(keep), pa.array(known), pa.array(n)], names=rows.schema.names)
     for i in range(0, out.num_rows, 1 << 14):
         yield out.slice(i, 1 << 14)
 
@@ -75,9 +77,8 @@ def exact_dedup(
     """(id_col, keep_id, group_size, kept, digest) for every row of docs; ``keep`` is 'largest' or 'smallest' id.
 
     Ids are integers. An empty table gives an empty result; other columns of docs are neither read nor clash."""
-    sign = {"largest": 1, "smallest": -1}[keep]
+    largest = {"largest": True, "smallest": False}[keep]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    least = -(2**63) + 1
     prints = materialise(
         docs.select(
             F.col(id_col).cast("long").alias("id"),
@@ -91,9 +92,11 @@ def exact_dedup(
     fan, rounds = tree_shape(leaves_wanted, fan_in)
     nodes = fan**rounds
     prints = prints.withColumn("leaf", F.pmod(F.col("part"), F.lit(nodes)).cast("int")).drop("part")
-    ranked = F.coalesce(F.lit(sign).cast("long") * F.col("id"), F.lit(least))
+    # The complement turns the order around for every id; an id may be any long, so whether there is one goes along.
+    turned = lambda c: c if largest else F.bitwise_not(c)
+    ranked = F.coalesce(turned(F.col("id")), F.lit(-(2**63)))
     runs = prints.select(
-        F.col("leaf").alias("node"), "digest", "twin", ranked.alias("keep"), F.lit(1).cast("long").alias("n")
+        F.col("leaf").alias("node"), "digest", "twin", ranked.alias("keep"), F.col("id").isNotNull().alias("known"), F.lit(1).cast("long").alias("n")
     )
 
     def exchange(df: DataFrame) -> DataFrame:
@@ -109,9 +112,9 @@ def exact_dedup(
         merged = exchange(merged.withColumn("node", node.cast("int")))
     # Back down: a digest's answer goes once to each leaf that holds it, then to the rows of that leaf.
     answers = leaves.select(F.col("node").alias("leaf"), "digest", "twin").join(
-        merged.select("digest", "twin", "keep", "n"), ["digest", "twin"]
+        merged.select("digest", "twin", "keep", "known", "n"), ["digest", "twin"]
     )
-    kept = F.when(F.col("keep") != least, F.col("keep") * sign)
+    kept = F.when(F.col("known"), turned(F.col("keep")))
     return prints.join(answers, ["leaf", "digest", "twin"]).select(
         F.col("id").alias(id_col),
         kept.alias("keep_id"),

@@ -26,6 +26,15 @@ def test_against_plain(spark, keep, fan_in):
     assert rows(exact_dedup(docs, keep=keep, fan_in=fan_in)) == plain(docs.collect(), best)
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_extreme_ids(spark, keep):
+    """Any long is an id: none is taken for a null."""
+    ends = [-(2**63), -(2**63) + 1, -1, 0, 2**63 - 1]
+    made = [(i, t) for t, ids in {"a": ends, "b": [ends[0], None], "c": [ends[4], None], "d": [None], "e": [ends[1], None], "f": ends[:1]}.items() for i in ids]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    assert rows(exact_dedup(docs, keep=keep)) == plain(docs.collect(), max if keep == "largest" else min)
+
+
 def test_empty_and_all_null(spark):
     none = spark.createDataFrame([], DOCS)
     assert exact_dedup(none).count() == 0
