@@ -46,8 +46,8 @@ WINDOWS = 4
 SHARD_BYTES, ANCHOR_BYTES = 192 << 10, 192 << 10
 #: Shards that are packed together.
 PACKED = 64
-#: A longer text is read in parts.
-PART_BYTES = 4 << 20
+#: A longer text is read in parts; bits of a place in what is read at once.
+PART_BYTES, PLACE_BITS = 4 << 20, 24
 NO_ID = -(2**63)
 
 
@@ -67,11 +67,15 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
 def fragments(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     """(text, first start within the text, number of starts, anchor's place after the first start, anchor hash, fragment
     hash, window hashes...) of all fragments. A window hash has 32 bits; 0 where the window would leave the text. Chance
-    agreements of anchors and windows cost time only."""
+    agreements of anchors and windows cost time only. Two equal strings have the same anchor, unless two of its candidates
+    agree in the high bits that are compared and differ in order elsewhere: then the first one counts, in both."""
     n = len(data)
     ranges = RangeHash(data)
     grams = ranges.rolling(k)
-    low = np.uint64((1 << max(1, n.bit_length())) - 1)
+    # One width for all batches, so that equal strings have equal anchors wherever they lie.
+    if n >= 1 << PLACE_BITS:
+        raise ValueError(f"a batch of {n} bytes is too long")
+    low = np.uint64((1 << PLACE_BITS) - 1)
     packed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     least = window_minima(packed, length - k + 1)  # for each start of a string
     m = len(least)
