@@ -25,6 +25,8 @@ NEAR = 80
 
 #: Names of the working columns; those of documents may not be so called.
 ROW = "__row"
+#: Ids below this one leave room above them for the stand-ins, whose numbers are of the order of partitions times 2^33.
+ROOM = 1 << 62
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -36,10 +38,17 @@ def _numbered(docs: DataFrame) -> DataFrame:
         return docs.withColumn(ROW, F.col("doc_id").cast("long"))
     own = docs.filter("doc_id IS NOT NULL")
     again = own.join(repeated, own["doc_id"] == repeated["__id"], "left_semi").unionAll(nulls)
-    after = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    own = own.join(repeated, own["doc_id"] == repeated["__id"], "left_anti")
+    largest = docs.agg(F.max("doc_id")).first()[0] or 0
+    if largest < ROOM:
+        numbered, after = own.withColumn(ROW, F.col("doc_id").cast("long")), largest + 1
+    else:  # no room above the ids: they become numbers in the same order, far below the largest long
+        ranked = own.select(F.col("doc_id").alias("__id")).repartitionByRange("__id").sortWithinPartitions("__id")
+        ranked = materialise(ranked.withColumn(ROW, F.monotonically_increasing_id()), "ranks")
+        numbered, after = own.join(ranked, own["doc_id"] == ranked["__id"]).select(*own.columns, ROW), ROOM
     # Written once, so that a row keeps its number.
     again = materialise(again.withColumn(ROW, F.monotonically_increasing_id() + F.lit(after).cast("long")), "stand-ins")
-    return own.join(repeated, own["doc_id"] == repeated["__id"], "left_anti").withColumn(ROW, F.col("doc_id").cast("long")).unionAll(again)
+    return numbered.unionAll(again)
 
 
 def _only(numbered: DataFrame, found: DataFrame, how: str) -> DataFrame:
