@@ -1,5 +1,6 @@
 import corpus_pipeline as cp
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinweave.llm import bpe, queries
@@ -112,3 +113,18 @@ def test_columns_named_like_statistics(spark, sf):
     assert sorted(r[:2] for r in got) == sorted(plain_) and all(r[2:] == (1, "c", 0.5, 0, 2, True, "s", 3) for r in got)
     for name in ("exact_dedup", "near_dedup", "decontaminate"):
         assert len(run_stage(spark, sf, name, [(*r, 1, "c", 0.5, 0, 2, True, "s", 3) for r in rows[:5]], clashing)) <= 5
+
+
+@pytest.mark.parametrize("largest", [2**63 - 1, 2**62, 40])
+def test_ids_of_any_size(spark, sf, largest):
+    """Repeated and null ids beside the largest long: every row has a number of its own, in the order of the ids."""
+    texts = {largest: "own", -(2**63): "own", 7: "twice", None: "own"}
+    made = [(i, t, "en", "s", 3) for i, t in texts.items()] + [(7, "twice", "en", "s", 3), (None, "alone", "en", "s", 3)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    rows = cp._numbered(docs).collect()
+    numbers = [r[cp.ROW] for r in rows]
+    assert len({*numbers}) == len(rows) == 6
+    by_id = {r["doc_id"]: r[cp.ROW] for r in rows}
+    assert by_id[-(2**63)] < by_id[largest] < min(r[cp.ROW] for r in rows if r["doc_id"] in (7, None))
+    kept = sorted(((r["doc_id"], r["text"]) for r in cp.exact(spark, docs, sf).collect()), key=repr)
+    assert kept == sorted([(-(2**63), "own"), (7, "twice"), (None, "alone")], key=repr)
