@@ -140,25 +140,6 @@ def first_per_site(sites: DataFrame, order: str) -> DataFrame:
     return first.select("pair", *SITE, "__first.*")
 
 
-def sample_reads(obs: DataFrame, samples: DataFrame, seed: int, k: int = 1) -> DataFrame:
-    """k reads (one, or two for self pairs) of each sample and site, drawn by hash: (…, draw, base, phred)."""
-    draw = u01(seed, "read", *(F.col(c) for c in (*SITE, "sample", "read_ix")))
-    rank = F.row_number().over(W.partitionBy(*SITE, "sample").orderBy(draw, "read_ix"))
-    return select_samples(obs, samples).withColumn("draw", rank).filter(F.col("draw") <= k)
-
-
-def sampled_mismatch(obs: DataFrame, samples: DataFrame, seed: int) -> DataFrame:
-    """Pseudo-haploid comparison: one drawn read a sample, mismatch 0 or 1 per site."""
-    one = sample_reads(obs, samples, seed).join(F.broadcast(samples), "sample").select(*SITE, "sample", "name", "base", "phred")
-    x, y = one.alias("x"), one.alias("y")
-    both = x.join(y, [F.col("x.chrom") == F.col("y.chrom"), F.col("x.pos") == F.col("y.pos"), F.col("x.sample") < F.col("y.sample")])
-    num = (F.col("x.base") != F.col("y.base")).cast("long")
-    return both.select(
-        pair_label(F.col("x.name"), F.col("y.name")).alias("pair"), F.col("x.sample").alias("s0"), F.col("y.sample").alias("s1"), F.lit(False).alias("is_self"),
-        F.col("x.chrom"), F.col("x.pos"), num.alias("num"), F.lit(1).cast("long").alias("den"), num.cast("double").alias("pwd"), F.col("x.phred").cast("double").alias("q0"), F.col("y.phred").cast("double").alias("q1"),
-    )
-
-
 def summary_columns() -> list[Column]:
     """Overlap, sum and mean of the mismatch, mean quality, deviation and 95 % interval (NaN for a single site), from
     aggregates that merge in one pass."""

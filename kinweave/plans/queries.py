@@ -18,6 +18,7 @@ from ..operators import panel as pn
 from ..operators import pedigree as pg
 from ..operators import products as pr
 from ..operators import recombination as rc
+from ..operators import sampling as sm
 from ..sources import readers as rd
 from ..sources import sinks, store
 from ..sources.scratch import scratch, stored
@@ -559,10 +560,42 @@ def a1(spark, sf):
       SELECT 'Ind' || a.sample || '-Ind' || b.sample AS pair, count(*) AS overlap, CAST(sum(CASE WHEN a.base <> b.base THEN 1 ELSE 0 END) AS BIGINT) AS differing FROM o a JOIN o b ON a.chrom = b.chrom AND a.pos = b.pos AND a.sample < b.sample GROUP BY ALL""",
 )
 def a5(spark, sf):
-    drawn = ob.sampled_mismatch(reads(spark, sf), people(spark), ad.SEED)
+    drawn = sm.sampled_pairs(reads(spark, sf), people(spark), ad.SEED)
     return drawn.groupBy("pair").agg(F.count("*").alias("overlap"), F.sum("num").alias("differing"))
 
 
+def _drawn_sql(d: int) -> str:
+    """Reads that have the least and the largest hash of a draw."""
+    u = "{U:'read" + (str(d) if d else "") + "',chrom,pos,sample,read_ix}"
+    return f"""u{d} AS (SELECT *, row_number() OVER (PARTITION BY chrom, pos, sample ORDER BY {u}, read_ix) AS lo, row_number() OVER (PARTITION BY chrom, pos, sample ORDER BY {u} DESC, read_ix DESC) AS hi,
+      count(*) OVER (PARTITION BY chrom, pos, sample) AS n FROM $READS z WHERE phred >= 30)"""
+
+
+DRAWS = 3
+SELF_SQL = f"""WITH {_drawn_sql(0)} SELECT 'Ind' || a.sample || '-Ind' || a.sample AS pair, count(*) AS overlap, CAST(sum(CASE WHEN a.base <> b.base THEN 1 ELSE 0 END) AS BIGINT) AS differing, round(avg(a.phred), 6) AS q0, round(avg(b.phred), 6) AS q1
+  FROM u0 a JOIN u0 b ON a.chrom = b.chrom AND a.pos = b.pos AND a.sample = b.sample AND a.lo = 1 AND b.hi = 1 AND a.n >= 2 GROUP BY a.sample"""
+REPEATED_SQL = "WITH " + ", ".join(_drawn_sql(d) for d in range(DRAWS)) + ", d AS (" + " UNION ALL ".join(
+    f"SELECT a.sample AS s0, b.sample AS s1, a.chrom, a.pos, CASE WHEN a.base <> b.base THEN 1 ELSE 0 END AS differ, a.phred AS p0, b.phred AS p1 FROM u{d} a JOIN u{d} b ON a.chrom = b.chrom AND a.pos = b.pos AND a.sample < b.sample AND a.lo = 1 AND b.lo = 1"
+    for d in range(DRAWS)
+) + """), s AS (SELECT s0, s1, chrom, pos, sum(differ) AS num, count(*) AS den, avg(p0) AS q0, avg(p1) AS q1 FROM d GROUP BY ALL)
+  SELECT 'Ind' || s0 || '-Ind' || s1 AS pair, count(*) AS overlap, CAST(sum(num) AS BIGINT) AS differing, CAST(sum(den) AS BIGINT) AS draws, round(sum(CAST(num AS DOUBLE) / den), 6) AS sum_pwd, round(avg((q0 + q1) / 2), 6) AS avg_phred FROM s GROUP BY s0, s1"""
+
+
+@query("a5_self_sampled", SELF_SQL)
+def a5_self(spark, sf):
+    drawn = sm.sampled_self(reads(spark, sf), people(spark), ad.SEED)
+    return rounded(drawn.groupBy("pair").agg(F.count("*").alias("overlap"), F.sum("num").alias("differing"), F.avg("q0").alias("q0"), F.avg("q1").alias("q1")))
+
+
+def repeated_summary(drawn: DataFrame) -> DataFrame:
+    return rounded(drawn.groupBy("pair").agg(F.count("*").alias("overlap"), F.sum("num").alias("differing"), F.sum("den").alias("draws"), F.sum("pwd").alias("sum_pwd"), F.avg((F.col("q0") + F.col("q1")) / 2).alias("avg_phred")))
+
+
+@query("a5_repeated", REPEATED_SQL)
+def a5_repeated(spark, sf):
+    return repeated_summary(sm.sampled_pairs(reads(spark, sf), people(spark), ad.SEED, draws=DRAWS))
+
+
 @query("a6_pair_summary", SUMMED)
 def a6(spark, sf):
     return rounded(ob.pair_summary(sites(spark, sf)))
@@ -922,6 +955,46 @@ def t1_blocks(spark, sf):
     return rounded(streamed(spark, sf, lambda p: st.running_blocks(p, ad.adapter(spark, sf, "GENOME"), BLOCK)))
 
 
+#: Chromosomes of an arriving folder of lines; bases that a line may be behind the lines before it.
+ARRIVING, DISORDER = 6, st.CHROM_SPAN * 3 // 2
+
+
+def arrivals(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Pileup lines in the order in which they arrive, a few chromosomes at a time. Every third line is followed by
+    another one at its coordinate, with another reference; some of a chromosome's lines come again with the next lot."""
+    lines = stored(pileup_text(spark, sf).withColumn("f", F.split("value", "\t", 4)), "lines")
+    lines = lines.select("value", F.col("f")[0].cast("int").alias("chrom"), F.col("f")[1].cast("long").alias("pos"), "f")
+    again = lines.select(F.concat_ws("\t", F.col("f")[0], F.col("f")[1], F.lit("N"), F.col("f")[3]).alias("value"), "chrom", "pos", F.lit(1).alias("k"))
+    first = lines.select("value", "chrom", "pos", F.lit(0).alias("k"))
+    lots = []
+    for start in range(1, 23, ARRIVING):
+        own = F.col("chrom").between(start, start + ARRIVING - 1)
+        late = again.filter((F.col("chrom") == start - 1) & (F.col("pos") % 5 == 0))
+        lot = first.filter(own).unionAll(again.filter(own & (F.col("pos") % 3 == 0))).unionAll(late)
+        lots.append(lot.repartition("chrom").sortWithinPartitions("chrom", "pos", "k").select("value"))
+    return lots
+
+
+def first_arrivals(spark: SparkSession, sf: str) -> tuple[DataFrame, list[dict]]:
+    """(the first lines' pairs, the state operator's report after each lot): one stream, stopped and gone on with."""
+    source, out, marks = (scratch(spark, n) for n in ("arriving", "first", "marks"))
+    reports = []
+    for lot in arrivals(spark, sf):
+        lot.write.mode("append").text(source)
+        kept = st.first_lines_within(st.line_pairs(st.stream_pileup(spark, source, 1_000)), DISORDER)
+        going = kept.writeStream.outputMode("append").option("checkpointLocation", marks).option("path", out).format("parquet").trigger(availableNow=True).start()
+        going.awaitTermination()
+        if going.exception():
+            raise going.exception()
+        reports += [dict(o.asDict() if hasattr(o, "asDict") else o) for o in going.lastProgress["stateOperators"]] if going.lastProgress else []
+    return spark.read.parquet(out), reports
+
+
+@query("t2_first_lines", SUMMED)
+def t2(spark, sf):
+    return rounded(ob.pair_summary(first_arrivals(spark, sf)[0]))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in FOUND.items()}
 

@@ -46,10 +46,29 @@ def stream_pileup(spark: SparkSession, folder: str, files_per_trigger: int = 4)
 
 
 def first_lines(pairs: DataFrame) -> DataFrame:
-    """Of repeated coordinates of a pair the first to arrive counts. Its state grows with the sites."""
+    """Of repeated coordinates of a pair the first to arrive counts, in whatever order lines come. Its state grows with the
+    sites; see ``first_lines_within`` for sorted lines."""
     return pairs.dropDuplicates(["pair", "chrom", "pos"])
 
 
+#: Seconds of event time that a chromosome takes; more than any has bases.
+CHROM_SPAN = 1 << 29
+
+
+def coordinate_time(chrom: Column, pos: Column) -> Column:
+    """A coordinate as event time: a base is a second, chromosomes follow each other."""
+    return F.timestamp_seconds(chrom.cast("long") * CHROM_SPAN + pos)
+
+
+def first_lines_within(pairs: DataFrame, disorder: int) -> DataFrame:
+    """``first_lines`` of lines that are sorted but for ``disorder`` bases, with as much state. A line counts if no line of
+    its pair and coordinate came before it; it may lie up to ``disorder`` bases behind the furthest line of the batches
+    before its own (in any order within a batch). A line further behind is left out, and counted in the progress report
+    as ``numRowsDroppedByWatermark``. State is a row for each pair and site within that stretch."""
+    timed = pairs.withColumn("__at", coordinate_time(F.col("chrom"), F.col("pos"))).withWatermark("__at", f"{disorder} seconds")
+    return timed.dropDuplicatesWithinWatermark(["pair", "chrom", "pos"]).drop("__at")
+
+
 def running_summary(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("pair").agg(*summary_columns())
 
