@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -154,10 +154,23 @@ def s7(spark, sf):
 
 @query("s8_genetic_map", "SELECT chrom, start, stop, round(rate, 6) AS rate FROM $MAP m")
 def s8(spark, sf):
+    return rounded(rd.read_genetic_map(spark, map_files(spark, sf)))
+
+
+def map_files(spark: SparkSession, sf: str, more: Column | None = None) -> str:
+    """A folder of genetic maps with headers; ``more`` is a condition of lines that have a broken position."""
     path = scratch(spark, "maps")
     rows = ad.adapter(spark, sf, "MAP").repartition("chrom").sortWithinPartitions("chrom", "stop")
-    rows.select(F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), "stop", "rate", F.lit("0")).alias("value")).write.text(path)
-    return rounded(rd.read_genetic_map(spark, path))
+    stop = F.col("stop").cast("string") if more is None else F.when(more, F.concat(F.lit("x"), "stop")).otherwise(F.col("stop").cast("string"))
+    columns = [F.concat(F.lit("chr"), "chrom").alias("Chromosome"), stop.alias("Position(bp)"), F.col("rate").alias("Rate(cM/Mb)"), F.lit("0").alias("Map(cM)")]
+    rows.select(*columns).write.options(sep="\t", header=True, extension="TXT").csv(path)
+    return path
+
+
+@query("s8_rejected_lines", "SELECT 'chr' || chrom || chr(9) || 'x' || stop AS line FROM $MAP m WHERE stop % 7 = 0 AND chrom > 1")
+def s8_rejected(spark, sf):
+    lines = rd.rejected_map_lines(spark, map_files(spark, sf, (F.col("stop") % 7 == 0) & (F.col("chrom") > 1)))
+    return lines.select(F.substring_index("line", "\t", 2).alias("line"))
 
 
 def vcf_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:

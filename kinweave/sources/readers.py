@@ -153,16 +153,37 @@ def genome_for(genome: DataFrame, x_mode: bool = False) -> DataFrame:
     return genome.filter(F.col("chrom") == X if x_mode else F.col("chrom") != X)
 
 
-def read_genetic_map(spark: SparkSession, folder: str) -> DataFrame:
-    """(chrom, start, stop, rate): each line ends an interval that starts at the line before it, the first at 0."""
+def _map_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(chrom, stop, rate, file, line) of every line but each file's first, the header, and empty ones; what can't be read
+    is null."""
+    lines = spark.read.option("pathGlobFilter", "*.[tT][xX][tT]").text(folder)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    heads = lines.filter("block = 0").groupBy("file").agg(F.min("at").alias("head"))  # a row for each file
+    lines = lines.join(F.broadcast(heads), "file").filter((F.col("at") != F.col("head")) & (F.trim("value") != ""))
     f = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.option("pathGlobFilter", "*.txt").text(folder).filter(F.trim("value") != "")
-    rows = lines.select(chrom_id(f[0]).alias("chrom"), F.try_to_number(f[1], F.lit("999999999999")).cast("long").alias("stop"), f[2].alias("rate"))
-    rows = rows.filter("chrom IS NOT NULL AND stop IS NOT NULL").withColumn("rate", F.col("rate").cast("double"))
+    stop = F.when(F.get(f, F.lit(1)).rlike("^[0-9]+$"), F.get(f, F.lit(1)).try_cast("long"))
+    return lines.select(chrom_id(f[0]).alias("chrom"), stop.alias("stop"), F.get(f, F.lit(2)).try_cast("double").alias("rate"), "file", F.col("value").alias("line"))
+
+
+def read_genetic_map(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
+    """(chrom, start, stop, rate) of the folder's ``.txt`` files: each line ends an interval that starts at the line before
+    it, the first at 0. A file's first line is its header. A line whose chromosome, position or rate can't be read fails;
+    without ``strict`` it is left out here and found by ``rejected_map_lines``."""
+    rows = _map_lines(spark, folder)
+    bad = F.col("chrom").isNull() | F.col("stop").isNull() | F.col("rate").isNull()
+    if strict:
+        rows = rows.withColumn("stop", F.when(bad, _fail("not a line of a genetic map: ", F.concat_ws(": ", "file", "line"), "long")).otherwise(F.col("stop")))
+    else:
+        rows = rows.filter(~bad)
     before = F.lag("stop", 1, 0).over(W.partitionBy("chrom").orderBy("stop"))
     return rows.select("chrom", before.alias("start"), "stop", "rate")
 
 
+def rejected_map_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, line) of the lines that ``read_genetic_map`` can't read."""
+    return _map_lines(spark, folder).filter("chrom IS NULL OR stop IS NULL OR rate IS NULL").select("file", "line")
+
+
 # VCF
 
 

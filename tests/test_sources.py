@@ -133,3 +133,16 @@ def test_sinks(spark, tmp_path):
     sinks.write_pwd(summary, path, "overwrite")
     classes = spark.createDataFrame([("p", "x", 1, 0.3), ("p", "y", 0, 0.7)], "pair string, label string, rank int, p double")
     assert sinks.probs_rows(classes).columns == ["pair", "y", "x"]
+
+
+def test_broken_map_lines(spark, tmp_path):
+    """A header is skipped whatever it says; any other line that can't be read fails, or is returned."""
+    folder = tmp_path / "maps"
+    folder.mkdir()
+    (folder / "a.TXT").write_text("chr1\t1\t1\t1\nchr1\t100\t2.5\t0\nchrQ\t200\t1\t0\nchr1\tx5\t1\t0\n\nchr1\t300\tz\t0\nchr1\n")
+    (folder / "b.txt").write_text("Chromosome\tPosition\tRate\tMap\n")
+    (folder / "c.map").write_text("chr1\t1\t1\t1\nbroken\n")
+    with pytest.raises(Exception, match="not a line of a genetic map"):
+        rd.read_genetic_map(spark, str(folder)).collect()
+    assert values(rd.read_genetic_map(spark, str(folder), strict=False)) == [(1, 0, 100, 2.5)]
+    assert sorted(r["line"] for r in rd.rejected_map_lines(spark, str(folder)).collect()) == ["chr1", "chr1\t300\tz\t0", "chr1\tx5\t1\t0", "chrQ\t200\t1\t0"]
