@@ -13,6 +13,7 @@ from ..functions import scalar as sc
 from ..operators import assign as asg
 from ..operators import blocks as blk
 from ..operators import haplotypes as hp
+from ..operators import hinge as hg
 from ..operators import observed as ob
 from ..operators import panel as pn
 from ..operators import pedigree as pg
@@ -893,6 +894,51 @@ def r4(spark, sf):
     return rounded(asg.assign_ordinal(ordinal(spark, sf)), 5)
 
 
+def _hinge_sql() -> str:
+    """The hinge classifiers of R3 by recursion over the steps, a row for each pair, threshold and set of folds."""
+    balance = lambda w: f"(list_sort(list_transform(pts, lambda q: q.y - {w} * q.x))[pos] + list_sort(list_transform(pts, lambda q: q.y - {w} * q.x))[pos + 1]) / 2"
+    cost = "CASE WHEN e >= 0 THEN t * e + ln(1 + exp(-e)) ELSE (t - 1) * e + ln(1 + exp(e)) END"
+    halves = " UNION ALL ".join(f"SELECT {k}e0" for k in hg.HALVES)
+    return f""", scaled AS (SELECT *, (avg - avg(avg) OVER (PARTITION BY pair)) / stddev_pop(avg) OVER (PARTITION BY pair) AS x FROM full_sims),
+      targets AS MATERIALIZED (SELECT f.pair, CAST(threshold AS INT) AS threshold, rep % {hg.FOLDS} AS fold, x, CASE WHEN rank > threshold THEN 1e0 ELSE -1e0 END AS y FROM scaled f JOIN stats s ON s.pair = f.pair AND s.label = f.label CROSS JOIN range(3) t(threshold)),
+      sets AS MATERIALIZED (SELECT pair, threshold, k, list({{'x': x, 'y': y}}) AS pts, count(*) FILTER (WHERE y > 0) AS pos, sqrt(4 * {hg.COST}e0 * least(count(*) FILTER (WHERE y > 0), count(*) FILTER (WHERE y < 0))) + 1 AS most
+        FROM targets CROSS JOIN range(-1, {hg.FOLDS}) g(k) WHERE fold <> k GROUP BY pair, threshold, k),
+      bracket AS (SELECT pair, threshold, k, 0 AS i, -most AS lo, most AS hi FROM sets UNION ALL
+        SELECT pair, threshold, k, i + 1, CASE WHEN f1 < f2 THEN lo ELSE m1 END, CASE WHEN f1 < f2 THEN m2 ELSE hi END
+        FROM (SELECT v.*, m1 * m1 / 2 + {hg.COST}e0 * list_sum(list_transform(pts, lambda p: greatest(0e0, 1 - p.y * (m1 * p.x + b1)))) AS f1, m2 * m2 / 2 + {hg.COST}e0 * list_sum(list_transform(pts, lambda p: greatest(0e0, 1 - p.y * (m2 * p.x + b2)))) AS f2
+          FROM (SELECT u.*, {balance('m1')} AS b1, {balance('m2')} AS b2 FROM (SELECT r.*, pts, pos, lo + (hi - lo) / 3 AS m1, hi - (hi - lo) / 3 AS m2 FROM bracket r JOIN sets s ON s.pair = r.pair AND s.threshold = r.threshold AND s.k = r.k WHERE i < {hg.BRACKETS}) u) v) x),
+      models AS MATERIALIZED (SELECT pair, threshold, k, w, {balance('w')} AS b FROM (SELECT r.pair, r.threshold, r.k, (lo + hi) / 2 AS w, pts, pos FROM bracket r JOIN sets s ON s.pair = r.pair AND s.threshold = r.threshold AND s.k = r.k WHERE i = {hg.BRACKETS}) m),
+      sizes AS (SELECT pair, threshold, count(*) FILTER (WHERE y > 0) AS p, count(*) FILTER (WHERE y < 0) AS q FROM targets GROUP BY pair, threshold),
+      held AS MATERIALIZED (SELECT t.pair, t.threshold, w * x + b AS f, CASE WHEN y > 0 THEN (p + 1e0) / (p + 2e0) ELSE 1 / (q + 2e0) END AS t FROM targets t JOIN models m ON m.pair = t.pair AND m.threshold = t.threshold AND m.k = t.fold JOIN sizes z ON z.pair = t.pair AND z.threshold = t.threshold),
+      s0 AS (SELECT pair, threshold, 0e0 AS a, ln((q + 1e0) / (p + 1e0)) AS c FROM sizes), """ + ", ".join(
+        f"""s{i + 1} AS MATERIALIZED (SELECT pair, threshold, arg_min(a, o) AS a, arg_min(c, o) AS c FROM (SELECT g.pair, g.threshold, g.a, g.c, sum({cost}) + (CASE WHEN g.k = 0 THEN 1e-300 ELSE 0 END) AS o FROM (SELECT g.*, f, t, g.a * f + g.c AS e FROM
+          (SELECT pair, threshold, h.k, a + h.k * (hac * gc - hcc * ga) / det AS a, c + h.k * (hac * ga - haa * gc) / det AS c FROM (SELECT *, haa * hcc - hac * hac AS det FROM (SELECT pair, threshold, a, c, sum(f * (t - p)) AS ga, sum(t - p) AS gc, sum(f * f * p * (1 - p)) + 1e-12 AS haa, sum(f * p * (1 - p)) AS hac, sum(p * (1 - p)) + 1e-12 AS hcc
+            FROM (SELECT d.pair, d.threshold, f, t, a, c, 1 / (1 + exp(a * f + c)) AS p FROM held d JOIN s{i} s ON s.pair = d.pair AND s.threshold = d.threshold) j GROUP BY pair, threshold, a, c) l) n CROSS JOIN ({halves}) h(k)) g JOIN held d ON d.pair = g.pair AND d.threshold = g.threshold) g GROUP BY g.pair, g.threshold, g.k, g.a, g.c) z GROUP BY pair, threshold)"""
+        for i in range(hg.NEWTON)
+    ) + f""", probs AS (SELECT m.pair, m.threshold, 1 / (1 + exp(a * (w * (o.avg_pwd - q.m) / d + b) + c)) AS s FROM models m JOIN s{hg.NEWTON} n ON n.pair = m.pair AND n.threshold = m.threshold JOIN ({SUMMARY_CORR}) o ON o.pair = m.pair
+        JOIN (SELECT pair, avg(avg) AS m, stddev_pop(avg) AS d FROM full_sims GROUP BY pair) q ON q.pair = m.pair WHERE k = -1)"""
+
+
+HINGE = RATED.replace("WITH ", "WITH RECURSIVE ", 1) + STATS + _hinge_sql() + CLASSES
+
+
+def hinged(spark, sf):
+    drawn = asg.standardise(rates(spark, sf))
+    stats = asg.relationship_stats(drawn, REPS)
+    fits = hg.fit_hinge(asg.ordinal_targets(drawn, stats))
+    return asg.class_probs(hg.hinge_probs(ob.pair_summary(corrected(spark, sf)), drawn, fits), stats)
+
+
+@query("r3_hinge_probs", HINGE + " SELECT pair, label, rank, round(p, 4) AS p FROM classes")
+def r3_hinge(spark, sf):
+    return rounded(hinged(spark, sf), 4)
+
+
+@query("r4_hinge_label", HINGE + BEST_CLASS.replace("round(max(p), 5)", "round(max(p), 4)"))
+def r4_hinge(spark, sf):
+    return rounded(asg.assign_ordinal(hinged(spark, sf)), 4)
+
+
 def given_classes(spark, sf):
     """Class probabilities from given threshold probabilities."""
     drawn = rates(spark, sf)
