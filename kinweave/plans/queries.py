@@ -20,6 +20,7 @@ from ..operators import pedigree as pg
 from ..operators import products as pr
 from ..operators import recombination as rc
 from ..operators import sampling as sm
+from ..sources import buckets as bk
 from ..sources import readers as rd
 from ..sources import sinks, store
 from ..sources.scratch import scratch, stored
@@ -237,6 +238,34 @@ def s16(spark, sf):
     return rows.select("chrom", "pos", total(lambda h: h.cast("long")).alias("alts"), F.size("haps").cast("long").alias("haps"), total(lambda h, i: F.when(i % 2 == 1, h * (i + 1) / 2).otherwise(0).cast("long")).alias("mark"))
 
 
+def grown(spark: SparkSession, sf: str) -> str:
+    """A bucketed store of two files' sites: the second one is added to the first one's buckets."""
+    key = (spark.sparkContext.applicationId, sf, "grown")
+    if key not in BUILT:
+        vcf, header = vcf_rows(spark, sf)
+        order = ad.adapter(spark, sf, "INDEX").join(F.broadcast(spark.createDataFrame([(s, i) for i, s in enumerate(header)], "sample string, at int")), "sample")
+        bits = hp.site_bitmaps(pn.filter_biallelic_snps(pn.drop_duplicate_sites(vcf)), order)
+        path, later = scratch(spark, "grown"), F.col("chrom") % 3 == 0
+        bk.create_sites(bits.filter(~later), path, 8)
+        bk.append_sites(bits.filter(later), path, 8)
+        again = bk.append_sites(bits.filter(later & (F.col("pos") % 2 == 0)), path, 8, repeated="skip")  # adds nothing
+        BUILT[key] = path
+        assert again == bits.filter(later & (F.col("pos") % 2 == 0)).count()
+    return BUILT[key]
+
+
+@query("s13_grown_store", f"SELECT chrom, pos, CAST(sum(a0 + a1) AS BIGINT) AS alts FROM ({STORED}) g GROUP BY chrom, pos")
+def s13_grown(spark, sf):
+    return bk.open_sites(spark, grown(spark, sf), 8).select("chrom", "pos", hp.alternates(F.col("bits")).alias("alts"))
+
+
+@query("j4_bucketed_lookup", f"SELECT p.chrom, p.pos, count(DISTINCT p.pair) AS pairs, CAST(max(alts) AS BIGINT) AS alts FROM $PAIRS p JOIN (SELECT chrom, pos, sum(a0 + a1) AS alts FROM ({STORED}) g GROUP BY chrom, pos) g ON g.chrom = p.chrom AND g.pos = p.pos GROUP BY p.chrom, p.pos")
+def j4_bucketed(spark, sf):
+    nested = hp.nest_pairs(sites(spark, sf).select("pair", "chrom", "pos"))
+    found = bk.look_up(nested, grown(spark, sf), 8)
+    return found.select("chrom", "pos", F.size("pairs").cast("long").alias("pairs"), hp.alternates(F.col("bits")).alias("alts"))
+
+
 @query("s17_store_chroms", f"SELECT DISTINCT chrom FROM ({STORED}) s")
 def s17(spark, sf):
     return store.store_chroms(spark, built(spark, sf))
