@@ -17,6 +17,7 @@ from ..operators import hinge as hg
 from ..operators import observed as ob
 from ..operators import panel as pn
 from ..operators import pedigree as pg
+from ..operators import permutation as pm
 from ..operators import products as pr
 from ..operators import recombination as rc
 from ..operators import sampling as sm
@@ -828,6 +829,48 @@ def m1(spark, sf):
     return found.select("pair", "rep", *(F.get("founders", F.lit(k)).alias(f"f{k}") for k in range(3)), F.round("contam0", 9).alias("contam0"), F.round("contam1", 9).alias("contam1"), bits.alias("strands"))
 
 
+#: The same tree with founders of known sex.
+SEXED = pg.Tree((("f1", None, None, "male"), ("m1", None, None, "female"), ("w", None, None, "unknown"), *TREE.people[3:]), TREE.comparisons, TREE.number)
+
+
+def _permuted_sql(draws: dict[str, int], members: str, name: str) -> str:
+    """(pair, rep, sex, k, idx) of the k-th draws, by recursion over the walks through the network."""
+    inner = "SELECT *, x // wide AS h, x % wide AS l FROM walk WHERE NOT done"
+    for r in range(pm.ROUNDS):
+        u = lambda other: " ".join(f"WHEN sex = '{s}' THEN {{U:'founder-{s}{r}',pair,rep,{other}}}" for s in draws)  # noqa: B023, E731
+        inner = f"SELECT * REPLACE ((h + CAST(floor((CASE {u('l')} END) * high) AS BIGINT)) % high AS h) FROM ({inner}) r{r}" if r % 2 == 0 else f"SELECT * REPLACE ((l + CAST(floor((CASE {u('h')} END) * wide) AS BIGINT)) % wide AS l) FROM ({inner}) r{r}"
+    counts = " UNION ALL ".join(f"SELECT '{s}' AS sex, unnest(range({n})) AS k" for s, n in draws.items())
+    return f"""pool AS (SELECT 'unknown' AS sex, idx, row_number() OVER (ORDER BY sample) - 1 AS place FROM ({members}) m UNION ALL SELECT sex, idx, row_number() OVER (PARTITION BY sex ORDER BY sample) - 1 FROM ({members}) m WHERE sex <> 'unknown'),
+      grid AS (SELECT sex, n, w AS wide, CAST(ceil(n / w) AS BIGINT) AS high FROM (SELECT sex, count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS w FROM pool GROUP BY sex) g),
+      walk AS (SELECT pair, CAST(rep AS INT) AS rep, c.sex, k, CAST(k AS BIGINT) AS x, FALSE AS done, n, wide, high FROM (SELECT DISTINCT pair FROM $PAIRS p) z CROSS JOIN range({REPS}) r(rep) CROSS JOIN ({counts}) c JOIN grid g ON g.sex = c.sex
+        UNION ALL SELECT pair, rep, sex, k, h * wide + l, h * wide + l < n, n, wide, high FROM ({inner}) y),
+      {name} AS (SELECT w.pair, w.rep, w.sex, w.k, idx FROM walk w JOIN pool o ON o.sex = w.sex AND o.place = w.x WHERE done)"""
+
+
+PERMUTED = "WITH RECURSIVE " + _permuted_sql({"unknown": 3}, "SELECT sample, idx, 'unknown' AS sex FROM $INDEX i", "drawn") + " SELECT pair, rep, max(CASE WHEN k = 0 THEN idx END) AS f0, max(CASE WHEN k = 1 THEN idx END) AS f1, max(CASE WHEN k = 2 THEN idx END) AS f2 FROM drawn GROUP BY pair, rep"
+#: Members that may be drawn where suppliers of some nations are contaminants.
+DRAWABLE = "SELECT i.sample, idx, sex FROM $INDEX i JOIN $MEMBERS m ON m.sample = i.sample WHERE superpop <> 'ASIA'"
+PERMUTED_SEXED = "WITH RECURSIVE " + _permuted_sql({"male": 1, "female": 1, "unknown": 3}, DRAWABLE, "drawn") + """, known AS (SELECT pair, rep, max(CASE WHEN sex = 'male' THEN idx END) AS f0, max(CASE WHEN sex = 'female' THEN idx END) AS f1 FROM drawn WHERE sex <> 'unknown' GROUP BY pair, rep)
+  SELECT n.pair, n.rep, f0, f1, arg_min(idx, k) AS f2 FROM known n JOIN drawn d ON d.pair = n.pair AND d.rep = n.rep AND d.sex = 'unknown' AND idx <> f0 AND idx <> f1 GROUP BY n.pair, n.rep, f0, f1"""
+
+
+def founder_columns(found: DataFrame) -> DataFrame:
+    return found.select("pair", "rep", *(F.get("founders", F.lit(k)).alias(f"f{k}") for k in range(3)))
+
+
+@query("m1_permuted_founders", PERMUTED)
+def m1_permuted(spark, sf):
+    members = ad.adapter(spark, sf, "INDEX").withColumn("sex", F.lit("unknown"))
+    return founder_columns(pm.permuted_founders(pg.expand_replicates(sites(spark, sf).select("pair").distinct(), REPS), members, TREE, ad.SEED))
+
+
+@query("w3_sexed_founders", PERMUTED_SEXED)
+def w3_sexed(spark, sf):
+    people_ = ad.adapter(spark, sf, "MEMBERS")
+    members = ad.adapter(spark, sf, "INDEX").join(people_.select("sample", "sex"), "sample")
+    return founder_columns(pm.permuted_founders(pg.expand_replicates(sites(spark, sf).select("pair").distinct(), REPS), members, SEXED, ad.SEED, exclude=people_.filter("superpop = 'ASIA'")))
+
+
 def rates(spark: SparkSession, sf: str) -> DataFrame:
     return ad.adapter(spark, sf, "RATES")
 
