@@ -55,7 +55,8 @@ def hinge(points: Column) -> Column:
         # Slope 0 costs at most 2 COST for each point of the rarer class, so no larger slope can be best.
         most = F.sqrt(4 * COST * F.least(c["p"], c["n"] - c["p"])) + 1
         ends = F.aggregate(F.sequence(F.lit(1), F.lit(BRACKETS)), F.struct((-most).alias("lo"), most.alias("hi")), thirds)
-        slope = _let(ends, lambda e: (e["lo"] + e["hi"]) / 2)
+        # The loss has a kink at 0, where classes that overlap have their minimum: that is a slope of 0 and no small number.
+        slope = _let(_let(ends, lambda e: (e["lo"] + e["hi"]) / 2), lambda w: F.when(loss(F.lit(0.0)) <= loss(w), F.lit(0.0)).otherwise(w))
         both = _let(slope, lambda w: F.struct(w.alias("slope"), balance(points, c["p"], w).alias("intercept")))
         alone = F.when(c["p"] > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
         return F.when((c["p"] > 0) & (c["p"] < c["n"]), both).otherwise(F.struct(F.lit(0.0).alias("slope"), alone.alias("intercept")))

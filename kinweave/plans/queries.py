@@ -979,7 +979,8 @@ def _hinge_sql() -> str:
         SELECT pair, threshold, k, i + 1, CASE WHEN f1 < f2 THEN lo ELSE m1 END, CASE WHEN f1 < f2 THEN m2 ELSE hi END
         FROM (SELECT v.*, m1 * m1 / 2 + {hg.COST}e0 * list_sum(list_transform(pts, lambda p: greatest(0e0, 1 - p.y * (m1 * p.x + b1)))) AS f1, m2 * m2 / 2 + {hg.COST}e0 * list_sum(list_transform(pts, lambda p: greatest(0e0, 1 - p.y * (m2 * p.x + b2)))) AS f2
           FROM (SELECT u.*, {balance('m1')} AS b1, {balance('m2')} AS b2 FROM (SELECT r.*, pts, pos, lo + (hi - lo) / 3 AS m1, hi - (hi - lo) / 3 AS m2 FROM bracket r JOIN sets s ON s.pair = r.pair AND s.threshold = r.threshold AND s.k = r.k WHERE i < {hg.BRACKETS}) u) v) x),
-      models AS MATERIALIZED (SELECT pair, threshold, k, w, {balance('w')} AS b FROM (SELECT r.pair, r.threshold, r.k, (lo + hi) / 2 AS w, pts, pos FROM bracket r JOIN sets s ON s.pair = r.pair AND s.threshold = r.threshold AND s.k = r.k WHERE i = {hg.BRACKETS}) m),
+      models AS MATERIALIZED (SELECT pair, threshold, k, w, {balance('w')} AS b FROM (SELECT pair, threshold, k, pts, pos, CASE WHEN {hg.COST}e0 * list_sum(list_transform(pts, lambda p: greatest(0e0, 1 - p.y * b0))) <= w * w / 2 + {hg.COST}e0 * list_sum(list_transform(pts, lambda p: greatest(0e0, 1 - p.y * (w * p.x + b)))) THEN 0e0 ELSE w END AS w
+        FROM (SELECT *, {balance('w')} AS b, {balance('0e0')} AS b0 FROM (SELECT r.pair, r.threshold, r.k, (lo + hi) / 2 AS w, pts, pos FROM bracket r JOIN sets s ON s.pair = r.pair AND s.threshold = r.threshold AND s.k = r.k WHERE i = {hg.BRACKETS}) m1) m2) m),
       sizes AS (SELECT pair, threshold, count(*) FILTER (WHERE y > 0) AS p, count(*) FILTER (WHERE y < 0) AS q FROM targets GROUP BY pair, threshold),
       held AS MATERIALIZED (SELECT t.pair, t.threshold, w * x + b AS f, CASE WHEN y > 0 THEN (p + 1e0) / (p + 2e0) ELSE 1 / (q + 2e0) END AS t FROM targets t JOIN models m ON m.pair = t.pair AND m.threshold = t.threshold AND m.k = t.fold JOIN sizes z ON z.pair = t.pair AND z.threshold = t.threshold),
       s0 AS (SELECT pair, threshold, 0e0 AS a, ln((q + 1e0) / (p + 1e0)) AS c FROM sizes), """ + ", ".join(
