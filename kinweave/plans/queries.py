@@ -20,6 +20,7 @@ from ..operators import pedigree as pg
 from ..operators import permutation as pm
 from ..operators import products as pr
 from ..operators import recombination as rc
+from ..operators import registry as rg
 from ..operators import sampling as sm
 from ..sources import buckets as bk
 from ..sources import readers as rd
@@ -414,6 +415,56 @@ def s19(spark, sf):
     return tree_rows(spark, sf, lines.unionAll(born.select(F.col("k") + 2 * 10**9, call(F.concat(F.lit("child"), (F.col("k") % 5).cast("string")), "compare", F.col("fid"), F.col("iid")))))
 
 
+#: People of every customer: one large family whose generations halve, lines of 200 with one parent known, and families of
+#: 40, of which each seventh holds a circle. Some parents aren't listed, some people are listed twice.
+REGISTRY = """SELECT CASE k % 3 WHEN 0 THEN 'large' WHEN 1 THEN 'line' || CAST(k // 600 AS VARCHAR) ELSE 'small' || CAST(k // 120 AS VARCHAR) END AS family, 'C' || CAST(k AS VARCHAR) AS iid,
+    'C' || CAST(CASE WHEN k % 3 = 0 AND k // 3 > 1 THEN 3 * (k // 6) WHEN k % 3 = 1 AND k % 600 > 2 THEN k - 3 WHEN k % 3 = 2 AND k // 120 % 7 = 3 AND k // 3 % 40 = 1 THEN k + 6 WHEN k % 3 = 2 AND k // 3 % 40 > 0 THEN 3 * (k // 120 * 40 + k // 3 % 40 // 2) + 2 END AS VARCHAR) AS fid,
+    'C' || CAST(CASE WHEN k % 3 = 0 AND k // 3 > 2 THEN 3 * (k // 9) WHEN k % 3 = 2 AND k // 3 % 40 > 2 THEN 3 * (k // 120 * 40 + k // 3 % 40 // 3) + 2 WHEN k % 211 = 0 THEN k + 1 END AS VARCHAR) AS mid,
+    CASE c_nationkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'unknown' END AS sex
+    FROM (SELECT c_custkey AS k, c_nationkey FROM customer) c"""
+TWICE = f"SELECT * FROM ({REGISTRY}) r UNION ALL SELECT family, iid, mid, fid, sex FROM ({REGISTRY}) r WHERE iid LIKE '%77'"
+
+
+def registry_files(spark: SparkSession, sf: str) -> str:
+    """The people of TWICE as lines, a broken one for every thousandth customer among them."""
+    customers = spark.read.parquet(f"{sf}/customer.parquet")
+    rows = spark.sql(TWICE.replace("//", "DIV").replace("AS VARCHAR", "AS STRING").replace("FROM customer", "FROM {customer}"), customer=customers)
+    zero = lambda c: F.coalesce(F.col(c), F.lit("0"))
+    text = rows.select(F.concat_ws("\t", "family", "iid", zero("fid"), zero("mid"), "sex", F.lit("-9  # no trait")).alias("value"))
+    broken = customers.filter("c_custkey % 1000 = 1").select(F.concat(F.lit("lost C"), "c_custkey"))
+    return written(text.unionAll(broken), "registry")[1]
+
+
+@query("s18_registry", TWICE)
+def s18_registry(spark, sf):
+    return rd.read_registry(spark, registry_files(spark, sf))
+
+
+@query("s18_registry_rejects", "SELECT 'lost C' || CAST(c_custkey AS VARCHAR) AS line FROM customer WHERE c_custkey % 1000 = 1")
+def s18_registry_rejects(spark, sf):
+    return rd.rejected_registry_lines(spark, registry_files(spark, sf))
+
+
+@query(
+    "s18_generations",
+    f"""WITH RECURSIVE people AS (SELECT family, iid, fid, mid, n > 1 AS conflict FROM (SELECT *, row_number() OVER (PARTITION BY family, iid ORDER BY fid NULLS FIRST, mid NULLS FIRST) AS nth,
+        count(*) OVER (PARTITION BY family, iid) AS n FROM (SELECT DISTINCT family, iid, fid, mid FROM ({TWICE}) t) d) z WHERE nth = 1),
+      named AS (SELECT family, iid, unnest([fid, mid]) AS parent FROM people),
+      links AS (SELECT DISTINCT n.family, n.iid, n.parent FROM named n JOIN people p ON p.family = n.family AND p.iid = n.parent),
+      above AS (SELECT family, iid, parent FROM links UNION SELECT a.family, a.iid, l.parent FROM above a JOIN links l ON l.family = a.family AND l.iid = a.parent),
+      own AS (SELECT family, iid FROM above WHERE iid = parent),
+      circles AS (SELECT family, iid FROM own UNION SELECT a.family, a.iid FROM above a JOIN own o ON o.family = a.family AND o.iid = a.parent),
+      sound AS (SELECT l.* FROM links l ANTI JOIN circles c ON c.family = l.family AND c.iid = l.iid),
+      walk AS (SELECT p.family, p.iid, CAST(0 AS BIGINT) AS d FROM people p UNION SELECT s.family, s.iid, w.d + 1 FROM walk w JOIN sound s ON s.family = w.family AND s.parent = w.iid),
+      depth AS (SELECT family, iid, max(d) AS d FROM walk GROUP BY family, iid),
+      unlisted AS (SELECT DISTINCT n.family, n.iid FROM named n ANTI JOIN people p ON p.family = n.family AND p.iid = n.parent WHERE n.parent IS NOT NULL)
+      SELECT p.family, p.iid, CASE WHEN c.iid IS NULL THEN d.d END AS generation, CASE WHEN c.iid IS NOT NULL THEN 'circle' WHEN conflict THEN 'conflict' WHEN u.iid IS NOT NULL THEN 'unlisted' END AS error
+      FROM people p JOIN depth d ON d.family = p.family AND d.iid = p.iid LEFT JOIN circles c ON c.family = p.family AND c.iid = p.iid LEFT JOIN unlisted u ON u.family = p.family AND u.iid = p.iid""",
+)
+def s18_generations(spark, sf):
+    return rg.generations(rd.read_registry(spark, registry_files(spark, sf)))
+
+
 @query("s25_no_overwrite", PWD_TEXT.replace("SELECT pair AS pair_name", "SELECT TRUE AS refused, pair AS pair_name"))
 def s25(spark, sf):
     summary = ob.pair_summary(sites(spark, sf))

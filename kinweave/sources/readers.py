@@ -269,3 +269,23 @@ def _sections(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = F.row_number().over(W.orderBy("at")) - 1
     cmp = lines.filter("section = 'COMPARISONS'").select(order.alias("ord"), call("compare", 1).alias("label"), call("compare", 2).alias("i0"), call("compare", 3).alias("i1"))
     return named.join(born, "iid", "left").withColumn("sex", F.lit("unknown")), cmp
+
+
+def _registry_lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).select("value", F.trim(F.regexp_replace("value", "#.*$", "")).alias("line")).filter("line <> ''")
+    return lines.select("value", F.split("line", r"\s+").alias("f"))
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """(family, iid, fid, mid, sex) of files with a line for each person: family, person, father, mother (0: unknown) and,
+    where they are told, sex and more columns. Lines are read on their own, in any number of files and tasks. A line with
+    less than four fields is left out here and found by ``rejected_registry_lines``."""
+    f = F.col("f")
+    parent = lambda i: F.when(f[i] != "0", f[i])
+    rows = _registry_lines(spark, path).filter(F.size("f") > 3)
+    return rows.select(f[0].alias("family"), f[1].alias("iid"), parent(2).alias("fid"), parent(3).alias("mid"), sex(F.coalesce(F.get(f, F.lit(4)), F.lit(""))).alias("sex"))
+
+
+def rejected_registry_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line): the lines that ``read_registry`` can't read."""
+    return _registry_lines(spark, path).filter(F.size("f") < 4).select(F.col("value").alias("line"))
