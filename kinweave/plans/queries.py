@@ -142,6 +142,29 @@ def s3(spark, sf):
     return rd.read_targets(*written(rows, "targets"), kind="tsv")
 
 
+#: The targets as each kind of file; the chromosomes of the ``.snp`` file include 23. Every second line comes again with
+#: other alleles after the first one.
+KINDS = {"snp": "rs1 {chrom} 0.0 {pos} {ref} {alt}", "vcf": "{chrom}\t{pos}\t.\t{ref}\t{alt}\t100\tPASS", "csv": "chr{chrom},{pos},{ref},{alt}", "txt": "{chrom}  {pos} {ref}\t{alt}"}
+
+
+@query(
+    "s3_target_kinds",
+    "SELECT kind, CASE WHEN kind = 'snp' AND chrom = 22 THEN 88 ELSE chrom END AS chrom, pos, ref, alt FROM $TARGETS t CROSS JOIN (SELECT unnest(['snp', 'vcf', 'csv', 'txt']) AS kind) k",
+)
+def s3_kinds(spark, sf):
+    targets, found = ad.adapter(spark, sf, "TARGETS"), None
+    for kind, form in KINDS.items():
+        chrom = F.when(F.lit(kind == "snp") & (F.col("chrom") == 22), 23).otherwise(F.col("chrom"))
+        line, again = F.lit(form), F.when(F.col("pos") % 2 == 0, F.lit(form)).otherwise(F.lit("# a comment"))
+        for name, value in (("chrom", chrom.cast("string")), ("pos", F.col("pos").cast("string")), ("ref", F.lower("ref")), ("alt", F.col("alt"))):
+            cell = F.lit("{" + name + "}")
+            line, again = F.replace(line, cell, value), F.replace(again, cell, F.lit("N") if name in ("ref", "alt") else value)
+        lines = targets.select(F.explode(F.array(line, again)).alias("value"))
+        one = rd.read_targets(*written(lines, "targets"), kind=kind).select(F.lit(kind).alias("kind"), "*")
+        found = one if found is None else found.unionAll(one)
+    return found
+
+
 @query("s4_panel", "SELECT sample, grp, sex FROM $PANEL p")
 def s4(spark, sf):
     return rd.read_panel(*written(panel_text(spark, sf), "panel"))
@@ -404,6 +427,17 @@ def s18(spark, sf):
     return tree_rows(spark, sf, head.unionAll(people_).unionAll(pairs))
 
 
+@query("s18_pedigree_columns", TREE_SQL.format(sex="'unknown'", family=FAMILY, related=RELATED).replace("'person'", "'three'", 1) + f" UNION ALL SELECT 'six', iid, fid, mid, sex FROM ({FAMILY}) g")
+def s18_columns(spark, sf):
+    """Definitions without a header: three columns with comparisons, and six columns."""
+    f = family(spark, sf)
+    zero = lambda c: F.coalesce(F.col(c), F.lit("0"))
+    pairs = f.filter("fid IS NOT NULL").select(F.col("k") + 10**9, F.concat_ws(" ", F.lit("compare"), F.concat(F.lit("child"), (F.col("k") % 5).cast("string")), "fid", "iid"))
+    three = tree_rows(spark, sf, f.select(F.col("k").alias("at"), F.concat_ws("\t", "iid", zero("fid"), zero("mid")).alias("value")).unionAll(pairs))
+    six = tree_rows(spark, sf, f.select(F.col("k").alias("at"), F.concat_ws(" ", F.lit("fam"), "iid", zero("fid"), zero("mid"), "sex", F.lit("-9")).alias("value")))
+    return three.withColumn("kind", F.when(F.col("kind") == "person", "three").otherwise(F.col("kind"))).unionAll(six.withColumn("kind", F.lit("six")))
+
+
 @query("s19_pedigree_sections", TREE_SQL.format(sex="'unknown'", family=FAMILY, related=RELATED))
 def s19(spark, sf):
     f = family(spark, sf)
@@ -602,9 +636,18 @@ def f10(spark, sf):
     return rounded(ob.pair_summary(corrected(spark, sf)))
 
 
-@query("f13_comparable_sites", "SELECT chrom, pos, count(*) AS n_pairs FROM $PAIRS p GROUP BY chrom, pos")
+@query(
+    "f13_comparable_sites",
+    """SELECT p.chrom, p.pos, p.n_pairs, o.cells AS depths FROM (SELECT chrom, pos, count(*) AS n_pairs FROM $PAIRS p GROUP BY chrom, pos) p
+      JOIN (SELECT chrom, pos, concat_ws(' ', count(*) FILTER (sample = 0), count(*) FILTER (sample = 1), count(*) FILTER (sample = 2), count(*) FILTER (sample = 3)) AS cells FROM $READS r GROUP BY chrom, pos) o ON p.chrom = o.chrom AND p.pos = o.pos""",
+)
 def f13(spark, sf):
-    return ob.filter_sites(ad.adapter(spark, sf, "TARGETS").select("chrom", "pos"), sites(spark, sf))
+    """The lines' own text is kept: of it, the depths of the four samples."""
+    lines = spark.read.text(written(pileup_text(spark, sf), "pileup")[1])
+    parsed = lines.select(F.split("value", "\t").alias("f"), "value").select(sc.chrom_id(F.col("f")[0]).alias("chrom"), F.col("f")[1].cast("long").alias("pos"), "value")
+    kept = ob.filter_sites(parsed, sites(spark, sf))
+    f = F.split("value", "\t")
+    return kept.select("chrom", "pos", "n_pairs", F.concat_ws(" ", *(f[3 + 3 * i] for i in range(len(SAMPLES)))).alias("depths"))
 
 
 @query("f14_samples", "SELECT chrom, pos, sample, count(*) AS n FROM $OBS o WHERE sample IN (1, 3) GROUP BY chrom, pos, sample")
