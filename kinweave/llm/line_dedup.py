@@ -10,13 +10,15 @@ of its probes, known from the counts, so that a line that a third of all documen
 
 A null or empty text is one empty line. Rows count as documents: rows that repeat an id count each, and the line stays
 in every row with the largest id. Null ids count as documents but never keep a line that another one holds; what is
-found for a row goes back to it by id and text hash, so that rows without an id share nothing.
+found for a row goes back to it by id and text hash, so that rows without an id share nothing. Rows of one batch that
+agree in id and text probe once, with their number, so that no replica gets a row for each of many such rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,8 @@ STRIPPED = " \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Keys in a shard, and probes of one replica of it, at most on average.
 SHARD_KEYS, SHARD_PROBES = 50_000, 100_000
+#: Stands for no id where arrays need a number; whether there is one is told apart.
+NO_ID = -(2**63)
 
 
 def line_hash(line: str, least: int) -> bytes | None:
@@ -93,9 +97,11 @@ def _build_shard(key: tuple, table: pa.Table) -> pa.Table:
     pairs = _pairs(table.column("hash"))
     words, sizes = PerfectHash.build(pairs)
     at = PerfectHash(words, sizes).index(pairs)
-    arrays = [np.empty(len(at), t) for t in (np.uint64, np.uint32, np.int64)]
-    counts = np.minimum(table.column("n").to_numpy(), np.iinfo(np.uint32).max)
-    for array, values in zip(arrays, (pairs[:, 1], counts, table.column("keeper").to_numpy()), strict=True):
+    arrays = [np.empty(len(at), t) for t in (np.uint64, np.int32, np.int64)]
+    keeper = table.column("keeper").combine_chunks()
+    # A count is negative where no document with the line has an id.
+    counts = np.minimum(table.column("n").to_numpy(), np.iinfo(np.int32).max) * np.where(keeper.is_valid().to_numpy(zero_copy_only=False), 1, -1)
+    for array, values in zip(arrays, (pairs[:, 1], counts, keeper.fill_null(NO_ID).to_numpy()), strict=True):
         array[at] = values
     row = [[key[0].as_py()], [0], *([x.tobytes()] for x in (words, sizes, *arrays))]
     return pa.table([pa.array(row[0], pa.int32()), pa.array(row[1], pa.int32()), *(pa.array(x, pa.binary()) for x in row[2:])], names=[f.split()[0] for f in SHARD.split(", ")])
@@ -106,18 +112,17 @@ def _probe(probes: pa.Table, shard: pa.Table, least_docs: int) -> pa.Table:
     names = ["id", "t", "hash"]
     if not probes.num_rows or not shard.num_rows:
         return probes.select(names).slice(0, 0)
-    kinds = (("words", np.uint64), ("sizes", np.int64), ("prints", np.uint64), ("counts", np.uint32), ("keepers", np.int64))
+    kinds = (("words", np.uint64), ("sizes", np.int64), ("prints", np.uint64), ("counts", np.int32), ("keepers", np.int64))
     words, sizes, prints, counts, keepers = (np.frombuffer(shard.column(c)[0].as_py(), t) for c, t in kinds)
     pairs = _pairs(probes.column("hash"))
     at = PerfectHash(words, sizes).index(pairs)
-    own = probes.column("id").combine_chunks().fill_null(NO_ID).to_numpy()
-    drop = (at >= 0) & (prints[at] == pairs[:, 1]) & (counts[at] >= least_docs) & (keepers[at] != own)
+    ids = probes.column("id").combine_chunks()
+    named = ids.is_valid().to_numpy(zero_copy_only=False)
+    keeps = (keepers[at] == ids.fill_null(NO_ID).to_numpy()) & (named == (counts[at] > 0))
+    drop = (at >= 0) & (prints[at] == pairs[:, 1]) & (np.abs(counts[at]) >= least_docs) & ~keeps
     return probes.select(names).filter(pa.array(drop))
 
 
-NO_ID = -(2**63)
-
-
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS
 ) -> DataFrame:
@@ -128,17 +133,22 @@ def dedup_lines(
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                at, found = [], []
-                for i, t in enumerate(batch.column("text").to_pylist()):
-                    own = {h for line in (t or "").split("\n") if (h := line_hash(line, least_chars))}
-                    at += [i] * len(own)
-                    found += own
+                at, found, rows_ = [], [], []
+                same = list(zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), strict=True))
+                times = Counter(same)
+                for i, (own_key, t) in enumerate(zip(same, batch.column("text").to_pylist(), strict=True)):
+                    if c := times.pop(own_key, 0):
+                        own = {h for line in (t or "").split("\n") if (h := line_hash(line, least_chars))}
+                        at += [i] * len(own)
+                        found += own
+                        rows_ += [c] * len(own)
                 which = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(which), batch.column("t").take(which), pa.array(found, pa.binary())], names=["id", "t", "hash"])
+                columns = [batch.column("id").take(which), batch.column("t").take(which), pa.array(found, pa.binary()), pa.array(rows_, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "t", "hash", "c"])
 
-    lines = rows.mapInArrow(hashed, "id long, t long, hash binary")
+    lines = rows.mapInArrow(hashed, "id long, t long, hash binary, c long")
     seen = Observation()
-    counted = lines.groupBy("hash").agg(F.count("*").alias("n"), F.coalesce(F.max("id"), F.lit(NO_ID)).alias("keeper"))
+    counted = lines.groupBy("hash").agg(F.sum("c").alias("n"), F.max("id").alias("keeper"))
     distinct = materialise(counted.observe(seen, F.sum("n").alias("probes"), F.count("*").alias("keys")), "lines")
     shards = max(1, math.ceil(seen.get["keys"] / SHARD_KEYS), math.ceil((seen.get["probes"] or 0) / SHARD_PROBES))
     shard_of = F.pmod(F.xxhash64("hash"), F.lit(shards)).cast("int")
@@ -150,7 +160,7 @@ def dedup_lines(
     replicated = lambda df: df.join(loads, "shard", "left").fillna(1, "replicas") if hot else df.withColumn("replicas", F.lit(1))
     arrays = replicated(dealt.groupBy("shard").applyInArrow(_build_shard, SHARD).drop("replica"))
     arrays = arrays.select("shard", F.explode(F.sequence(F.lit(0), F.col("replicas") - 1)).alias("replica"), *ARRAYS)
-    probes = replicated(lines.withColumn("shard", shard_of)).withColumn("replica", F.pmod(F.xxhash64("id", "t"), F.col("replicas")).cast("int"))
+    probes = replicated(lines.drop("c").withColumn("shard", shard_of)).withColumn("replica", F.pmod(F.xxhash64("id", "t"), F.col("replicas")).cast("int"))
     probes = probes.select("id", "t", "hash", "shard", "replica")
     together = probes.groupBy("shard", "replica").cogroup(arrays.groupBy("shard", "replica"))
     found = together.applyInArrow(lambda mine, shard: _probe(mine, shard, least_docs), "id long, t long, hash binary")

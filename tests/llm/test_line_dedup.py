@@ -37,6 +37,16 @@ def test_against_plain(spark, monkeypatch, bounds):
     assert sorted(map(tuple, ld.dedup_lines(docs).collect()), key=repr) == plain(own)
 
 
+def test_rows_without_id_that_agree(spark):
+    """They count each, but probe once a batch."""
+    common = "a line that is long enough and in every one of the rows"
+    own = [(None, common + "\nshort")] * 3000 + [(7, common)] * 3 + [(8, common + "\n" + common), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t) for i, t in own], "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ld.dedup_lines(docs).collect()), key=repr) == plain(own)
+    for some in ([(None, common)] * 6, [(None, common)] * 6 + [(-(2**63), common)], [(-(2**63), common)] * 3 + [(-(2**63) + 1, common)] * 2):
+        assert sorted(map(tuple, ld.dedup_lines(spark.createDataFrame(some, "doc_id long, text string")).collect()), key=repr) == plain(some)
+
+
 def test_empty(spark):
     assert ld.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
