@@ -21,8 +21,8 @@ def block_grid(genome: DataFrame, size: int = SIZE) -> DataFrame:
 
 def block_summary(sites: DataFrame, genome: DataFrame, size: int = SIZE) -> DataFrame:
     """(pair, chrom, start, end, sites, pwd) for every pair and block of the grid. The block of a site is arithmetic; the
-    genome (a few dozen rows) is the only thing joined to the sites."""
-    placed = sites.join(F.broadcast(genome), "chrom").withColumn("start", block_start(F.col("pos"), F.col("length"), size))
+    genome (a few dozen rows) is the only thing joined to the sites. Sites beyond a chromosome's end are in no block."""
+    placed = sites.join(F.broadcast(genome), "chrom").withColumn("start", block_start(F.col("pos"), F.col("length"), size)).filter("start IS NOT NULL")
     sums = placed.groupBy("pair", "chrom", "start").agg(F.count("*").alias("sites"), F.sum("pwd").alias("pwd"))
     pairs = sites.select("pair").distinct()
     grid = pairs.join(F.broadcast(block_grid(genome, size)), F.lit(True))
@@ -35,8 +35,8 @@ def jackknife_blocks(blocks: DataFrame) -> DataFrame:
     totals = blocks.groupBy("pair").agg(F.sum("sites").alias("n"), F.sum("pwd").alias("total"))
     both = blocks.filter("sites > 0").join(totals, "pair")
     h, theta = F.col("n") / F.col("sites"), F.col("total") / F.col("n")
-    rest = F.when(F.col("n") > F.col("sites"), (F.col("total") - F.col("pwd")) / (F.col("n") - F.col("sites")))
-    value = F.when(F.col("n") == F.col("sites"), F.lit(float("nan"))).otherwise(h * theta - (h - 1) * rest)
+    rest = F.when(F.col("n") > F.col("sites"), (h - 1) * (F.col("total") - F.col("pwd")) / (F.col("n") - F.col("sites")))
+    value = F.when(F.col("n") == F.col("sites"), F.lit(float("nan"))).otherwise(h * theta - rest)
     return both.select("pair", "chrom", "start", h.alias("hj"), value.alias("theta_j"))
 
 

@@ -72,7 +72,8 @@ class PairSums:
 def pair_products(obs: DataFrame, samples: DataFrame, genome: DataFrame | None = None, size: int = SIZE, self_comparison: bool = False) -> DataFrame:
     """(pair, s0, s1, [chrom, start,] overlap, sum_pwd, sum_squares, sum_phred): sums over the sites where both samples
     have their least depth, per pair, or with a genome per pair and block. ``samples``: (sample, name, min_depth), one row
-    each; ``self_comparison`` adds each sample's own pair. A table without reads gives no rows."""
+    each; ``self_comparison`` adds each sample's own pair. A table without reads gives no rows. Sites that lie in no block of
+    the genome are summed with ``start`` null."""
     chosen = sorted((r["sample"], r["min_depth"]) for r in samples.collect()) or [(-1, 0)]
     known = np.array([s for s, _ in chosen], np.int64)
     depth = np.array([d for _, d in chosen], np.int64)
@@ -81,7 +82,7 @@ def pair_products(obs: DataFrame, samples: DataFrame, genome: DataFrame | None =
     if not by_block:
         placed = placed.withColumn("start", F.lit(0).cast("long"))
     else:
-        placed = placed.join(F.broadcast(genome.select("chrom", "length")), "chrom").withColumn("start", block_start(F.col("pos"), F.col("length"), size))
+        placed = placed.join(F.broadcast(genome.select("chrom", "length")), "chrom", "left").withColumn("start", F.coalesce(block_start(F.col("pos"), F.col("length"), size), F.lit(0).cast("long")))
     keys = ["chrom", "start", "stretch"] if by_block else ["chrom", "stretch"]
     code = F.instr(F.lit("".join(BASES)), F.col("base")) - 1
     ordered = placed.repartition(*keys).sortWithinPartitions(*keys, "pos")
@@ -142,7 +143,7 @@ def pair_products(obs: DataFrame, samples: DataFrame, genome: DataFrame | None =
     named = merged.join(name(0), "s0").join(name(1), "s1")
     kind = dict(obs.dtypes)["sample"]
     out = [pair_label(F.col("name0"), F.col("name1")).alias("pair"), *(F.col(c).cast(kind).alias(c) for c in ("s0", "s1"))]
-    return named.select(*out, *([F.col("chrom").cast(dict(obs.dtypes)["chrom"]).alias("chrom"), "start"] if by_block else []), *SUMS)
+    return named.select(*out, *([F.col("chrom").cast(dict(obs.dtypes)["chrom"]).alias("chrom"), F.nullif("start", F.lit(0)).alias("start")] if by_block else []), *SUMS)
 
 
 def product_summary(products: DataFrame) -> DataFrame:

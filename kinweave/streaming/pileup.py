@@ -74,5 +74,5 @@ def running_summary(pairs: DataFrame) -> DataFrame:
 
 
 def running_blocks(pairs: DataFrame, genome: DataFrame, size: int = 1_000_000) -> DataFrame:
-    placed = pairs.join(F.broadcast(genome), "chrom").withColumn("start", block_start(F.col("pos"), F.col("length"), size))
+    placed = pairs.join(F.broadcast(genome), "chrom").withColumn("start", block_start(F.col("pos"), F.col("length"), size)).filter("start IS NOT NULL")
     return placed.groupBy("pair", "chrom", "start").agg(F.count("*").alias("sites"), F.sum("pwd").alias("pwd"))
