@@ -9,7 +9,23 @@ GUARD = "errorifexists"
 
 
 def fixed(column: str, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.col(column).cast("double"))
+    """A double's exact value to so many digits, halves to the even digit, as C prints it; Java's formatter rounds the
+    shortest decimal, halves up. The product with 10^digits is the sum of two exact parts."""
+    x, unit = F.col(column).cast("double"), 10**digits
+    size = F.abs(x)
+    upper = size * float(2**27 + 1) - (size * float(2**27 + 1) - size)
+    high, low = upper * float(unit), (size - upper) * float(unit)
+    whole = F.floor(high) + F.floor(low)
+    a, b = high - F.floor(high), low - F.floor(low)
+    # a + b is below 2; their sum might be rounded, the distance from a to a half isn't.
+    more = F.lit(0)
+    for k in (0, 1):
+        more = F.when(b > k + 0.5 - a, k + 1).when(b == k + 0.5 - a, k + (whole + k) % 2).otherwise(more)
+    n = whole + more
+    # The last digits are split off the decimal text, so that nothing is divided.
+    text = F.lpad(n.cast("string"), 20, "0")
+    exact = F.concat(F.when(x < 0, "-").otherwise(""), F.regexp_replace(F.substring(text, 1, 20 - digits), "^0+(?=.)", ""), F.lit("." if digits else ""), F.substring(text, 21 - digits, digits))
+    return F.when(size < 1e18 / unit, exact).otherwise(F.format_string(f"%.{digits}f", x))
 
 
 def _write(df: DataFrame, path: str, mode: str, by: str | None = None) -> None:
