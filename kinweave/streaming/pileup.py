@@ -51,13 +51,15 @@ def first_lines(pairs: DataFrame) -> DataFrame:
     return pairs.dropDuplicates(["pair", "chrom", "pos"])
 
 
-#: Seconds of event time that a chromosome takes; more than any has bases.
-CHROM_SPAN = 1 << 29
+#: Milliseconds of event time that a chromosome takes; more than any has bases.
+CHROM_SPAN = 1 << 36
 
 
 def coordinate_time(chrom: Column, pos: Column) -> Column:
-    """A coordinate as event time: a base is a second, chromosomes follow each other."""
-    return F.timestamp_seconds(chrom.cast("long") * CHROM_SPAN + pos)
+    """A coordinate as event time: a base is a millisecond, chromosomes follow each other. A position beyond the span
+    would be taken for one on the next chromosome, so it fails."""
+    within = F.when(pos < CHROM_SPAN, pos).otherwise(F.raise_error(F.concat_ws(":", F.lit("position beyond the span of a chromosome"), chrom, pos)).cast("long"))
+    return F.timestamp_millis(chrom.cast("long") * CHROM_SPAN + within)
 
 
 def first_lines_within(pairs: DataFrame, disorder: int) -> DataFrame:
@@ -65,7 +67,7 @@ def first_lines_within(pairs: DataFrame, disorder: int) -> DataFrame:
     its pair and coordinate came before it; it may lie up to ``disorder`` bases behind the furthest line of the batches
     before its own (in any order within a batch). A line further behind is left out, and counted in the progress report
     as ``numRowsDroppedByWatermark``. State is a row for each pair and site within that stretch."""
-    timed = pairs.withColumn("__at", coordinate_time(F.col("chrom"), F.col("pos"))).withWatermark("__at", f"{disorder} seconds")
+    timed = pairs.withColumn("__at", coordinate_time(F.col("chrom"), F.col("pos"))).withWatermark("__at", f"{disorder} milliseconds")
     return timed.dropDuplicatesWithinWatermark(["pair", "chrom", "pos"]).drop("__at")
 
 
