@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import scratch, stored
 
 KEY = ("family", "iid")
-POINTERS = "array<struct<to string, w bigint>>"
-#: Of people who are settled.
-ENDS = "size(ptrs) = 0 OR circle"
+#: A person's number, base, the numbers of up to two people that they point at and how far up these are.
+STATE = "id long, unlisted boolean, circle boolean, base long, p long, pw long, q long, qw long, kind int"
+SETTLED, SINGLE, DOUBLE = 0, 1, 2
 
 
 def _once(people: DataFrame) -> DataFrame:
@@ -21,52 +21,47 @@ def _once(people: DataFrame) -> DataFrame:
 
 
 def _pointed(once: DataFrame) -> DataFrame:
-    """(family, iid, conflict, unlisted, base, ptrs, circle): pointers to the parents that are listed, each one step up."""
+    """STATE without ``kind``: pointers to the parents that are listed, each one step up."""
     parents = F.array_compact(F.array_distinct(F.array("parents.fid", "parents.mid")))
-    links = once.select(*KEY, "conflict", F.explode_outer(parents).alias("to"))
-    listed = once.select("family", F.col("iid").alias("to"), F.lit(1).alias("listed"))
-    met = links.join(listed, ["family", "to"], "left")
-    step = F.when(F.col("listed") == 1, F.struct("to", F.lit(1).cast("long").alias("w")))
-    unlisted = F.bool_or(F.col("to").isNotNull() & F.col("listed").isNull())
-    return met.groupBy(*KEY).agg(
-        F.bool_or("conflict").alias("conflict"), unlisted.alias("unlisted"), F.lit(0).cast("long").alias("base"), F.array_sort(F.collect_list(step)).alias("ptrs"), F.lit(False).alias("circle")
-    )
-
-
-def _links(rows: DataFrame) -> DataFrame:
-    return rows.select(*KEY, "conflict", "unlisted", "base", F.explode("ptrs").alias("p")).select(*KEY, "conflict", "unlisted", "base", "p.to", "p.w")
-
-
-def _met(met: DataFrame, base: Column, step: Column, circle: Column) -> DataFrame:
-    """Pointers gathered to their people again; ``step`` is null where one is done with."""
-    found = met.groupBy(*KEY).agg(
-        F.bool_or("conflict").alias("conflict"), F.bool_or("unlisted").alias("unlisted"), F.max(base).alias("base"), F.array_sort(F.collect_list(step)).alias("ptrs"), F.bool_or(circle).alias("circle")
-    )
-    # Two pointers to one person: the heavier one says all.
-    same = (F.size("ptrs") == 2) & (F.get("ptrs", F.lit(0))["to"] == F.get("ptrs", F.lit(1))["to"])
-    return found.withColumn("ptrs", F.when(same, F.slice("ptrs", 2, 1)).otherwise(F.col("ptrs")).cast(POINTERS))
-
-
-def _told(open_: DataFrame, closed: DataFrame) -> DataFrame:
-    """The people of open_ after those of ``closed`` have told what they are; their pointers are gone."""
-    view = closed.select("family", F.col("iid").alias("to"), F.col("base").alias("up"), F.col("circle").alias("lost"))
-    met = _links(open_).join(view, ["family", "to"], "left")
-    known = F.col("lost").isNotNull()
-    return _met(met, F.greatest("base", F.when(known, F.col("up") + F.col("w"))), F.when(~known, F.struct("to", "w")), F.coalesce("lost", F.lit(False)))
-
-
-def _jump(open_: DataFrame, limit: int) -> DataFrame:
-    """A person's generation is the largest of ``base`` and, for each pointer, the generation it points to plus its weight.
-    Who is pointed to and has one pointer is put in its place, so that lines double their reach; a pointer to somebody
-    with two of them takes their base and waits, as does one to somebody who has none any more."""
-    view = open_.select("family", F.col("iid").alias("to"), F.col("base").alias("up"), F.col("ptrs").alias("next"))
-    met = _links(open_.filter(f"NOT ({ENDS})")).join(view, ["family", "to"])
-    further = F.get("next", F.lit(0))
-    moved = F.struct(further["to"].alias("to"), (F.col("w") + further["w"]).alias("w"))
+    links = once.select("family", "id", F.explode(parents).alias("to"))
+    met = links.join(once.select("family", F.col("iid").alias("to"), F.col("id").alias("at")), ["family", "to"], "left")
+    links = met.select("id", "at", F.col("at").isNull().alias("unlisted"))
+    rows = links.unionAll(once.select("id", F.lit(None).cast("long"), F.lit(False)))
+    found = rows.groupBy("id").agg(F.bool_or("unlisted").alias("unlisted"), F.min("at").alias("p"), F.max("at").alias("q"))
+    one = F.lit(1).cast("long")
+    return found.select("id", "unlisted", F.lit(False).alias("circle"), (one - 1).alias("base"), "p", one.alias("pw"), "q", one.alias("qw"))
+
+
+def _kept(rows: DataFrame, limit: int) -> DataFrame:
+    """rows in order, written by how many pointers they have left. Two pointers to one person: the heavier one says all."""
     # Up more steps than there are people, somebody is met twice.
-    circle = (F.col("to") == F.col("iid")) | (F.col("w") > limit)
-    step = F.when(F.size("next") == 1, moved).otherwise(F.struct("to", "w"))
-    return _met(met, F.greatest(F.col("base"), F.col("up") + F.col("w")), step, circle)
+    lost = lambda c: F.coalesce((F.col(c) == F.col("id")) | (F.col(f"{c}w") > limit), F.lit(False))
+    both = F.col("p") != F.col("q")
+    rows = rows.select("id", "unlisted", (F.col("circle") | lost("p") | lost("q")).alias("circle"), "base", F.coalesce("p", "q").alias("p"),
+        F.when(F.col("p") == F.col("q"), F.greatest("pw", "qw")).when(F.col("p").isNull(), F.col("qw")).otherwise(F.col("pw")).alias("pw"),
+        F.when(both, F.col("q")).alias("q"), F.when(both, F.col("qw")).alias("qw"))
+    kind = F.when(F.col("p").isNull() | F.col("circle"), SETTLED).when(F.col("q").isNull(), SINGLE).otherwise(DOUBLE)
+    path = scratch(rows.sparkSession, "registry")
+    rows.withColumn("kind", kind).write.partitionBy("kind").parquet(path)
+    return rows.sparkSession.read.schema(STATE).parquet(path)
+
+
+def _moved(rows: DataFrame, view: DataFrame) -> DataFrame:
+    """The open people of rows, whose pointers to people of ``view`` are gone where these are settled, and put on to where
+    these point with their only one. Other pointers stay."""
+    view = view.select(F.col("id").alias("at"), F.col("base").alias("up"), F.col("circle").alias("lost"), (F.col("kind") == SETTLED).alias("gone"), F.col("p").alias("next"), F.col("pw").alias("far"))
+
+    def step(rows: DataFrame, c: str) -> DataFrame:
+        met, w = rows.join(view, F.col(c) == F.col("at"), "left"), f"{c}w"
+        further = lambda stays, moves: F.when(F.col("at").isNull(), stays).when(~F.col("gone"), moves)
+        changed = {
+            "base": F.greatest(F.col("base"), F.col("up") + F.col(w)), "circle": F.col("circle") | (F.coalesce("gone", F.lit(False)) & F.coalesce("lost", F.lit(False))),
+            c: further(F.col(c), F.col("next")), w: further(F.col(w), F.col(w) + F.col("far")),
+        }
+        return met.select(*(changed.get(n, F.col(n)).alias(n) for n in rows.columns))
+
+    # A missing second pointer would send all single ones to one task.
+    return step(rows.filter(F.col("kind") == SINGLE), "p").unionAll(step(step(rows.filter(F.col("kind") == DOUBLE), "p"), "q")).drop("kind")
 
 
 def generations(people: DataFrame) -> DataFrame:
@@ -80,14 +75,16 @@ def generations(people: DataFrame) -> DataFrame:
 
     Everybody points at their listed parents. In each round those without pointers are settled and the others jump over
     whoever has one pointer or none, as (max, +) functions of one variable are closed under composition: a line of n
-    people takes log2(n) rounds, a tree with both parents known at most a round for each generation. A round joins what is
-    still open, by person, with who is settled and with itself; both are written, so that no lineage grows. A round that settles nobody leaves people who all
+    people takes log2(n) rounds, a tree with both parents known at most a round for each generation. People are numbered once
+    and rounds join numbers. A round joins what is still open with who is settled and then with whoever has one pointer or
+    none, who are often few; both are written, so that no lineage grows. A round that settles nobody leaves people who all
     point at each other: circles."""
-    open_ = stored(_pointed(_once(people)), "registry")
-    limit = left = open_.count()
-    told, null = [], F.lit(None)
+    once = stored(_once(people).withColumn("id", F.monotonically_increasing_id()), "registry")
+    limit = left = once.count()
+    open_ = _kept(_pointed(once), limit)
+    told = []
     while left:
-        closed = open_.filter(ENDS)
+        closed = open_.filter(F.col("kind") == SETTLED)
         done = closed.count()
         if not done:
             closed = open_.withColumn("circle", F.lit(True))
@@ -95,11 +92,12 @@ def generations(people: DataFrame) -> DataFrame:
         if done in (0, left):
             break
         left -= done
-        rest = stored(_told(open_.filter(f"NOT ({ENDS})"), closed), "registry")
-        ends = rest.filter(ENDS)
-        open_ = stored(_jump(rest, limit).unionByName(ends), "registry")
+        rest = _kept(_moved(open_, closed), limit)
+        ends = rest.filter(F.col("kind") == SETTLED).drop("kind")
+        open_ = _kept(_moved(rest, rest.filter(F.col("kind") != DOUBLE)).unionAll(ends), limit)
     out = told[0] if told else open_
     for more in told[1:]:
         out = out.unionAll(more)
+    out = once.select("id", *KEY, "conflict").join(out.select("id", "base", "circle", "unlisted"), "id")
     error = F.when(F.col("circle"), "circle").when(F.col("conflict"), "conflict").when(F.col("unlisted"), "unlisted")
-    return out.select(*KEY, F.when(~F.col("circle"), F.col("base")).otherwise(null).alias("generation"), error.alias("error"))
+    return out.select(*KEY, F.when(~F.col("circle"), F.col("base")).alias("generation"), error.alias("error"))
