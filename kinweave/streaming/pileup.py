@@ -11,23 +11,34 @@ from ..operators.observed import BASES, summary_columns
 from ..sources.readers import parse_pileup, read_symbols, symbol_base
 
 
-def _reads(sample: Column, ref: Column, where: Column, consider_dels: bool) -> Column:
-    """A sample's reads as array<struct(base, q)>."""
+def _bases(sample: Column, ref: Column, consider_dels: bool) -> Column:
+    """A sample's reads as a string with a base each."""
     symbols = read_symbols(sample["bases"])
     symbols = symbols if consider_dels else F.translate(symbols, "*", "")
-    each = F.filter(F.split(symbols, ""), lambda t: t != "")
-    return F.transform(each, lambda t, i: F.struct(symbol_base(t, ref, where).alias("base"), phred(F.substring(sample["quals"], i + 1, F.lit(1))).alias("q")))
+    return F.when(sample["depth"] > 0, F.regexp_replace(symbols, "[.,]", ref)).otherwise("")
+
+
+def _known(bases: Column, ref: Column, where: Column) -> Column:
+    """The same; fails as ``symbol_base`` does."""
+    odd = F.regexp_extract(bases, r"[^ACGTN*]", 0)
+    return F.when(bases.rlike(r"^[ACGTN*]*$"), bases).otherwise(symbol_base(odd, ref, where))
 
 
 def line_pairs(pileup: DataFrame, least_quality: int = 30, min_depth: int = 1, consider_dels: bool = False) -> DataFrame:
     """(pair, chrom, pos, num, den, pwd, q0, q1) of every pair of a line's samples, stateless."""
-    cell = lambda s, reads: F.struct(
-        s["sample"].alias("sample"), F.size(reads).cast("long").alias("n"),
-        F.transform(F.array(*(F.lit(b) for b in BASES)), lambda b: F.size(F.filter(reads, lambda r: r["base"] == b)).cast("long")).alias("c"),
-        F.aggregate(reads, F.lit(0), lambda t, r: t + r["q"]).alias("q"),
+    # Whole strings where it can be, as each lambda is worked out read by read; a step for whatever is used more than once.
+    ref, where, low = F.col("ref"), F.concat_ws(":", "chrom", "pos"), max(least_quality + 33, 0)
+    below = "".join(map(chr, range(1, low)))
+    named = F.transform("samples", lambda s: F.struct(s["sample"].alias("sample"), F.coalesce(s["quals"], F.lit("")).alias("quals"), _bases(s, ref, consider_dels).alias("bases")))
+    known = F.transform(named, lambda s: F.struct(s["sample"].alias("sample"), F.substring(s["quals"], F.lit(1), F.length(s["bases"])).alias("quals"), _known(s["bases"], ref, where).alias("bases")))
+    good = lambda s: F.filter(F.split(s["bases"], ""), lambda t, i: F.substring(s["quals"], i + 1, F.lit(1)) >= chr(low))
+    kept = F.transform(known, lambda s: F.struct(s["sample"].alias("sample"), F.array_join(good(s), "").alias("b"), F.translate(s["quals"], below, "").alias("q")))
+    cell = lambda k: F.struct(
+        k["sample"].alias("sample"), F.length(k["b"]).cast("long").alias("n"),
+        F.array(*((F.length(k["b"]) - F.length(F.replace(k["b"], F.lit(b), F.lit("")))).cast("long") for b in BASES)).alias("c"),
+        F.aggregate(F.split(k["q"], ""), F.lit(0), lambda t, c: t + F.when(c != "", phred(c)).otherwise(0)).alias("q"),
     )
-    kept = F.transform("samples", lambda s: F.struct(s.alias("s"), F.filter(F.when(s["depth"] > 0, _reads(s, F.col("ref"), F.concat_ws(":", "chrom", "pos"), consider_dels)).otherwise(F.array().cast("array<struct<base:string,q:int>>")), lambda r: r["q"] >= least_quality).alias("reads")))
-    cells = F.filter(F.transform(kept, lambda k: cell(k["s"], k["reads"])), lambda c: c["n"] >= min_depth)
+    cells = F.filter(F.transform(kept, cell), lambda c: c["n"] >= min_depth)
     rows = pileup.select("chrom", "pos", cells.alias("cells"))
     pairs = F.flatten(F.transform("cells", lambda x: F.transform(F.filter("cells", lambda y: y["sample"] > x["sample"]), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     spread = rows.select("chrom", "pos", F.explode(pairs).alias("p")).select("chrom", "pos", "p.x", "p.y")

@@ -100,3 +100,27 @@ def test_line_pairs_equal_batch(spark):
     columns = ["pair", "chrom", "pos", "num", "den", "pwd", "q0", "q1"]
     key = lambda df: sorted(map(tuple, df.select(columns).collect()))
     assert key(st.line_pairs(pile)) == key(want)
+
+
+#: With and without the second sample's deletion.
+FIRST = {False: (4, 4, 40.0, 40.0), True: (6, 6, 40.0, 40.0)}
+
+
+def test_line_pairs_of_odd_lines(spark):
+    """Low and missing qualities, indels, no reads, deletions; each read is looked at by two lambdas and not by nine."""
+    lines = ["1\t5\ta\t3\t^F.,T$\tI#I\t2\t*C+2ACg\tIII\t0\t*\t*", "X\t9\tN\t4\t..,A\tII\t1\t-1Ag\tI\t2\tTt\t?>", "2\t7\tC\t2\t..\t>>\t2\tAA\tII\t1\t.\tI"]
+    pile = rd.parse_pileup(spark.createDataFrame([(x,) for x in lines], "value string"))
+    for dels in (False, True):
+        got = {(r["pair"], r["chrom"], r["pos"]): (r["num"], r["den"], r["q0"], r["q1"]) for r in st.line_pairs(pile, consider_dels=dels).collect()}
+        assert got[("Ind0-Ind1", 1, 5)] == FIRST[dels] and got[("Ind0-Ind1", 88, 9)] == (2, 2, 40.0, 40.0)
+        assert got[("Ind0-Ind2", 88, 9)] == (2, 2, 40.0, 30.0) and got[("Ind1-Ind2", 2, 7)] == (2, 2, 40.0, 40.0) and len(got) == 5
+    plan = st.line_pairs(pile)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(split(" in plan and "named_struct(base" not in plan
+    for bad, word in ((">", "reference skip"), ("Q", "not an allele")):
+        skip = rd.parse_pileup(spark.createDataFrame([(f"1\t5\tA\t1\t{bad}\tI\t1\tA\tI",)], "value string"))
+        try:
+            st.line_pairs(skip).collect()
+        except Exception as e:
+            assert word in str(e)
+        else:
+            raise AssertionError(bad)
