@@ -92,6 +92,10 @@ def assign_ordinal(classes: DataFrame) -> DataFrame:
 def relatedness_results(summary: DataFrame, stats: DataFrame, assigned: DataFrame | None = None) -> DataFrame:
     """The result row of each pair: corrected statistics, label, the label's simulated mean and the observed z under it.
     Without ``assigned`` (pair, label) the z-score decides."""
-    labels = assign_zscore(summary, stats).select("pair", "label") if assigned is None else assigned.select("pair", "label")
-    z = zscores(summary, stats)
-    return summary.join(labels, "pair").join(z, ["pair", "label"]).select("pair", "label", "overlap", "sum_pwd", "avg_pwd", "ci95", "avg_phred", F.col("mean").alias("sim_avg_pwd"), "z")
+    # One join of the summary, which is long to work out, gives every label's z and the columns of the result.
+    z = stats.join(summary, "pair").withColumn("z", (F.col("avg_pwd") - F.col("mean")) / F.col("sd"))
+    columns = ["pair", "label", "overlap", "sum_pwd", "avg_pwd", "ci95", "avg_phred", F.col("mean").alias("sim_avg_pwd"), "z"]
+    if assigned is not None:
+        return z.join(assigned.select("pair", "label"), ["pair", "label"]).select(*columns)
+    best = z.groupBy("pair").agg(F.min_by(F.struct(*columns[1:]), F.struct(F.abs("z"), "rank")).alias("b"))
+    return best.select("pair", "b.*")
