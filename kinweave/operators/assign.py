@@ -76,10 +76,13 @@ def threshold_probs(summary: DataFrame, sims: DataFrame, fits: DataFrame) -> Dat
 
 def class_probs(probs: DataFrame, stats: DataFrame, clip: bool = False) -> DataFrame:
     """(pair, label, rank, p): differences of neighbouring threshold probabilities; they may be slightly negative."""
-    last = probs.groupBy("pair").agg((F.max("threshold") + 1).alias("threshold")).withColumn("s", F.lit(0.0))
-    every = probs.select("pair", "threshold", "s").unionByName(last)
-    p = F.lag("s", 1, 1.0).over(W.partitionBy("pair").orderBy("threshold")) - F.col("s")
-    each = every.select("pair", F.col("threshold").alias("rank"), (F.greatest(p, F.lit(0.0)) if clip else p).alias("p"))
+    w = W.partitionBy("pair").orderBy("threshold")
+    # The label above the last threshold comes from that threshold's own row, so that probs are worked out once.
+    own = F.struct(F.col("threshold").alias("rank"), (F.lag("s", 1, 1.0).over(w) - F.col("s")).alias("p"))
+    above = F.struct((F.col("threshold") + 1).alias("rank"), F.col("s").alias("p"))
+    steps = probs.select("pair", own.alias("own"), above.alias("above"), F.lead("threshold").over(w).isNull().alias("last"))
+    every = steps.select("pair", F.inline(F.when(F.col("last"), F.array("own", "above")).otherwise(F.array("own"))))
+    each = every.withColumn("p", F.greatest("p", F.lit(0.0))) if clip else every
     return each.join(stats.select("pair", "rank", "label"), ["pair", "rank"]).select("pair", "label", "rank", "p")
 
 

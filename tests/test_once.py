@@ -29,8 +29,17 @@ def test_results_work_the_summary_out_once(spark, tmp_path):
             assert r["sim_avg_pwd"] == means[r["label"]] and r["z"] == (r["avg_pwd"] - r["sim_avg_pwd"]) / 0.1 and (r["overlap"], r["avg_phred"]) == ((9, 30.0) if r["pair"] == "p" else (8, 31.0))
 
 
+def test_class_probabilities_work_the_thresholds_out_once(spark, tmp_path):
+    spark.createDataFrame([("p", 1, 0.25), ("p", 0, 0.75), ("q", 0, 0.5), ("r", 0, 0.25), ("r", 1, 0.5), ("r", 2, 0.0)], "pair string, threshold int, s double").write.parquet(str(tmp_path / "probs"))
+    stats = spark.createDataFrame([(p, i, f"l{i}") for p, n in (("p", 3), ("q", 2), ("r", 4)) for i in range(n)], "pair string, rank int, label string")
+    for clip, second in ((False, -0.25), (True, 0.0)):
+        found = asg.class_probs(spark.read.parquet(str(tmp_path / "probs")), stats, clip)
+        assert scans(found, "s") == 1
+        assert sorted(map(tuple, found.collect())) == [("p", "l0", 0, 0.25), ("p", "l1", 1, 0.5), ("p", "l2", 2, 0.25), ("q", "l0", 0, 0.5), ("q", "l1", 1, 0.5), ("r", "l0", 0, 0.75), ("r", "l1", 1, second), ("r", "l2", 2, 0.5), ("r", "l3", 3, 0.0)]
+
+
 #: How often a plan reads lineitem: two sides of the pair join, the other times for the rates.
-ONCE = {"r5_results": 4}
+ONCE = {"r5_results": 4, "r4_ordinal_label": 8}
 
 
 @pytest.mark.parametrize("name", ONCE)
