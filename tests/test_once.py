@@ -39,7 +39,7 @@ def test_class_probabilities_work_the_thresholds_out_once(spark, tmp_path):
 
 
 #: How often a plan reads lineitem: two sides of the pair join, the other times for the rates.
-ONCE = {"r5_results": 4, "r3_hinge_probs": 8, "r4_ordinal_label": 8}
+ONCE = {"r5_results": 4, "r3_hinge_probs": 8, "r4_hinge_label": 8, "r4_ordinal_label": 8}
 
 
 @pytest.mark.parametrize("name", ONCE)
